@@ -1,7 +1,7 @@
 """Queries and oracle SQL of the training-data operators, by name."""
 
-from lodestone.llm import exact_dedup, packing, token_store, toxicity
+from lodestone.llm import exact_dedup, jaccard_join, mixing, packing, secrets, token_store, topk_search, toxicity, url_filter
 
-MODULES = (token_store, exact_dedup, toxicity, packing)
+MODULES = (token_store, exact_dedup, toxicity, packing, url_filter, jaccard_join, secrets, mixing, topk_search)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
