@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
 
-SLOTS, ORDERS, STEPS, RATE, RIDGE = 1 << 15, (3, 4, 5), 300, 8.0, 1e-4
+SLOTS, ORDERS, STEPS, RATE, RIDGE = 1 << 15, (3, 4, 5), 400, 20.0, 3e-5
 
 #: (host suffix, path prefix, verdict); the longest that fits decides.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-UNWANTED = "spam casino poker pills viagra pharma-deal adult porn xxx sex bets betting gambling slots lottery jackpot payday-loan ads adserver banner track tracker click-bait clicks popunder warez torrent crack keygen malware phish replica escort dating-hot free-money win-prize miracle-diet link-farm cheap-meds casino-win hot-cams".split()
+UNWANTED = "spam casino poker pills viagra pharma-deal adult adult-cams porn xxx sex bets free-bets betting gambling slots lottery jackpot payday-loan ads adserver banner track tracker click-bait clicks popunder warez torrent crack keygen malware phish replica escort dating-hot free-money win-prize miracle-diet link-farm cheap-meds casino-win hot-cams".split()
 ORDINARY = "news garden history school library museum science cooking travel music weather recipes university physics poetry language village market-town open-data city-council health nature forum wiki docs journal archive sports theatre railway bakery farm-life river mountain photo-club story letters rain-gauge winter-tales my-notes".split()
 
 
@@ -33,14 +33,13 @@ SYLLABLES = "th er on an re he in ed nd ha at en es or nt ti hi st ar ou it al i
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, blocked): every topic word in two of four host patterns, and names of common syllables, with an ordinary path."""
-    hosts = ("www.{}.example.net", "{}.example.com", "m.the-{}.example.org", "blog.{}-site.example.net")
+    """(host, path, blocked): topic words and names of common syllables in the same host patterns, with an ordinary path."""
+    hosts = ("www.{}.example.net", "{}.example.com", "m.{}.example.org", "blog.{}.example.com", "{}.example.org", "the-{}.example.net")
     paths = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}")
-    pairs = [a + b for a in SYLLABLES for b in SYLLABLES if a != b]
-    out = [(hosts[k % 2].format(w), paths[k % 4].format(100 + 7 * k % 900), 0) for k, w in enumerate(pairs)]
-    for y, words in ((1, UNWANTED), (0, ORDINARY)):
-        for k, w in enumerate(words):
-            out += [(hosts[(k + j) % 4].format(w), paths[(k + j) % 4].format(100 + 7 * k % 900), y) for j in (0, 1)]
+    names = [(w, 1, 4) for w in UNWANTED] + [(w, 0, 3) for w in ORDINARY] + [(a + b, 0, 1) for a in SYLLABLES for b in SYLLABLES if a != b]
+    out = []
+    for k, (w, y, times) in enumerate(names):
+        out += [(hosts[(k + j) % len(hosts)].format(w), paths[(k + k // 4 + j) % 4].format(1 + 7919 * (k + 31 * j) % 49999), y) for j in range(times)]
     return out
 
 
@@ -59,14 +58,17 @@ def model():
     import numpy as np
 
     rows = [(grams(h, p), y) for h, p, y in labelled()]
-    x = np.zeros((len(rows), SLOTS), "f4")
+    used = np.unique(np.concatenate([g for g, _ in rows]))
+    x = np.zeros((len(rows), len(used)), "f4")
     for k, (g, _) in enumerate(rows):
-        x[k, g] = 1 / np.sqrt(max(len(g), 1))
-    y, w, b = np.array([r[1] for r in rows], "f4"), np.zeros(SLOTS, "f4"), 0.0
+        x[k, np.searchsorted(used, g)] = 1 / np.sqrt(len(g))
+    y, v, b = np.array([r[1] for r in rows], "f4"), np.zeros(len(used), "f4"), 0.0
     for _ in range(STEPS):
-        e = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= RATE * (x.T @ e / len(y) + RIDGE * w)
+        e = 1 / (1 + np.exp(-(x @ v + b))) - y
+        v -= RATE * (x.T @ e / len(y) + RIDGE * v)
         b -= 0.1 * RATE * float(e.mean())
+    w = np.zeros(SLOTS, "f4")
+    w[used] = v
     return w, b
 
 
