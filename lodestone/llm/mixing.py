@@ -110,14 +110,14 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def draws(docs: DataFrame, *, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def draws(docs: DataFrame, *, row: str | None = None, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, draws). documents: row, doc_id, skey, size, source_size, target, start. draws: row, epoch, shard, word_from, word_to, place; words of the document from 0."""
     import numpy as np
 
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     h = F.xxhash64("doc_id", F.lit(seed))
-    sized = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("skey"), size.alias("size")).withColumn("b1", F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    sized = materialise(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("skey"), size.alias("size")).withColumn("b1", F.pmod(h, F.lit(BUCKETS)).cast("int")))
 
     bucket = sized.groupBy("skey", "b1").agg(F.sum("size").alias("words")).withColumn("b2", (F.col("b1") / GROUP).cast("int"))
     inner = Window.partitionBy("skey", "b2").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,6 +175,25 @@ def draws(docs: DataFrame, *, shards: int = SHARDS, block_words: int = BLOCK_WOR
     return placed, placed.mapInPandas(drawn, "row long, epoch int, shard int, word_from long, word_to long, place long")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: docs' columns, a row for each document and epoch that draws it, in no order but that of shard and place.
+
+    text holds the taken words; a document taken whole keeps its text unchanged. n_chars, where present, follows the text.
+    """
+    # monotonically_increasing_id numbers the rows of the same scan alike, so the text meets its draws without another key.
+    base = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    placed, taken = draws(base, row="_row", **options)
+    spans = taken.groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"), F.min("shard").alias("shard"), F.min("place").alias("place"), F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
+    spans = spans.join(placed.select("row", "size"), "row")
+    joined = base.join(spans.withColumnRenamed("row", "_row"), "_row")
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(words, x["word_from"].cast("int") + 1, (x["word_to"] - x["word_from"]).cast("int")))), "")
+    out = joined.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     placed, taken = draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
