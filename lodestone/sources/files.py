@@ -70,7 +70,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(filename, file_path, file_type, text_content, char_count, total_pages) of text files."""
     t = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(decoded(F.col("content")), "\r\n?", "\n").alias("raw"))
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
-    return t.select(name.alias("filename"), F.col("path").alias("file_path"), F.ltrim(F.lit("."), extension(F.col("path"))).alias("file_type"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text_content"), F.length("raw").alias("char_count"), page_estimate(F.col("raw")).alias("total_pages"))
+    return t.select(name.alias("filename"), F.col("path").alias("file_path"), F.ltrim(extension(F.col("path")), F.lit(".")).alias("file_type"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text_content"), F.length("raw").alias("char_count"), page_estimate(F.col("raw")).alias("total_pages"))
 
 
 def inspect(files: DataFrame) -> DataFrame:
