@@ -135,13 +135,15 @@ def draws(docs: DataFrame, *, row: str | None = None, shards: int = SHARDS, bloc
     if len(sources) * shards > MOST_CELLS:
         raise ValueError(f"{len(sources)} sources in {shards} shards exceed the quota table of {MOST_CELLS} cells")
     goal = targets([n for _, n in sources], weights, most)
-    blocks, quotas, plan = [], [], {}
+    quotas, plan = [], {}
     for (skey, words), t in zip(sources, goal, strict=True):
         n, take = -(-words // block_words), min(round(t), most * words)
         epochs, rest = divmod(take, words) if words else (0, 0)
         key = int.from_bytes(hashlib.sha256(f"{seed}:{skey}".encode()).digest()[:7], "little")
-        blocks.append(n)
-        quotas.append(epochs * n + -(-rest // block_words))
+        last = -(-rest // block_words)  # blocks of the part epoch; one more where the short block is among them and leaves words over
+        if last and last * block_words - (n * block_words - words) * (int(rank_of(np.array([n - 1]), n, key + epochs)[0]) < last) < rest:
+            last += 1
+        quotas.append(epochs * n + last)
         plan[skey] = (words, n, epochs, rest, key)
     cumulative = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if sources else np.zeros((shards, 0), "i8")
     held = spark.sparkContext.broadcast({s: (*plan[s], cumulative[:, k]) for k, (s, _) in enumerate(sources)})
