@@ -299,7 +299,7 @@ def test_secrets(spark):
     ]
     got = {r_.doc_id: r_ for r_ in secrets.scan(docs(spark, texts)).collect()}
     assert [(got[i].n_assign, got[i].n_access, got[i].n_hex) for i in range(9)] == [(0, 0, 0)] * 2 + [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0), (0, 0, 2), (0, 0, 0), (1, 0, 0)]
-    assert got[2].spans == "assign:2:25" and got[2].base_sha256 == hashlib.sha256(b"assign:2:25").hexdigest() and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[2].spans == "assign:2:26" and got[2].base_sha256 == hashlib.sha256(b"assign:2:26").hexdigest() and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[5].spans == "random:4:44" and got[7].spans == "" and "random" not in got[6].spans
     assert got[8].spans == "assign:0:29"
 
