@@ -157,3 +157,29 @@ def test_parents_and_children():
     assert [t for t, _ in parents] == ["Intro", "Next"]
     kids = chunking.children_of(parents[0][1], 192)
     assert len(kids) >= 4 and all(n <= 192 + 187 for _, n in kids)
+
+
+def plain_clean(raw):
+    kept = []
+    for line in (x.strip() for x in raw.splitlines() if x.strip()):
+        if kept and line.lower() == kept[-1].lower() or kept[-4:].count(line) >= 2:
+            continue
+        kept.append(line)
+    text = "\n".join(kept)
+    return text if len(text) > 5 else None
+
+
+def test_clean_description(spark):
+    r = random.Random(8)
+    raw = ["\n".join(r.choice(["Alpha", "alpha", "beta ", "gamma", ""]) for _ in range(12)) for _ in range(60)] + ["I'm unable to see this image", "ok"]
+    d = spark.createDataFrame(list(enumerate(raw)), "i int, t string")
+    got = [x.c for x in d.select("i", tx.clean_description(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got[:60] == [plain_clean(t) for t in raw[:60]] and got[60:] == [None, None]
+
+
+def test_uuid5(spark):
+    import uuid
+
+    d = spark.createDataFrame([("a",), ("chunk_7",), ("ü",)], "n string")
+    got = [r[0] for r in d.select(tx.uuid5(str(uuid.NAMESPACE_DNS), F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in ("a", "chunk_7", "ü")]
