@@ -1,17 +1,20 @@
 """N-gram Jaccard join (operator 7): a token-group matrix over distinct documents, and components of the links.
 
 1. Every text becomes the set of hashes of its 5-word shingles. Equal sets collapse to one representative each.
-2. Similar representatives are partitioned into groups: four min-hashes each name a leader (the smallest id that shares
-   it), the pair is verified, and verified pairs join into groups of at most about GROUP members.
-3. The matrix has a column for each token that may decide a match and, per token, the groups whose token union holds it.
-   Tokens have one global order, frequent ones last; of a set of n, any partner of similarity t or more shares one of
-   the first n - ceil(t n) + 1, so only those enter the matrix. A row of the matrix names the group pairs to look at.
-4. For a pair, the query's overlap with the group's whole token union bounds its overlap with any member. Groups where the
-   bound reaches t times the query's size are opened and their members compared exactly; the others stay closed.
+2. Similar representatives are partitioned into groups. Four min-hashes each name a leader (the smallest id that shares it);
+   pairs of similarity FAMILY or more join into families, those at the threshold into components. A family is cut into
+   groups of about GROUP members; a large component of it has groups of its own.
+3. Groups of one family meet in tasks of two: the overlap of each query with the other group's whole token union bounds its
+   overlap with any member, and only queries that reach the threshold by it open the group for exact comparison. Groups of
+   one component need no comparison, so near copies cost in proportion to their number.
+4. Across families the matrix decides: per token, the groups whose union holds it. Tokens have one global order, those of
+   rare words first, frequent ones last; of a set of n, any partner of similarity t or more shares r of the first n - ceil(t n) + r, so only
+   those enter the matrix, with r = 1 + n / SHARE. Groups of different families that share a row are bounded, opened and
+   compared in the same way. The order by word frequency keeps chance matches of common words out of the rows.
 5. Links give connected components by alternating large and small stars.
 
-Members of one component need no pair between them, so a group of near copies costs in proportion to its size. Frequent
-tokens are counted over all documents in memory-bounded chunks; they only order tokens, so any list gives the same links.
+Families, word counts and frequent tokens (counted over all documents in memory-bounded chunks) only steer the work: every pair of
+different components is either in one family, and compared there, or in two, and found by the matrix if it can be a link.
 
 Defined cases: null and empty texts, and texts without words, have empty sets and link with nothing; with fewer than five
 words the whole sequence is one shingle; doc_ids are taken as unique, identical repeated rows give identical result
@@ -27,44 +30,62 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded, materialise, table, text_bytes
+from lodestone.llm.common import bounded, finish, materialise, split_words, table, text_bytes
 
-SHINGLE, PERCENT, GROUP, QUERIES_PER_TASK_GROUP = 5, 75, 64, 64
+SHINGLE, PERCENT, FAMILY, GROUP, QUERIES_PER_TASK_GROUP = 5, 75, 40, 64, 64
 #: Tokens of a chunk in which frequent ones are counted; least count there and overall; most frequent tokens kept.
-CHUNK_TOKENS, LEAST_IN_CHUNK, LEAST_OVERALL, MOST_FREQUENT = 2_000_000, 3, 8, 500_000
+CHUNK_TOKENS, LEAST_IN_CHUNK, LEAST_OVERALL, MOST_FREQUENT = 4_000_000, 2, 4, 1_000_000
+#: Least count of a word in a chunk for it to be counted, and how many of the commonest words are kept.
+LEAST_WORD, MOST_WORDS = 12, 100_000
+#: Every SHARE tokens of a set lengthen its deciding part by one, and ask for one more shared token.
+SHARE = 20
 BROADCAST_PAIRS = 300_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def shingles(w, width: int = SHINGLE):
+    """Shingle hashes of a text's word hashes, in order."""
+    import numpy as np
 
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    n = len(w)
+    if not n:
+        return w
+    k = min(n, width)
+    h = np.full(n - k + 1, 0x9E3779B97F4A7C15 + (k if n < width else 0), "u8")
+    for j in range(k):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w[j : n - k + 1 + j]
+    return finish(h)
 
 
-_hashes = _WordHashes()
+def words_of(body: bytes):
+    return split_words(body.translate(_LOWER))[2]
 
 
 def shingle_set(body: bytes, width: int = SHINGLE):
     """Sorted distinct shingle hashes of a text."""
     import numpy as np
 
-    words = body.translate(_LOWER).split()
-    n = len(words)
-    w = np.fromiter(map(_hashes.__getitem__, words), "u8", n)
-    if not n:
+    return np.unique(shingles(words_of(body), width))
+
+
+def deciding_tokens(body: bytes, often, words, weights, percent: int = PERCENT):
+    """The first tokens of a text in the global order: not frequent, then of rare words (integer weights, so the order is exact), then by hash."""
+    import numpy as np
+
+    w = words_of(body)
+    if not len(w):
         return w
-    k = min(n, width)
-    h = np.full(n - k + 1, 0x9E3779B97F4A7C15 + (k if n < width else 0), "u8")
-    for j in range(k):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w[j : n - k + 1 + j]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ (h >> np.uint64(31)))
+    s, first = np.unique(shingles(w), return_index=True)
+    weight = np.zeros(len(w), "i8")
+    if len(words):
+        at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+        weight = np.where(words[at] == w, weights[at], 0)
+    run = np.r_[0, np.cumsum(weight)]
+    k = min(len(w), SHINGLE)
+    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
+    order = np.lexsort((s, (run[k:] - run[:-k])[first], late))
+    return s[order[: prefix_length(len(s), percent)]]
 
 
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -77,21 +98,26 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     names = [c.split()[0] for c in FIRST.split(", ")]
     held: list = []
+    spoken: list = []
     seen: set = set()
     size = 0
 
     def frequent() -> pd.DataFrame:
-        nonlocal held, size
-        t, c = np.unique(np.concatenate(held), return_counts=True)
-        keep = c >= LEAST_IN_CHUNK
-        held, size = [], 0
+        """Rows without doc_id: n is 0 for a token, 1 for a word."""
+        nonlocal held, spoken, size
+        out = []
+        for n, parts, least in ((0, held, LEAST_IN_CHUNK), (1, spoken, LEAST_WORD)):
+            t, c = np.unique(np.concatenate(parts), return_counts=True)
+            out.append(pd.DataFrame({"n": n, "token": t[c >= least].view("i8"), "count": c[c >= least]}))
+        held, spoken, size = [], [], 0
         seen.clear()
-        return pd.DataFrame({"token": t[keep].view("i8"), "count": c[keep]}).reindex(columns=names)
+        return pd.concat(out).reindex(columns=names)
 
     for b in batches:
         rows = np.zeros((len(b), 7), "i8")
         for i, body in enumerate(b.body):
-            s = shingle_set(body)
+            w = words_of(body)
+            s = np.unique(shingles(w))
             if not len(s):
                 continue
             sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -101,18 +127,25 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if sig not in seen:
                 seen.add(sig)
                 held.append(s)
+                spoken.append(w)
                 size += len(s)
+            if size >= CHUNK_TOKENS:
+                yield frequent()
         out = pd.DataFrame(rows, columns=names[1:8])
         out.insert(0, "doc_id", b.doc_id.to_numpy())
         yield out.reindex(columns=names)
-        if size >= CHUNK_TOKENS:
-            yield frequent()
     if held:
         yield frequent()
 
 
+def needed(n: int) -> int:
+    """Tokens that a set of n must share, among its deciding ones, with any partner."""
+    return 1 + n // SHARE
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+    """How many tokens decide. A partner shares at least ceil(t n) of n, so of the shared ones the needed(n) first lie among these."""
+    return n - -(-percent * n // 100) + needed(n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,14 +167,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, candidates: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) of candidates (q, gc, gk): q against the members (gc, gk, d) of a group, at most one link for each candidate.
+    """Pairs (u, v) of similarity percent or more, with their similarity, of candidates (q, g): q against the members (g, d) of a group, at most one for each candidate.
 
     Queries of a group are dealt to parts of about QUERIES_PER_TASK_GROUP, and its members are sent to each part.
     """
     candidates = materialise(candidates)
-    parts = candidates.groupBy("gc", "gk").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK_GROUP).cast("int").alias("parts"))
-    asks = candidates.join(parts, ["gc", "gk"]).select("gc", "gk", F.pmod(F.xxhash64("q", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.col("q").alias("d"), F.lit(True).alias("ask"))
-    holds = members.join(parts, ["gc", "gk"]).select("gc", "gk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "d", F.lit(False).alias("ask"))
+    parts = candidates.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK_GROUP).cast("int").alias("parts"))
+    asks = candidates.join(parts, "g").select("g", F.pmod(F.xxhash64("q", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.col("q").alias("d"), F.lit(True).alias("ask"))
+    holds = members.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "d", F.lit(False).alias("ask"))
     wanted = materialise(asks.unionByName(holds))
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), text_bytes()).join(bounded(wanted, wanted.count(), BROADCAST_PAIRS), "d")
 
@@ -161,58 +194,50 @@ def verify(docs: DataFrame, candidates: DataFrame, members: DataFrame, percent:
                 if d != q and 100 * min(len(s), len(m)) >= percent * max(len(s), len(m)):
                     both = len(np.intersect1d(s, m, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(m) - both):
-                        out.append((q, d))
+                        out.append((q, d, both / (len(s) + len(m) - both)))
                         break
-        return pd.DataFrame(out, columns=["u", "v"]).astype("i8")
+        return pd.DataFrame(out, columns=["u", "v", "j"]).astype({"u": "i8", "v": "i8", "j": "f8"})
 
-    return materialise(rows.groupBy("gc", "gk", "part").applyInPandas(opened, "u long, v long"))
+    return materialise(rows.groupBy("g", "part").applyInPandas(opened, "u long, v long, j double"))
 
 
 def _matrix_rows(docs: DataFrame, groups: DataFrame, frequent, percent: int) -> DataFrame:
-    """(token, comp, chunk): the matrix, each group's union of deciding tokens."""
+    """(token, family, g): the matrix; g is a document, or a group of one component with the union of its members' deciding tokens."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deciding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        often = held.value
         for b in batches:
-            out = []
-            for body in b.body:
-                s = shingle_set(body)
-                late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
-                p = prefix_length(len(s), percent) if len(s) else 0
-                out.append(np.concatenate([s[~late][:p], s[late][: max(0, p - int((~late).sum()))]]).tobytes())
-            yield pd.DataFrame({"doc_id": b.doc_id, "prefix": out})
+            yield pd.DataFrame({"d": b.doc_id, "prefix": [deciding_tokens(x, *held.value, percent).tobytes() for x in b.body]})
 
-    prefixes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(deciding, "doc_id long, prefix binary")
+    prefixes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(deciding, "d long, prefix binary")
 
+    # A group's union is made within the partition at hand; the reader of a token drops what repeats.
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         unions: dict[tuple[int, int], list] = {}
         for b in batches:
-            alone = b[b.chunk < 0]
+            alone = b[~b.pure]
             if len(alone):
                 tokens = [np.frombuffer(p, "<i8") for p in alone.prefix]
-                yield pd.DataFrame({"token": np.concatenate(tokens), "comp": np.repeat(alone.comp.to_numpy(), [len(t) for t in tokens]), "chunk": np.int32(-1)})
-            for c, k, p in b.loc[b.chunk >= 0, ["comp", "chunk", "prefix"]].itertuples(index=False):
-                unions.setdefault((c, k), []).append(np.frombuffer(p, "<i8"))
-        for (c, k), tokens in unions.items():
-            t = np.unique(np.concatenate(tokens))
-            yield pd.DataFrame({"token": t, "comp": np.int64(c), "chunk": np.int32(k)})
+                n = [len(t) for t in tokens]
+                yield pd.DataFrame({"token": np.concatenate(tokens), "family": np.repeat(alone.family.to_numpy(), n), "g": np.repeat(alone.g.to_numpy(), n)})
+            for f, g, p in b.loc[b.pure, ["family", "g", "prefix"]].itertuples(index=False):
+                unions.setdefault((f, g), []).append(np.frombuffer(p, "<i8"))
+        for (f, g), tokens in unions.items():
+            yield pd.DataFrame({"token": np.unique(np.concatenate(tokens)), "family": np.int64(f), "g": np.int64(g)})
 
-    return prefixes.join(groups.select(F.col("d").alias("doc_id"), F.col("gc").alias("comp"), F.col("gk").alias("chunk")), "doc_id").select("comp", "chunk", "prefix").mapInPandas(spread, "token long, comp long, chunk int")
+    return prefixes.join(groups.select("d", "family", "g", "pure"), "d").select("family", "g", "pure", "prefix").mapInPandas(spread, "token long, family long, g long")
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of groups of different components that share a token; gets all rows of a token."""
+    """Pairs of groups of different families with the number of tokens they share; gets all rows of a token."""
     import numpy as np
 
     frames = list(batches)
     if not frames:
         return
-    t, c, k = (np.concatenate([f[x].to_numpy() for f in frames]) for x in ("token", "comp", "chunk"))
+    t, f, g = (np.concatenate([x[c].to_numpy() for x in frames]) for c in ("token", "family", "g"))
     del frames
     order = np.argsort(t, kind="stable")
     t = t[order]
@@ -221,29 +246,108 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same[1:] = t[1:] == t[:-1]
         same[:-1] |= t[1:] == t[:-1]
     order, t = order[same], t[same]  # a token of one row decides nothing
-    c, k = c[order], k[order]
-    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.empty(0, "i8")
-    if len(starts):
-        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+    if not len(t):
+        return
+    f, g = f[order], g[order]
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    ends = np.r_[starts[1:], len(t)]
+    several = np.minimum.reduceat(f, starts) != np.maximum.reduceat(f, starts)
     found: list = []
     size = 0
-
-    def distinct() -> pd.DataFrame:
-        return pd.DataFrame(np.concatenate(found), columns=["c1", "k1", "c2", "k2"]).drop_duplicates()
-
-    ends = np.r_[starts[1:], len(t)]
-    for a, b in zip(starts[mixed], ends[mixed], strict=True) if len(starts) else ():
-        g = np.unique(np.stack([c[a:b], k[a:b].astype("i8")], 1), axis=0)
-        for i in range(len(g) - 1):
-            rest = g[i + 1 :][g[i + 1 :, 0] != g[i, 0]]
+    for a, b in zip(starts[several], ends[several], strict=True):
+        at = np.lexsort((g[a:b], f[a:b]))
+        fs, gs = f[a:b][at], g[a:b][at]
+        keep = np.r_[True, (fs[1:] != fs[:-1]) | (gs[1:] != gs[:-1])]
+        fs, gs = fs[keep], gs[keep]
+        for i in range(len(fs) - 1):
+            rest = gs[np.searchsorted(fs, fs[i], "right") :]
             if len(rest):
-                found.append(np.hstack([np.broadcast_to(g[i], rest.shape), rest]))
+                found.append(np.column_stack([np.full(len(rest), gs[i]), rest, np.ones(len(rest), "i8")]))
                 size += len(rest)
-        if size > 500_000:
-            found = [distinct().to_numpy()]
+        if size > 1_000_000:
+            found = [_summed(found)]
             size = 0
     if found:
-        yield distinct()
+        yield pd.DataFrame(_summed(found), columns=["g1", "g2", "shared"])
+
+
+def _summed(parts: list):
+    """Rows (g1, g2, shared) with the counts of equal pairs added."""
+    import numpy as np
+
+    rows = np.concatenate(parts)
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    return np.column_stack([rows[starts, :2], np.add.reduceat(rows[:, 2], starts)])
+
+
+def _shared(sets: list):
+    """Dense 0/1 matrix of sets by those tokens that two or more of them hold."""
+    import numpy as np
+
+    every = np.concatenate(sets)
+    tokens, counts = np.unique(every, return_counts=True)
+    tokens = tokens[counts > 1]
+    m = np.zeros((len(sets), len(tokens)), "f4")
+    for i, s in enumerate(sets):
+        at = np.searchsorted(tokens, s)
+        at = at[(at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == s)] if len(tokens) else at[:0]
+        m[i, at] = 1
+    return m
+
+
+def compare(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between members of different components of one family.
+
+    A unit is a large component of a family, or the rest of it; units are cut into groups and paired, and one task holds
+    two groups. Links already implied by others of the task are left out.
+    """
+    several = groups.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
+    g = materialise(groups.join(several, "family").select("family", "unit", "chunk", "d", "n", "comp"))
+    units = g.groupBy("family", "unit").agg(F.count(F.lit(1)).alias("m"))
+    first, second = units.select("family", F.col("unit").alias("u1")), units.select("family", F.col("unit").alias("u2"))
+    met = first.join(second, "family").where("u1 < u2 or (u1 = u2 and u1 = -1)")
+    span = g.groupBy("family", "unit", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one = lambda i: span.select("family", *[F.col(c).alias(f"{n}{i}") for c, n in (("unit", "u"), ("chunk", "k"), ("lo", "lo"), ("hi", "hi"))])
+    pairs = met.join(one(1), ["family", "u1"]).join(one(2), ["family", "u2"]).where("u1 <> u2 or k1 <= k2").where((percent * F.col("lo1") <= 100 * F.col("hi2")) & (percent * F.col("lo2") <= 100 * F.col("hi1")))
+    pairs = materialise(pairs.select("family", "u1", "k1", "u2", "k2"))
+    cols = ["family", "u1", "k1", "u2", "k2", "d", "comp", "side"]
+    side = lambda p, i: p.join(g.select("family", F.col("unit").alias(f"u{i}"), F.col("chunk").alias(f"k{i}"), "d", "comp"), ["family", f"u{i}", f"k{i}"]).withColumn("side", F.lit(i)).select(*cols)
+    wanted = materialise(side(pairs, 1).unionByName(side(pairs.where("u1 <> u2 or k1 <> k2"), 2)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), text_bytes()).join(bounded(wanted, wanted.count(), BROADCAST_PAIRS), "d")
+
+    def opened(key, g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        g = g.drop_duplicates(["d", "side"]).sort_values(["side", "d"])
+        d, comp, side = g.d.to_numpy(), g.comp.to_numpy(), g.side.to_numpy()
+        sets = [shingle_set(b) for b in g.body]
+        n = np.array([len(s) for s in sets])
+        m = _shared(sets)
+        ask, held = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        if not len(held):
+            held = ask
+        elif len(ask):
+            bound = m[ask] @ m[held].max(0)  # overlap of each query with the group's token union
+            ask = ask[100 * bound >= percent * n[ask]]
+        both = np.rint(m[ask] @ m[held].T).astype("i8")
+        link = (100 * both >= percent * (n[ask][:, None] + n[held] - both)) & (comp[ask][:, None] != comp[held])
+        out, root = [], {int(x): int(x) for x in set(comp)}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(link), strict=True):
+            a, b = find(int(comp[ask[i]])), find(int(comp[held[j]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((d[ask[i]], d[held[j]]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("i8")
+
+    return materialise(rows.groupBy("family", "u1", "k1", "u2", "k2").applyInPandas(opened, "u long, v long"))
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,28 +357,39 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = materialise(docs.select("doc_id", text_bytes()).mapInPandas(_first_pass, FIRST))
     known = first.where("doc_id is not null")
-    hot = first.where("doc_id is null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_OVERALL).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
-    frequent = np.sort(hot.select("token").toPandas()["token"].to_numpy("i8").view("u8"))  # at most MOST_FREQUENT
+    counted = first.where("doc_id is null").groupBy("n", "token").agg(F.sum("count").alias("count"))
+    most = lambda n, least, limit: counted.where((F.col("n") == n) & (F.col("count") >= least)).orderBy(F.desc("count"), "token").limit(limit).select("token", "count").toPandas()
+    often = np.sort(most(0, LEAST_OVERALL, MOST_FREQUENT)["token"].to_numpy("i8").view("u8"))  # at most MOST_FREQUENT
+    spoken = most(1, LEAST_WORD, MOST_WORDS)  # at most MOST_WORDS
+    words = spoken["token"].to_numpy("i8").view("u8")
+    order = np.argsort(words)
+    frequent = (often, words[order], np.rint(4 * np.log2(spoken["count"].to_numpy("f8")[order] / LEAST_WORD + 1)).astype("i8"))
 
     # One representative for each distinct set, and its leaders.
     reps = materialise(known.where("n > 0").groupBy("s1", "s2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc_id").alias("d")))
     keys = reps.select("d", "n", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("band", "key"))
-    leaders = keys.groupBy("band", "key").agg(F.min(F.struct("d", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "key", F.col("lead.d").alias("gc"), F.col("lead.n").alias("ln"))
-    near = keys.join(leaders, ["band", "key"]).where((F.col("d") != F.col("gc")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")))
-    candidates = near.select(F.col("d").alias("q"), "gc", F.lit(-1).alias("gk")).distinct()
-    links = verify(docs, candidates, candidates.select("gc", "gk", F.col("gc").alias("d")).distinct(), percent)
-    comps = components(links)
-
-    # Groups: parts of a component, or a representative alone (chunk -1).
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks"))
-    parted = comps.join(sizes, "comp").select(F.col("node").alias("d"), F.col("comp").alias("gc"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")).cast("int").alias("gk"))
-    groups = materialise(reps.select("d", "n").join(parted, "d", "left").select("d", "n", F.coalesce("gc", "d").alias("gc"), F.coalesce("gk", F.lit(-1)).alias("gk")))
-    pairs = _matrix_rows(docs, groups, frequent, percent).repartition("token").mapInPandas(_pairs, "c1 long, k1 int, c2 long, k2 int").distinct()
-    span = groups.groupBy("gc", "gk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = pairs.join(span.select(F.col("gc").alias("c1"), F.col("gk").alias("k1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), ["c1", "k1"])
-    pairs = pairs.join(span.select(F.col("gc").alias("c2"), F.col("gk").alias("k2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), ["c2", "k2"]).where((percent * F.col("lo1") <= 100 * F.col("hi2")) & (percent * F.col("lo2") <= 100 * F.col("hi1")))
-    asks = pairs.join(groups.select(F.col("gc").alias("c1"), F.col("gk").alias("k1"), F.col("d").alias("q"), F.col("n").alias("qn")), ["c1", "k1"]).where((percent * F.col("qn") <= 100 * F.col("hi2")) & (percent * F.col("lo2") <= 100 * F.col("qn")))
-    more = verify(docs, asks.select("q", F.col("c2").alias("gc"), F.col("k2").alias("gk")), groups.select("gc", "gk", "d"), percent)
+    leaders = keys.groupBy("band", "key").agg(F.min(F.struct("d", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "key", F.col("lead.d").alias("g"), F.col("lead.n").alias("ln"))
+    near = keys.join(leaders, ["band", "key"]).where((F.col("d") != F.col("g")) & (100 * F.least("n", "ln") >= FAMILY * F.greatest("n", "ln")))
+    candidates = near.select(F.col("d").alias("q"), "g").distinct()
+    similar = verify(docs, candidates, candidates.select("g", F.col("g").alias("d")).distinct(), FAMILY)
+    links = similar.where(100 * F.col("j") >= percent - 1e-9).select("u", "v")
+    comps, families = components(links), components(similar.select("u", "v"))
+
+    joined = reps.select("d", "n").join(comps.withColumnRenamed("node", "d"), "d", "left").join(families.select(F.col("node").alias("d"), F.col("comp").alias("family")), "d", "left")
+    joined = joined.withColumns({"linked": F.col("comp").isNotNull(), "comp": F.coalesce("comp", "d"), "family": F.coalesce("family", "d")})
+    sizes = joined.where("linked").groupBy("comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP // 2)
+    joined = joined.join(sizes.select("comp", F.col("comp").alias("unit")), "comp", "left").withColumn("unit", F.coalesce("unit", F.lit(-1)))
+    units = joined.groupBy("family", "unit").agg(F.count(F.lit(1)).alias("m"))
+    joined = joined.join(units, ["family", "unit"]).withColumns({"chunk": F.pmod(F.xxhash64("d", F.lit(5)), F.ceil(F.col("m") / GROUP)).cast("int"), "pure": F.col("unit") != -1})
+    groups = materialise(joined.select("d", "n", "comp", "family", "unit", "chunk", "pure", F.when(F.col("pure"), F.xxhash64("unit", "chunk")).otherwise(F.col("d")).alias("g")))
+    within = compare(docs, groups, percent)
+    pairs = _matrix_rows(docs, groups, frequent, percent).repartition("token").mapInPandas(_pairs, "g1 long, g2 long, shared long").groupBy("g1", "g2").agg(F.sum("shared").alias("shared"))
+    span = groups.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    need = lambda c: 1 + F.floor(F.col(c) / SHARE)
+    pairs = pairs.join(span.select(F.col("g").alias("g1"), F.col("lo").alias("lo1")), "g1")
+    asks = pairs.join(groups.select(F.col("g").alias("g1"), F.col("d").alias("q"), "n"), "g1").join(span.withColumnRenamed("g", "g2"), "g2").where(F.col("shared") >= F.least(need("lo1"), need("lo"))).where((percent * F.col("n") <= 100 * F.col("hi")) & (percent * F.col("lo") <= 100 * F.col("n")))
+    across = verify(docs, asks.select("q", F.col("g2").alias("g")), groups.select("g", "d"), percent)
+    more = within.unionByName(across.select("u", "v"))
     comps = components(links.unionByName(more)) if not more.isEmpty() else comps
 
     classes = reps.select("s1", "s2", "n", "d").join(comps.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", "n", F.coalesce("comp", "d").alias("component_id"))
