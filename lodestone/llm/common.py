@@ -48,42 +48,153 @@ def text_bytes(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
 
 
-_PLAIN = re.compile(rb"([A-Za-z0-9]+)([.,;:!?]*)\Z")
+_BASE = 0x9E3779B97F4A7C15
+_tables: dict = {}
+
+
+def finish(x):
+    """64-bit finaliser on a NumPy array."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int):
+    """Byte values, word-byte mask, and powers of the base and of its inverse mod 2^64, for texts of up to n bytes."""
+    import numpy as np
+
+    if _tables.get("n", 0) < n:
+        n = 1 << (n - 1).bit_length()
+        power = lambda p: np.cumprod(np.r_[np.uint64(1), np.full(n, p, "u8")])
+        word = np.ones(256, bool)
+        word[[32, 9, 10, 11, 12, 13]] = False
+        _tables.update(n=n, all=(finish(np.arange(1, 257, dtype="u8") * np.uint64(_BASE)), word, power(_BASE), power(pow(_BASE, -1, 1 << 64))))
+    return _tables["all"]
+
+
+def split_words(body: bytes):
+    """Starts, ends and 64-bit hashes of the words between ASCII white space, by differences of one running sum over the bytes."""
+    import numpy as np
+
+    b = np.frombuffer(body, "u1")
+    values, word, up, down = _powers(max(len(b), 1024))
+    edges = np.flatnonzero(np.diff(word[b], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    run = np.zeros(len(b) + 1, "u8")
+    np.cumsum(values[b] * up[: len(b)], out=run[1:])
+    return starts, ends, finish((run[ends] - run[starts]) * down[starts] ^ (ends - starts).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+
+
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PROBES = ("Hello,", "straße", "ÉLAN.", "thereou", "Ünï", "WORLD?!", "año:")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell the UTF-8 bytes of the Latin letters that lie beyond ASCII."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(x for x in range(256) if x not in shown)}
+    return {c: "".join(names[x] for x in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class WordIds(dict):
     """word (bytes between ASCII white space) -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer collapses white space and never merges across it, so the ids of a text are those of its words
-    in a row. Each distinct word is encoded once per worker process by the tokenizers library; the cache is
-    emptied when it holds `most` words, which bounds memory and never changes a result.
+    in a row. A distinct word is encoded once per worker process by the tokenizers library. Plain words skip what cannot
+    change them: lower-cased Latin letters go to the library's model directly, closing marks are words of their own;
+    probes at the start show whether the tokenizer at hand allows that. Batches look words up by hash in sorted arrays of at
+    most `most_known` words; this dictionary holds two generations of `most` words. Both bounds never change a result.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 60_000, most_known: int = 1_500_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.most, self.tokenizer = path, most, Tokenizer.from_file(path)
-
-    def encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.path, self.most, self.older, self.tokenizer = path, most, {}, Tokenizer.from_file(path)
+        self.model, self.letters, self.plain = self.tokenizer.model, _byte_letters(), True
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.most_known = most_known
+        self._forget()
+        self.plain = all(self._short(w) == self.encode(w) for w in _PROBES)
+
+    def encode(self, word: str) -> bytes:
+        return b"".join([self.bytes_of[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def _short(self, word: str) -> bytes | None:
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            return None
+        core = m[1].lower()
+        if m[2] or core != word:
+            return self[core.encode()] + (self[m[2].encode()] if m[2] else b"")
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(core if core.isascii() else core.translate(self.letters))])
 
     def __missing__(self, word: bytes) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            text = word.decode("utf-8", "replace")
+            out = self._short(text) if self.plain else None
+            if out is None:
+                out = self.encode(text)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        m = _PLAIN.match(word)
-        if m and (m[2] or word != word.lower()):  # plain letters and digits: case is dropped, closing marks are split off
-            core = m[1].lower()
-            out = self[core] + (self[m[2]] if m[2] else b"")
-        else:
-            out = self.encode(word)
         self[word] = out
         return out
 
-    def ids(self, body: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, body.split()))
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.known, self.begin, self.size, self.flat, self.used = np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(1 << 16, "u4"), 0
+
+    def batch(self, bodies: list[bytes]):
+        """Ids of all texts in a row (uint32), where each text ends among them, and where each word ends.
+
+        Words are told apart by a hash over one running sum of the bytes, so a batch asks the cache once per distinct word.
+        """
+        import numpy as np
+
+        joined = b"\n".join(bodies)
+        starts, ends, h = split_words(joined)
+        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            if len(self.known) + len(new) > self.most_known:
+                self._forget()
+                new = np.arange(len(distinct))
+            found = [self[joined[i:j]] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            size = np.fromiter(map(len, found), "i8", len(found)) >> 2
+            into = np.searchsorted(self.known, distinct[new])
+            self.begin = np.insert(self.begin, into, self.used + np.cumsum(size) - size)
+            self.size = np.insert(self.size, into, size)
+            self.known = np.insert(self.known, into, distinct[new])
+            flat = np.frombuffer(b"".join(found), "<u4")
+            while self.used + len(flat) > len(self.flat):
+                self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), len(flat)), "u4")]
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            at = np.searchsorted(self.known, distinct)
+        begin, size, flat = self.begin[at], self.size[at], self.flat
+        n = size[inverse]
+        word_ends = np.cumsum(n)
+        total = int(word_ends[-1]) if len(n) else 0
+        ids = flat[np.repeat(begin[inverse] - (word_ends - n), n) + np.arange(total)]
+        text_ends = np.cumsum([len(b) + 1 for b in bodies])
+        words_before = np.searchsorted(starts, text_ends)
+        return ids, np.r_[0, word_ends][words_before], word_ends
+
+    def stream(self, bodies: list[bytes], most: int = 1_000_000):
+        """batch() over runs of texts of about `most` bytes: (from, to, ids, text ends, word ends)."""
+        lo, size = 0, 0
+        for k, b in enumerate(bodies):
+            size += len(b)
+            if size >= most or k + 1 == len(bodies):
+                yield lo, k + 1, *self.batch(bodies[lo : k + 1])
+                lo, size = k + 1, 0
 
 
 _words: dict[str, WordIds] = {}

@@ -8,7 +8,7 @@ the penalty of the cut that ends it. With p the place of a cut and f its least t
     f(j) = penalty(j) + min( min over i with p(j) - p(i) <= window of f(i) + p(i), plus window - p(j);
                              f(i) for p(i) = p(j) - 2^k )
 
-The inner minimum slides forward, so a monotone queue holds it and every cut enters and leaves the queue once.
+Powers below LEAST_POWER are tried for the last window of a stream only. The inner minimum slides forward, so a monotone queue holds it and every cut enters and leaves the queue once.
 Partitions pack on their own: no shuffle, and one short tail each, which is itself cut by the same rule.
 
 Defined cases: null text counts as empty, a document then has the end id alone; documents longer than a window span
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table, text_bytes, tokenizer_path, word_ids
 
-WINDOW, SENTENCE, HARD, HARD_STEP = 4096, 8, 64, 256
+WINDOW, SENTENCE, HARD, HARD_STEP, LEAST_POWER = 4096, 8, 64, 256, 512
 #: Ids of a partition that are packed at a time; its last, unfinished window is carried into the next stretch.
 STRETCH = 2_000_000
 
@@ -38,17 +38,18 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
 
     places: ascending cuts above 0, none more than `window` after the one before; the last ends the stream.
     """
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    at, cost, came, seen = [0, *places], [0], [0], {0: 0}
+    powers = [1 << k for k in range(window.bit_length()) if LEAST_POWER <= 1 << k < window]
+    at, cost, came, seen, last = [0, *places], [0], [0], {0: 0}, len(places)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + p, index), rising
     for j, (p, penalty) in enumerate(zip(places, penalties, strict=True), 1):
         while at[queue[0][1]] < p - window:
             queue.popleft()
         best, back = queue[0][0] + window - p, queue[0][1]
-        for d in powers:
-            i = seen.get(p - d)
-            if i is not None and cost[i] < best:
-                best, back = cost[i], i
+        for d in powers if j < last else [1 << k for k in range(window.bit_length()) if 1 << k < window]:
+            if p - d in seen:
+                i = seen[p - d]
+                if cost[i] < best:
+                    best, back = cost[i], i
         best += penalty
         cost.append(best)
         came.append(back)
@@ -140,17 +141,18 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
-            for doc, body in zip(b.doc_id, b.body, strict=True):
-                pieces = list(map(words.__getitem__, body.split()))
-                ids = b"".join(pieces)
-                stops = np.cumsum(np.fromiter(map(len, pieces), "i8", len(pieces))) >> 2
-                stops = stops[stops > 0]
-                stops = stops[closing[np.minimum(np.frombuffer(ids, "<u4")[stops - 1], len(closing) - 1)]]
-                ids += end
-                segments.append((doc, 0, len(ids) // 4, ids, stops))
-                size += len(ids) // 4
-                if size >= STRETCH:
-                    yield from rows(False)
+            for lo, hi, all_ids, bounds, word_ends in words.stream(list(b.body)):
+                word_ends = word_ends[np.diff(word_ends, prepend=0) > 0]  # a word may have no ids
+                all_stops = word_ends[closing[np.minimum(all_ids[word_ends - 1], len(closing) - 1)]]
+                cut = np.searchsorted(all_stops, bounds, "right")
+                at = k = 0
+                for doc, to, stop in zip(b.doc_id.iloc[lo:hi], bounds.tolist(), cut.tolist(), strict=True):
+                    ids = all_ids[at:to].astype("<u4").tobytes() + end
+                    segments.append((doc, 0, len(ids) // 4, ids, all_stops[k:stop] - at))
+                    size += len(ids) // 4
+                    at, k = to, stop
+                    if size >= STRETCH:
+                        yield from rows(False)
         if segments:
             yield from rows(True)
 
