@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, text_bytes, tokenizer_path, word_ids, work_dir
+from lodestone.llm.common import materialise, table, text_bytes, tokenizer_path, word_ids, work_dir
 
 DICT_DOCS, DICT_BYTES, DICT_SIZE, LEVEL, BLOCK_BYTES = 2000, 4096, 64 * 1024, 3, 4 << 20
 
@@ -52,7 +52,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     def serialized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "s": [_narrow(words.ids(x[: 4 * DICT_BYTES]), width)[:DICT_BYTES] for x in b.body]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "s": [_narrow(words.batch([x[: 4 * DICT_BYTES]])[0].tobytes(), width)[:DICT_BYTES] for x in b.body]})
 
     rows = docs.where(F.col("doc_id").isin(chosen)).select("doc_id", text_bytes()).mapInPandas(serialized, "doc_id long, s binary").collect()
     samples = [bytes(r.s) + end_id.to_bytes(width, "little") for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.s)))]
@@ -77,14 +77,16 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     held = spark.sparkContext.broadcast(shared)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
         import zstandard
 
         words, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
         d = zstandard.ZstdCompressionDict(held.value) if held.value else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True)
         for b in batches:
-            ids = [words.ids(x) + end for x in b.body]
-            yield pd.DataFrame({"doc_id": b.doc_id, "n": [len(x) // 4 for x in ids], "frame": [press.compress(_narrow(x, width)) for x in ids]})
+            for lo, hi, ids, bounds, _ in words.stream(list(b.body)):
+                parts = [x.astype("<u4").tobytes() + end for x in np.split(ids, bounds[:-1])]
+                yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "n": [len(x) // 4 for x in parts], "frame": [press.compress(_narrow(x, width)) for x in parts]})
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -108,10 +110,10 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
         if rows:
             yield out()
 
+    # Written first: finding the range bounds reads the rows once more, and would encode every text again.
+    frames = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(encode, "doc_id long, n long, frame binary"))
     (
-        docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-        .mapInPandas(encode, "doc_id long, n long, frame binary")
-        .repartitionByRange("doc_id", F.xxhash64("frame")).sortWithinPartitions("doc_id", "frame")
+        frames.repartitionByRange("doc_id", F.xxhash64("frame")).sortWithinPartitions("doc_id", "frame")
         .select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "n", "frame")
         .mapInPandas(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     )
