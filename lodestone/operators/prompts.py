@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as tx
 
+# Tags, word lists and texts that answers and prompts are made of.
 URL_TAG = r"\[Image URL:\s*(.*?)\]"
 CAPTION_TAG = r"(?i)\[IMAGE / FIGURE:\s*(.*?)\]"
 FOCUS = ("diagram", "figure", "image", "chart", "table", "graph", "histogram", "architecture", "training", "model", "pipeline", "what is", "how does", "why")
