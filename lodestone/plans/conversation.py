@@ -256,15 +256,15 @@ def feedback_export(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", "event_type", F.unix_timestamp(F.date_trunc("second", "ts")).alias("at"))
-    return e.groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_set("event_type")).alias("files"), F.max("at").alias("modified_at"), (F.min("at") + 86400 * 20).alias("expires_at"))
+    return e.groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_set("event_type")).alias("files"), F.max("at").alias("modified_at"), (F.max("at") + F.first("user_id") % 9 * 86400).alias("expires_at"))
 
 
 def _with_now(spark: SparkSession, sf: str, s: DataFrame) -> DataFrame:
-    now = table(spark, sf, "events").agg((F.max(F.unix_timestamp(F.date_trunc("second", "ts"))) - 86400 * 5).alias("now"))
+    now = table(spark, sf, "events").agg((F.max(F.unix_timestamp(F.date_trunc("second", "ts"))) + 86400 * 4).alias("now"))
     return s.crossJoin(F.broadcast(now))  # one row
 
 
-@query("WITH ses AS (SELECT user_id AS session_id, max(floor(epoch(ts)))::BIGINT AS modified_at, min(floor(epoch(ts)))::BIGINT + 86400 * 20 AS expires_at FROM events GROUP BY user_id), cut AS (SELECT max(floor(epoch(ts)))::BIGINT - 86400 * 5 AS now FROM events) SELECT session_id, expires_at FROM ses, cut WHERE expires_at >= now")
+@query("WITH ses AS (SELECT user_id AS session_id, max(floor(epoch(ts)))::BIGINT AS modified_at, max(floor(epoch(ts)))::BIGINT + user_id % 9 * 86400 AS expires_at FROM events GROUP BY user_id), cut AS (SELECT max(floor(epoch(ts)))::BIGINT + 86400 * 4 AS now FROM events) SELECT session_id, expires_at FROM ses, cut WHERE expires_at >= now")
 def session_active(spark: SparkSession, sf: str) -> DataFrame:
     return chat.active(_with_now(spark, sf, _sessions(spark, sf)), F.col("now")).select("session_id", "expires_at")
 

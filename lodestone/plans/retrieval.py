@@ -283,11 +283,12 @@ def citation_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.citations(_kept(spark, sf), query="item_id", source="source", order="rank", score="kept_score")
 
 
-@query(f"""WITH {FILTER_SQL(0.42)}, m AS (SELECT item_id, text AS question FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM kept))
+@query(f"""WITH {FILTER_SQL(0.42)}, m AS (SELECT item_id, text AS question FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM kept WHERE kept_score >= 0.82))
 SELECT item_id, 'I could not find any information about ''' || question || ''' in the uploaded documents. Please upload a document containing this topic or ask about your indexed files.' AS answer, 0.0::DOUBLE AS confidence, false AS is_grounded FROM m""")
 def missing_answers(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    return guardrails.missing_answers(q, _kept(spark, sf, sc.threshold("strict")), query="item_id", question="question")
+    sure = _kept(spark, sf, sc.threshold("strict")).where("kept_score >= 0.82")  # a demanding reader: few questions count as answered
+    return guardrails.missing_answers(q, sure, query="item_id", question="question")
 
 
 @query(f"""WITH {FILTER_SQL(0.35)}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY kept_score DESC, rank) AS rn FROM kept),

@@ -1,6 +1,7 @@
 """Every registered query of the package against its oracle SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lodestone.plans import answering, conversation, figures, retrieval  # noqa: F401
@@ -19,7 +20,7 @@ def con(sf):
 
 def rows(frame, columns):
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             return str(v)
