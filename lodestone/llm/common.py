@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -31,10 +32,19 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch between Spark and Python while a table is written; texts may be long, so batches are short.
+BATCH_ROWS = 1000
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    path, conf, key = work_dir(df.sparkSession), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -108,7 +118,7 @@ class WordIds(dict):
     most `most_known` words; this dictionary holds two generations of `most` words. Both bounds never change a result.
     """
 
-    def __init__(self, path: str, most: int = 60_000, most_known: int = 1_500_000):
+    def __init__(self, path: str, most: int = 60_000, most_known: int = 1_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -207,6 +217,36 @@ def word_ids(path: str) -> WordIds:
     return _words[path]
 
 
+def trim() -> None:
+    """Gives memory that this worker process has freed back to the system; workers are kept, and idle ones count as well."""
+    import ctypes
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_calls = 0
+
+
+def trim_sometimes(every: int = 100) -> None:
+    global _calls
+    _calls += 1
+    if _calls % every == 0:
+        trim()
+
+
+def release_words() -> None:
+    """Drops the caches that an earlier stage left in this worker process."""
+    _words.clear()
+    trim()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

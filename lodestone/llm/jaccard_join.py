@@ -30,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded, finish, materialise, split_words, table, text_bytes
+from lodestone.llm.common import bounded, finish, materialise, release_words, split_words, table, text_bytes, trim, trim_sometimes
 
 SHINGLE, PERCENT, FAMILY, GROUP, QUERIES_PER_TASK_GROUP = 5, 75, 40, 64, 64
 #: Tokens of a chunk in which frequent ones are counted; least count there and overall; most frequent tokens kept.
-CHUNK_TOKENS, LEAST_IN_CHUNK, LEAST_OVERALL, MOST_FREQUENT = 4_000_000, 2, 4, 1_000_000
+CHUNK_TOKENS, LEAST_IN_CHUNK, LEAST_OVERALL, MOST_FREQUENT = 2_000_000, 2, 4, 1_000_000
 #: Least count of a word in a chunk for it to be counted, and how many of the commonest words are kept.
 LEAST_WORD, MOST_WORDS = 12, 100_000
 #: Every SHARE tokens of a set lengthen its deciding part by one, and ask for one more shared token.
@@ -96,6 +96,7 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per document: set size, signature, min-hashes; and rows of tokens that are frequent in a chunk."""
     import numpy as np
 
+    release_words()
     names = [c.split()[0] for c in FIRST.split(", ")]
     held: list = []
     spoken: list = []
@@ -136,6 +137,8 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.reindex(columns=names)
     if held:
         yield frequent()
+    held = spoken = None
+    trim()
 
 
 def needed(n: int) -> int:
@@ -181,6 +184,7 @@ def verify(docs: DataFrame, candidates: DataFrame, members: DataFrame, percent:
     def opened(key, g: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
+        trim_sometimes()
         g = g.drop_duplicates(["d", "ask"])
         held = [(d, shingle_set(b)) for d, b in sorted(zip(g.d[~g.ask], g.body[~g.ask], strict=True), key=lambda x: x[0])]
         union = np.unique(np.concatenate([s for _, s in held])) if held else np.empty(0, "u8")
@@ -208,6 +212,7 @@ def _matrix_rows(docs: DataFrame, groups: DataFrame, frequent, percent: int) ->
     def deciding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"d": b.doc_id, "prefix": [deciding_tokens(x, *held.value, percent).tobytes() for x in b.body]})
+        trim()
 
     prefixes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(deciding, "d long, prefix binary")
 
@@ -234,6 +239,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of groups of different families with the number of tokens they share; gets all rows of a token."""
     import numpy as np
 
+    release_words()
     frames = list(batches)
     if not frames:
         return
@@ -264,11 +270,13 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(rest):
                 found.append(np.column_stack([np.full(len(rest), gs[i]), rest, np.ones(len(rest), "i8")]))
                 size += len(rest)
-        if size > 1_000_000:
+        if size > 400_000:
             found = [_summed(found)]
             size = 0
     if found:
         yield pd.DataFrame(_summed(found), columns=["g1", "g2", "shared"])
+    del t, f, g, order, found
+    trim()
 
 
 def _summed(parts: list):
@@ -320,6 +328,7 @@ def compare(docs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataF
     def opened(key, g: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
+        trim_sometimes()
         g = g.drop_duplicates(["d", "side"]).sort_values(["side", "d"])
         d, comp, side = g.d.to_numpy(), g.comp.to_numpy(), g.side.to_numpy()
         sets = [shingle_set(b) for b in g.body]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, text_bytes, tokenizer_path, word_ids
+from lodestone.llm.common import table, text_bytes, tokenizer_path, trim, word_ids
 
 WINDOW, SENTENCE, HARD, HARD_STEP, LEAST_POWER = 4096, 8, 64, 256, 512
 #: Ids of a partition that are packed at a time; its last, unfinished window is carried into the next stretch.
@@ -155,6 +155,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
                         yield from rows(False)
         if segments:
             yield from rows(True)
+        segments = None
+        trim()
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(packed, PIECES)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.boosting import Boosted, Isotonic
-from lodestone.llm.common import table
+from lodestone.llm.common import table, trim_sometimes
 
 TRAIN_ROWS, THRESHOLD, NEAR = 9000, 0.7, 4
 #: Stems a word counts for, by length, besides itself; the least toxic texts a term must occur in; the least log-odds.
@@ -50,7 +50,7 @@ class _Words(dict):
         self.odds = odds
 
     def __missing__(self, raw: str) -> int:
-        if len(self) > 800_000:
+        if len(self) > 200_000:
             self.clear()
         word = _MARKS.sub("", raw).lower()
         core = raw.strip(".,;:!?\"'()[]")
@@ -165,6 +165,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        trim_sometimes(8)
         return pd.Series(held.value.score([t or "" for t in texts]), dtype="float64")
 
     return docs.withColumn("tox_score", scored(F.coalesce("text", F.lit("")))).withColumn("tox_predicted", (F.col("tox_score") >= THRESHOLD).cast("int"))
