@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
-import re
 import tempfile
 import uuid
 
@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made for the session.
+    Only where that setting is absent and Spark runs in one process (tests) a temporary folder is made for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
@@ -58,12 +60,8 @@ def text_bytes(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
 
 
-_BASE = 0x9E3779B97F4A7C15
-_tables: dict = {}
-
-
 def finish(x):
-    """64-bit finaliser on a NumPy array."""
+    """64-bit finaliser on a NumPy array: a bijection."""
     import numpy as np
 
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,34 +69,57 @@ def finish(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int):
-    """Byte values, word-byte mask, and powers of the base and of its inverse mod 2^64, for texts of up to n bytes."""
+#: Bytes of a word that two integers hold; longer words are hashed by BLAKE2b.
+HEAD = 16
+_tables: list = []
+
+
+def word_edges(body: bytes):
+    """Starts and ends of the words between ASCII white space."""
     import numpy as np
 
-    if _tables.get("n", 0) < n:
-        n = 1 << (n - 1).bit_length()
-        power = lambda p: np.cumprod(np.r_[np.uint64(1), np.full(n, p, "u8")])
+    if not _tables:
         word = np.ones(256, bool)
         word[[32, 9, 10, 11, 12, 13]] = False
-        _tables.update(n=n, all=(finish(np.arange(1, 257, dtype="u8") * np.uint64(_BASE)), word, power(_BASE), power(pow(_BASE, -1, 1 << 64))))
-    return _tables["all"]
+        _tables.extend((word, np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")))
+    edges = np.flatnonzero(np.diff(_tables[0][np.frombuffer(body, "u1")], prepend=False, append=False))
+    return edges[::2], edges[1::2]
 
 
-def split_words(body: bytes):
-    """Starts, ends and 64-bit hashes of the words between ASCII white space, by differences of one running sum over the bytes."""
+def word_heads(body: bytes, starts, ends):
+    """The first HEAD bytes of each word as two little-endian integers, zero beyond its end: with the length they are a short word's identity."""
+    import numpy as np
+
+    view = np.ndarray((len(body) + 9,), "<u8", body + bytes(HEAD), 0, (1,))
+    size, mask = ends - starts, _tables[1]
+    low, high = view[starts] & mask[np.minimum(size, 8)], np.zeros(len(starts), "u8")
+    more = np.flatnonzero(size > 8)
+    high[more] = view[starts[more] + 8] & mask[np.minimum(size[more] - 8, 8)]
+    return low, high
+
+
+def word_hashes(body: bytes, starts, ends, low, high):
+    """64-bit hashes of words. Words of one length up to 8 never share one; those above HEAD bytes go through BLAKE2b."""
     import numpy as np
 
-    b = np.frombuffer(body, "u1")
-    values, word, up, down = _powers(max(len(b), 1024))
-    edges = np.flatnonzero(np.diff(word[b], prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    run = np.zeros(len(b) + 1, "u8")
-    np.cumsum(values[b] * up[: len(b)], out=run[1:])
-    return starts, ends, finish((run[ends] - run[starts]) * down[starts] ^ (ends - starts).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+    size = (ends - starts).astype("u8")
+    h = finish(low ^ size * np.uint64(0xD6E8FEB86659FD93))
+    more = np.flatnonzero(size > 8)
+    h[more] = finish(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ finish(high[more] + np.uint64(0xC2B2AE3D27D4EB4F)))
+    long = np.flatnonzero(size > HEAD)
+    h[long] = [int.from_bytes(hashlib.blake2b(body[i:j], digest_size=8).digest(), "little") for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
 
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-_PROBES = ("Hello,", "straße", "ÉLAN.", "thereou", "Ünï", "WORLD?!", "año:")
+def split_words(body: bytes):
+    """Starts, ends and 64-bit hashes of the words between ASCII white space."""
+    starts, ends = word_edges(body)
+    return starts, ends, word_hashes(body, starts, ends, *word_heads(body, starts, ends))
+
+
+_PROBES = ("Hello,", "straße", "ÉLAN.", "thereou", "Ünï", "WORLD?!", "año:", "a×b", "x÷", "...")
+_MARKS = b".,;:!?"
+_SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -108,14 +129,55 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(names[x] for x in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+def split_units(body: bytes):
+    """Units of the words of a UTF-8 text: (small letters, starts, ends, plain).
+
+    A word of Latin letters, with or without closing marks after them, gives a unit of its letters and one of its marks;
+    both are plain, and are spelt in small letters. Any other word is one unit, spelt as it is.
+    """
+    import numpy as np
+
+    if len(_tables) < 3:
+        word_edges(b"")
+        kind = np.full(256, 3, "u1")
+        kind[[32, 9, 10, 11, 12, 13]] = 0
+        kind[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+        kind[list(_MARKS)] = 2
+        _tables.append(kind)
+    raw = np.frombuffer(body, "u1")
+    small = np.frombuffer(body.translate(_SMALL), "u1").copy()
+    kind = _tables[2][raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    after = raw[lead + 1]
+    kind[lead[(after == 0x97) | (after == 0xB7)]] = 3  # the signs among the letters
+    small[lead[(after <= 0x9E) & (after != 0x97)] + 1] += 0x20
+    cut = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    begin = np.r_[0, cut] if len(raw) else cut
+    end = np.r_[cut, len(raw)] if len(raw) else cut
+    of = np.r_[kind[begin], np.zeros(3, "u1")]  # kind of each run
+    gap = np.flatnonzero(of == 0)
+    first = np.flatnonzero((of[:-3] != 0) & (np.r_[0, of[:-4]] == 0)) if len(begin) else cut
+    letters = of[first] == 1
+    marked = letters & (of[first + 1] == 2) & (of[first + 2] == 0)
+    plain = marked | letters & (of[first + 1] == 0)
+    last = gap[np.searchsorted(gap, first)] - 1  # the last run of the word
+    place = np.cumsum(1 + marked) - (1 + marked)
+    many = len(first) + int(marked.sum())
+    starts, ends, is_plain = np.zeros(many, "i8"), np.zeros(many, "i8"), np.zeros(many, bool)
+    starts[place], ends[place], is_plain[place] = begin[first], np.where(marked, end[first], end[last]), plain
+    two = place[marked] + 1
+    starts[two], ends[two], is_plain[two] = begin[first[marked] + 1], end[first[marked] + 1], True
+    return small.tobytes(), starts, ends, is_plain
+
+
 class WordIds(dict):
     """word (bytes between ASCII white space) -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer collapses white space and never merges across it, so the ids of a text are those of its words
     in a row. A distinct word is encoded once per worker process by the tokenizers library. Plain words skip what cannot
     change them: lower-cased Latin letters go to the library's model directly, closing marks are words of their own;
-    probes at the start show whether the tokenizer at hand allows that. Batches look words up by hash in sorted arrays of at
-    most `most_known` words; this dictionary holds two generations of `most` words. Both bounds never change a result.
+    probes at the start show whether the tokenizer at hand allows that. Batches look units up by verified hash in sorted arrays
+    of at most `most_known` units; this dictionary holds two generations of `most` words. Both bounds never change a result.
     """
 
     def __init__(self, path: str, most: int = 60_000, most_known: int = 1_000_000):
@@ -124,81 +186,121 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.path, self.most, self.older, self.tokenizer = path, most, {}, Tokenizer.from_file(path)
-        self.model, self.letters, self.plain = self.tokenizer.model, _byte_letters(), True
-        self.bytes_of = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.most_known = most_known
         self._forget()
-        self.plain = all(self._short(w) == self.encode(w) for w in _PROBES)
-
-    def encode(self, word: str) -> bytes:
-        return b"".join([self.bytes_of[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
-
-    def _short(self, word: str) -> bytes | None:
-        m = _PLAIN.fullmatch(word)
-        if not m:
-            return None
-        core = m[1].lower()
-        if m[2] or core != word:
-            return self[core.encode()] + (self[m[2].encode()] if m[2] else b"")
-        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(core if core.isascii() else core.translate(self.letters))])
+        self.plain = True
+        self.plain = all(self.batch([w.encode()])[0].tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
+        self._forget()
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> list[int]:
         out = self.older.get(word)
         if out is None:
-            text = word.decode("utf-8", "replace")
-            out = self._short(text) if self.plain else None
-            if out is None:
-                out = self.encode(text)
+            out = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = out
         return out
 
+    def _letters(self, word: bytes) -> list[int]:
+        """Ids of a plain unit that is not known yet."""
+        if word[0] in _MARKS:
+            return self[word]
+        core = word.decode("utf-8", "replace")
+        return [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.letters))]
+
     def _forget(self) -> None:
         import numpy as np
 
-        self.known, self.begin, self.size, self.flat, self.used = np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(1 << 16, "u4"), 0
+        self.known, self.low, self.high = (np.zeros(0, "u8") for _ in range(3))
+        self.bytes, self.begin, self.size = (np.zeros(0, "i8") for _ in range(3))
+        self.long: dict[int, bytes] = {}  # hash -> unit, of known units above HEAD bytes
+        self.flat, self.used = np.zeros(1 << 16, "u4"), 0
 
     def batch(self, bodies: list[bytes]):
-        """Ids of all texts in a row (uint32), where each text ends among them, and where each word ends.
+        """Ids of all texts in a row (uint32), where each text ends among them, and where each unit (a word or a part of one) ends.
 
-        Words are told apart by a hash over one running sum of the bytes, so a batch asks the cache once per distinct word.
+        Units are looked up by hash, once per distinct one, and equal hashes are verified: short units by their bytes and
+        length, long ones by their bytes. A unit whose hash belongs to another one is encoded by its bytes alone.
         """
         import numpy as np
 
         joined = b"\n".join(bodies)
-        starts, ends, h = split_words(joined)
+        if self.plain:
+            small, starts, ends, plain = split_units(joined)
+        else:
+            small, (starts, ends) = joined, word_edges(joined)
+            plain = np.zeros(len(starts), bool)
+        size = ends - starts
+        low, high = word_heads(small, starts, ends)
+        odd_case = np.flatnonzero(~plain)
+        low[odd_case], high[odd_case] = word_heads(joined, starts[odd_case], ends[odd_case])
+        h = word_hashes(small, starts, ends, low, high)
+        # the two spellings of one string are told apart, as a unit's ids may depend on its kind
+        h[odd_case] = finish(h[odd_case] + np.uint64(1))
+        spelled = lambda k: (small if plain[k] else joined)[starts[k] : ends[k]]
+        encoded = lambda k: self._letters(spelled(k)) if plain[k] else self[spelled(k)]
+        kind = size * 2 + plain
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        own = first[inverse]
+        odd = (low != low[own]) | (high != high[own]) | (kind != kind[own])
+        for k in np.flatnonzero(size > HEAD).tolist():
+            odd[k] |= spelled(k) != spelled(own[k])
+
         at = np.searchsorted(self.known, distinct)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        is_known = self.known[np.minimum(at, len(self.known) - 1)] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        if len(self.known) + np.count_nonzero(~is_known) > self.most_known:
+            self._forget()
+            at, is_known = np.zeros(len(distinct), "i8"), np.zeros(len(distinct), bool)
+        seen, slot = np.flatnonzero(is_known), at[is_known]
+        clash = (self.low[slot] != low[first[seen]]) | (self.high[slot] != high[first[seen]]) | (self.bytes[slot] != kind[first[seen]])
+        for k in np.flatnonzero(size[first[seen]] > HEAD).tolist():
+            clash[k] |= self.long.get(int(distinct[seen[k]])) != spelled(first[seen[k]])
+        if clash.any():
+            taken = np.zeros(len(distinct), bool)
+            taken[seen[clash]] = True
+            odd |= taken[inverse]
+
+        new = np.flatnonzero(~is_known)
         if len(new):
-            if len(self.known) + len(new) > self.most_known:
-                self._forget()
-                new = np.arange(len(distinct))
-            found = [self[joined[i:j]] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            size = np.fromiter(map(len, found), "i8", len(found)) >> 2
-            into = np.searchsorted(self.known, distinct[new])
-            self.begin = np.insert(self.begin, into, self.used + np.cumsum(size) - size)
-            self.size = np.insert(self.size, into, size)
+            where, into = first[new], at[new]
+            found = list(map(encoded, where.tolist()))
+            self.long.update((x, spelled(k)) for x, k in zip(distinct[new].tolist(), where.tolist(), strict=True) if size[k] > HEAD)
+            n = np.fromiter(map(len, found), "i8", len(found))
+            self.begin = np.insert(self.begin, into, self._store(found) + np.cumsum(n) - n)
+            self.size, self.bytes = np.insert(self.size, into, n), np.insert(self.bytes, into, kind[where])
+            self.low, self.high = np.insert(self.low, into, low[where]), np.insert(self.high, into, high[where])
             self.known = np.insert(self.known, into, distinct[new])
-            flat = np.frombuffer(b"".join(found), "<u4")
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), len(flat)), "u4")]
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
             at = np.searchsorted(self.known, distinct)
-        begin, size, flat = self.begin[at], self.size[at], self.flat
-        n = size[inverse]
-        word_ends = np.cumsum(n)
-        total = int(word_ends[-1]) if len(n) else 0
-        ids = flat[np.repeat(begin[inverse] - (word_ends - n), n) + np.arange(total)]
+        begin, n = self.begin[at][inverse], self.size[at][inverse]
+        if odd.any():  # another unit's hash: practically never
+            k = np.flatnonzero(odd)
+            found = list(map(encoded, k.tolist()))
+            n[k] = np.fromiter(map(len, found), "i8", len(found))
+            begin[k] = self._store(found) + np.cumsum(n[k]) - n[k]
+        unit_ends = np.cumsum(n)
+        total = int(unit_ends[-1]) if len(n) else 0
+        ids = self.flat[np.repeat(begin - (unit_ends - n), n) + np.arange(total)]
         text_ends = np.cumsum([len(b) + 1 for b in bodies])
-        words_before = np.searchsorted(starts, text_ends)
-        return ids, np.r_[0, word_ends][words_before], word_ends
+        units_before = np.searchsorted(starts, text_ends)
+        return ids, np.r_[0, unit_ends][units_before], unit_ends
+
+    def _store(self, found: list[list[int]]) -> int:
+        """Appends ids to the flat array; where they begin."""
+        from itertools import chain
+
+        import numpy as np
+
+        flat, at = np.fromiter(chain.from_iterable(found), "u4"), self.used
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), len(flat)), "u4")]
+        self.flat[at : at + len(flat)] = flat
+        self.used += len(flat)
+        return at
 
     def stream(self, bodies: list[bytes], most: int = 1_000_000):
-        """batch() over runs of texts of about `most` bytes: (from, to, ids, text ends, word ends)."""
+        """batch() over runs of texts of about `most` bytes: (from, to, ids, text ends, unit ends)."""
         lo, size = 0, 0
         for k, b in enumerate(bodies):
             size += len(b)

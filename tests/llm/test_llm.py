@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lodestone.llm import exact_dedup, html_extract, jaccard_join, mixing, packing, registry, secrets, token_store, topk_search, toxicity, url_filter
+from lodestone.llm import common, exact_dedup, html_extract, jaccard_join, mixing, packing, registry, secrets, token_store, topk_search, toxicity, url_filter
 from lodestone.llm.common import WordIds, tokenizer_path
 
 DOCS = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("source", "string").add("n_chars", "long").add("score", "double").add("row", "string")
@@ -51,6 +51,19 @@ def test_word_ids_equal_whole_text_ids():
         assert got.tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_word_ids_of_words_that_share_a_hash(bits, monkeypatch):
+    """Equal hashes are verified: words that a polynomial hash confuses, and all words under a hash of a few bits."""
+    full = common.word_hashes
+    monkeypatch.setattr(common, "word_hashes", lambda *a: full(*a) & np.uint64((1 << bits) - 1))
+    texts = [thue_morse(n, a, b) for n in (1024, 2048, 4096, 8192) for a, b in ("ab", "ba")] + [x for x in awkward() if x]
+    w = WordIds(tokenizer_path())
+    for part in (texts[:5], texts[3:], texts):  # later batches meet words that are known already
+        ids, ends, _ = w.batch([t.encode() for t in part])
+        for got, want in zip(np.split(ids, ends[:-1]), plain_ids(part), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("texts", [awkward(), []])
 def test_token_store_round_trip(spark, tmp_path, texts):
     d = docs(spark, texts)
@@ -267,7 +280,7 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"GROUP": 4, "QUERIES_PER_TASK_GROUP": 3, "CHUNK_TOKENS": 500, "BROADCAST_PAIRS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"GROUP": 4, "QUERIES_PER_TASK_GROUP": 3, "CHUNK_TOKENS": 500, "BROADCAST_PAIRS": 0}, {"GROUP": 9, "GROUP_TOKENS": 100, "CELL": 2, "PARTS": 3, "FAMILY": 75}])
 def test_jaccard_classes(spark, limits, monkeypatch):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard_join, k, v)
@@ -281,6 +294,19 @@ def test_jaccard_empty(spark):
     assert [tuple(r) for r in jaccard_join.jaccard_classes(docs(spark, [None, "", " "])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_jaccard_awkward_rows(spark):
+    """Null and repeated doc_ids, repeated rows, and long words that polynomial hashes confuse."""
+    same = "one two three four five six"
+    rows = [(None, same), (7, same), (7, same), (7, "other text of the same id here"), (None, None), (None, "alone without an id at all"), (3, thue_morse(4096, "a", "b")), (4, thue_morse(4096, "b", "a"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("mine"))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(d).collect()), key=str)
+    assert got == sorted([(None, 2, 7), (7, 2, 7), (7, 2, 7), (7, 3, 7), (None, 0, None), (None, 2, None), (3, 1, 3), (4, 1, 4)], key=str)
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.comp for r in jaccard_join.components(e).collect()}
