@@ -8,25 +8,24 @@ the penalty of the cut that ends it. With p the place of a cut and f its least t
     f(j) = penalty(j) + min( min over i with p(j) - p(i) <= window of f(i) + p(i), plus window - p(j);
                              f(i) for p(i) = p(j) - 2^k )
 
-Powers below LEAST_POWER are tried for the last window of a stream only. The inner minimum slides forward, so a monotone queue holds it and every cut enters and leaves the queue once.
+The inner minimum slides forward, so a monotone queue holds it and every cut enters and leaves the queue once.
 Partitions pack on their own: no shuffle, and one short tail each, which is itself cut by the same rule.
 
 Defined cases: null text counts as empty, a document then has the end id alone; documents longer than a window span
-several; repeated rows are packed as they come; an empty table gives no rows; other columns are ignored.
+several; rows that repeat a doc_id, and rows whose doc_id is null, are documents of their own, packed as they come; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table, text_bytes, tokenizer_path, trim, word_ids
 
-WINDOW, SENTENCE, HARD, HARD_STEP, LEAST_POWER = 4096, 8, 64, 256, 512
+WINDOW, SENTENCE, HARD, HARD_STEP = 4096, 8, 64, 256
 #: Ids of a partition that are packed at a time; its last, unfinished window is carried into the next stretch.
 STRETCH = 2_000_000
 
@@ -38,26 +37,46 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
 
     places: ascending cuts above 0, none more than `window` after the one before; the last ends the stream.
     """
-    powers = [1 << k for k in range(window.bit_length()) if LEAST_POWER <= 1 << k < window]
-    at, cost, came, seen, last = [0, *places], [0], [0], {0: 0}, len(places)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + p, index), rising
-    for j, (p, penalty) in enumerate(zip(places, penalties, strict=True), 1):
-        while at[queue[0][1]] < p - window:
-            queue.popleft()
-        best, back = queue[0][0] + window - p, queue[0][1]
-        for d in powers if j < last else [1 << k for k in range(window.bit_length()) if 1 << k < window]:
-            if p - d in seen:
-                i = seen[p - d]
-                if cost[i] < best:
-                    best, back = cost[i], i
-        best += penalty
-        cost.append(best)
-        came.append(back)
-        seen[p] = j
-        while queue and queue[-1][0] >= best + p:
-            queue.pop()
-        queue.append((best + p, j))
-    ends, j = [], len(places)
+    import numpy as np
+
+    spots = np.r_[0, np.asarray(places, "i8")]
+    many = len(spots)
+    index = np.full(int(spots[-1]) + 1, -1, "i8")
+    index[spots] = np.arange(many)
+    # Cuts a power of two before each cut, in one go: most powers have none, and the loop below sees the others only.
+    found = []
+    for d in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+        j = np.arange(np.searchsorted(spots, d), many)
+        i = index[spots[j] - d]
+        found.append(np.column_stack([j, i])[i >= 0])
+    hits = np.concatenate(found) if found else np.zeros((0, 2), "i8")
+    hits = hits[np.argsort(hits[:, 0], kind="stable")]
+    upto = np.searchsorted(hits[:, 0], np.arange(many), "right").tolist()
+    before, at = hits[:, 1].tolist(), spots.tolist()
+
+    cost, came = [0] * many, [0] * many
+    value, where, head, used = [0], [0], 0, 0  # the queue: f + p, rising, and the cut; it begins at head
+    for j in range(1, many):
+        p = at[j]
+        low = p - window
+        while at[where[head]] < low:
+            head += 1
+        best, back = value[head] + window - p, where[head]
+        stop = upto[j]
+        while used < stop:
+            i = before[used]
+            used += 1
+            if cost[i] < best:
+                best, back = cost[i], i
+        best += penalties[j - 1]
+        cost[j], came[j] = best, back
+        best += p
+        while len(value) > head and value[-1] >= best:
+            value.pop()
+            where.pop()
+        value.append(best)
+        where.append(j)
+    ends, j = [], many - 1
     while j:
         ends.append(at[j])
         j = came[j]
@@ -113,10 +132,11 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
     """Pieces of packed sequences with their ids. sequence_id is partition * 2^36 + the window's number there."""
     tokenizer = tokenizer or tokenizer_path()
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator) -> Iterator:
         import re
 
         import numpy as np
+        import pyarrow as pa
         from pyspark import TaskContext
 
         words, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
@@ -126,7 +146,9 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
         first, made = TaskContext.get().partitionId() << 36, 0
         segments, size = [], 0
 
-        def rows(final: bool) -> Iterator[pd.DataFrame]:
+        kinds = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
+
+        def rows(final: bool) -> Iterator:
             nonlocal segments, size, made
             windows, segments = _windows(segments, final, window)
             size = sum(len(s[3]) // 4 for s in segments)
@@ -138,15 +160,16 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
                         out.append((doc, start, len(ids) // 4, total, first + made, offset, ids))
                         offset += len(ids) // 4
                     made += 1
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
         for b in batches:
-            for lo, hi, all_ids, bounds, word_ends in words.stream(list(b.body)):
-                word_ends = word_ends[np.diff(word_ends, prepend=0) > 0]  # a word may have no ids
+            doc_ids = b.column("doc_id").to_pylist()
+            for lo, hi, all_ids, bounds, word_ends in words.stream(b.column("body").to_pylist()):
+                word_ends = word_ends[np.diff(word_ends, prepend=0) > 0]  # a unit may have no ids
                 all_stops = word_ends[closing[np.minimum(all_ids[word_ends - 1], len(closing) - 1)]]
                 cut = np.searchsorted(all_stops, bounds, "right")
                 at = k = 0
-                for doc, to, stop in zip(b.doc_id.iloc[lo:hi], bounds.tolist(), cut.tolist(), strict=True):
+                for doc, to, stop in zip(doc_ids[lo:hi], bounds.tolist(), cut.tolist(), strict=True):
                     ids = all_ids[at:to].astype("<u4").tobytes() + end
                     segments.append((doc, 0, len(ids) // 4, ids, all_stops[k:stop] - at))
                     size += len(ids) // 4
@@ -158,7 +181,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
         segments = None
         trim()
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(packed, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(packed, PIECES)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
