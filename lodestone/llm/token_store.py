@@ -3,9 +3,10 @@
 File format ("frames"): a Parquet container whose rows are blocks of documents in ascending doc_id order. A block has
 
 * ``payload``: one zstandard frame per document, compressed on its own with the shared dictionary,
-* ``doc_ids``, ``ends``, ``counts``: little-endian int64 arrays, one entry per document; a document's frame is
+* ``doc_ids``, ``ends``, ``counts``: little-endian int64 arrays, one entry per document, and ``missing``, a byte for each
+  that is 1 where the doc_id is null (its entry is 0 then); a document's frame is
   ``payload[ends[k-1]:ends[k]]``, so a short document is opened by reading one block's index and one frame,
-* ``first_doc``, ``last_doc``: bounds that Parquet statistics prune by,
+* ``first_doc``, ``last_doc``: bounds of the ids that aren't null, which Parquet statistics prune by,
 * ``shard``, ``block``, ``shard_start``: place in the corpus, and ids of the shard before this block,
 * ``dict_sha256``, ``width``: the dictionary's hash, and the bytes of a serialized id (2 or 4, little-endian).
 
@@ -13,7 +14,7 @@ The dictionary lies beside the blocks as a one-row table. It is trained on at mo
 xxhash64(doc_id)), each cut to DICT_BYTES serialized bytes: a bounded model fit that affects size, never content.
 
 Defined cases: null text counts as empty; an empty document has the end id alone; repeated doc_ids are kept, ordered
-by their ids; an empty table gives an empty store; other columns are ignored.
+by their frames; rows whose doc_id is null come last, ordered likewise; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, table, text_bytes, tokenizer_path, word_ids, work_dir
+from lodestone.llm.common import bounded, materialise, table, text_bytes, tokenizer_path, word_ids, work_dir
 
 DICT_DOCS, DICT_BYTES, DICT_SIZE, LEVEL, BLOCK_BYTES = 2000, 4096, 64 * 1024, 3, 4 << 20
 
 BLOCKS = (
     "shard long, block long, first_doc long, last_doc long, n_docs long, shard_start long, n_tokens long, width int, "
-    "dict_sha256 string, doc_ids binary, ends binary, counts binary, payload binary"
+    "dict_sha256 string, doc_ids binary, missing binary, ends binary, counts binary, payload binary"
 )
 
 
@@ -76,33 +77,39 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     spark.createDataFrame([(digest, bytearray(shared), meta)], "dict_sha256 string, dictionary binary, meta string").coalesce(1).write.parquet(f"{path}/dictionary")
     held = spark.sparkContext.broadcast(shared)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
         import zstandard
 
         words, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
         d = zstandard.ZstdCompressionDict(held.value) if held.value else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True)
         for b in batches:
-            for lo, hi, ids, bounds, _ in words.stream(list(b.body)):
+            for lo, hi, ids, bounds, _ in words.stream(b.column("body").to_pylist()):
                 parts = [x.astype("<u4").tobytes() + end for x in np.split(ids, bounds[:-1])]
-                yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "n": [len(x) // 4 for x in parts], "frame": [press.compress(_narrow(x, width)) for x in parts]})
+                frames = [press.compress(_narrow(x, width)) for x in parts]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
+
+        kinds = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in BLOCKS.split(", ")])
 
         at, start, rows, size = 0, 0, [], 0
 
-        def out() -> pd.DataFrame:
+        def out():
             nonlocal at, start, rows, size
             part, n = rows[0][0], [r[2] for r in rows]
             le = lambda x: np.asarray(x, "<i8").tobytes()
-            row = (part, at, rows[0][1], rows[-1][1], len(rows), start, sum(n), width, digest, le([r[1] for r in rows]), le(np.cumsum([len(r[3]) for r in rows])), le(n), b"".join(r[3] for r in rows))
+            known = [r[1] for r in rows if r[1] is not None]
+            row = (part, at, known[0] if known else None, known[-1] if known else None, len(rows), start, sum(n), width, digest, le([r[1] or 0 for r in rows]), bytes(r[1] is None for r in rows), le(np.cumsum([len(r[3]) for r in rows])), le(n), b"".join(r[3] for r in rows))
             at, start, rows, size = at + 1, start + sum(n), [], 0
-            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], k.type) for x, k in zip(row, kinds, strict=True)], schema=kinds)
 
         for b in batches:
-            for r in zip(b.shard, b.doc_id, b.n, b.frame, strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n", "frame")), strict=True):
                 rows.append(r)
                 size += len(r[3])
                 if size >= BLOCK_BYTES:
@@ -111,11 +118,11 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
             yield out()
 
     # Written first: finding the range bounds reads the rows once more, and would encode every text again.
-    frames = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInPandas(encode, "doc_id long, n long, frame binary"))
+    frames = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(encode, "doc_id long, n long, frame binary"))
     (
-        frames.repartitionByRange("doc_id", F.xxhash64("frame")).sortWithinPartitions("doc_id", "frame")
+        frames.repartitionByRange(F.asc_nulls_last("doc_id"), F.xxhash64("frame")).sortWithinPartitions(F.asc_nulls_last("doc_id"), F.xxhash64("frame"), "frame")
         .select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "n", "frame")
-        .mapInPandas(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+        .mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     )
 
 
@@ -136,24 +143,27 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
     else:
         want = None
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
         import zstandard
 
         raw, digest = held.value
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
         for b in batches:
-            for r in b.itertuples():
-                if r.dict_sha256 != digest:
-                    raise ValueError(f"block {r.shard}/{r.block} was written with another dictionary")
-                ids, ends, counts = (np.frombuffer(x, "<i8") for x in (r.doc_ids, r.ends, r.counts))
-                starts_, begins = r.base + r.shard_start + np.cumsum(counts) - counts, np.r_[0, ends[:-1]]
-                pick = range(len(ids)) if want is None else [k for k, x in enumerate(ids) if x in want]
+            for r in b.to_pylist():
+                if r["dict_sha256"] != digest:
+                    raise ValueError(f"block {r['shard']}/{r['block']} was written with another dictionary")
+                ids, ends, counts = (np.frombuffer(r[c], "<i8") for c in ("doc_ids", "ends", "counts"))
+                missing, payload, kind = np.frombuffer(r["missing"], "u1").astype(bool), r["payload"], width_of[r["width"]]
+                starts_, begins = r["base"] + r["shard_start"] + np.cumsum(counts) - counts, np.r_[0, ends[:-1]]
+                pick = range(len(ids)) if want is None else [k for k, x in enumerate(ids.tolist()) if x in want and not missing[k]]
                 for lo in range(0, len(pick), 512):
                     ks = list(pick[lo : lo + 512])
-                    yield pd.DataFrame({"doc_id": ids[ks], "start": starts_[ks], "n_tokens": counts[ks], "ids": [np.frombuffer(open_.decompress(r.payload[begins[k] : ends[k]]), width_of[r.width]).astype("<u4").tobytes() for k in ks]})
+                    texts = [np.frombuffer(open_.decompress(payload[begins[k] : ends[k]]), kind).astype("<u4").tobytes() for k in ks]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[ks], mask=missing[ks]), pa.array(starts_[ks]), pa.array(counts[ks]), pa.array(texts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(F.broadcast(starts), "shard").mapInPandas(opened, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(bounded(starts, len(base)), "shard").mapInArrow(opened, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
