@@ -7,7 +7,7 @@ UUIDs, runs that stand in an address or URL (an @ or :// beside them, or a dotte
 inside a base span.
 
 Defined cases: null text counts as empty and has no spans; spans of one kind never overlap; places are code points, end
-exclusive; rows may repeat; an empty table gives no rows; other columns are ignored.
+exclusive; rows may repeat, and a null doc_id is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,18 +93,22 @@ def scan(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, counts of base spans, digest of their list, and the list of all spans as kind:start:end."""
     path = vocabulary_path or tokenizer_path("byte_bpe_50k.tiktoken")
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         encoding = vocabulary(path)
         for b in batches:
             rows = []
-            for doc, text in zip(b.doc_id, b.text, strict=True):
+            for text in b.column("text").to_pylist():
                 base = base_spans(text)
                 spans = base + random_spans(text, base, encoding)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
-                rows.append((doc, *n, hashlib.sha256(_line(base).encode()).hexdigest(), _line(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                rows.append((*n, hashlib.sha256(_line(base).encode()).hexdigest(), _line(spans)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
