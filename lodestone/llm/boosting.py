@@ -70,13 +70,14 @@ class Boosted:
 
 
 class Isotonic:
-    """Pool-adjacent-violators fit of label on score; linear between the pools' centres, constant beyond them."""
+    """Pool-adjacent-violators fit of label on score; equal scores are one pool first. Linear between the pools' centres, constant beyond them."""
 
     def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.argsort(score, kind="stable")
+        values, which, counts = np.unique(np.asarray(score, float), return_inverse=True, return_counts=True)
+        sums = np.bincount(which.ravel(), np.asarray(y, float), len(values))
         pools: list[list[float]] = []  # sum of labels, sum of scores, count
-        for s, t in zip(np.asarray(score, float)[order], np.asarray(y, float)[order], strict=True):
-            pools.append([t, s, 1.0])
+        for s, t, n in zip(values.tolist(), sums.tolist(), counts.tolist(), strict=True):
+            pools.append([t, s * n, float(n)])
             while len(pools) > 1 and pools[-2][0] * pools[-1][2] >= pools[-1][0] * pools[-2][2]:
                 a = pools.pop()
                 pools[-1] = [u + v for u, v in zip(pools[-1], a, strict=True)]

@@ -7,8 +7,9 @@ training part only (crc32 of the id as text, mod 3, is not 1; lowest xxhash64 fi
 lexicon from one, the trees from the next, the calibration from the last. lang, source and doc_id are never inputs.
 
 Defined cases: null text counts as empty; an empty text gets the score that its (all zero) features earn; without
-training labels of both kinds the fixed lexicon alone decides (0.9 with a hit, else 0.05); rows may repeat; an empty
-table gives no rows; other columns are ignored.
+training labels of both kinds the fixed lexicon alone decides (0.9 with a hit, else 0.05); where a part lacks a kind, all
+parts serve each step; texts of equal features get equal scores; rows may repeat, and a null doc_id is kept; an empty table
+gives no rows; score() keeps other columns, and replaces tox_score and tox_predicted.
 """
 
 from __future__ import annotations
@@ -150,10 +151,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield pd.DataFrame({"id": b.id, "y": b.y, "part": b.part, "x": list(features(list(b.text), words))})
 
-    got = sorted(sample.where("part > 0").mapInPandas(measured, "id long, y int, part int, x array<double>").collect())
+    got = sorted(sample.mapInPandas(measured, "id long, y int, part int, x array<double>").collect())
     x, y, part = np.array([r.x for r in got]), np.array([r.y for r in got]), np.array([r.part for r in got])
-    if not all(0 < y[part == k].sum() < (part == k).sum() for k in (1, 2)):
-        return Model()
+    if not all(0 < y[part == k].sum() < (part == k).sum() for k in (1, 2)):  # few labels: all of them fit the trees and the calibration
+        x, y, part = np.concatenate([x, x]), np.concatenate([y, y]), np.repeat([1, 2], len(y))
+        if not 0 < y.sum() < len(y):
+            return Model(odds=model.odds)
     model.trees = Boosted(trees=50, depth=3).fit(x[part == 1], y[part == 1])
     model.iso = Isotonic().fit(model.trees.probability(x[part == 2]), y[part == 2])
     return model
@@ -175,7 +178,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the training labels, then score every document."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (_part() == 1).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_part() == 1, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_toxicity": op4_toxicity}
