@@ -6,11 +6,13 @@ refined in the next round until it is one integer wide. A last pass keeps scores
 to the smaller vec_id; a partition keeps at most k rows per query, as no further one can be among the k first.
 
 Scores are integers: floor(scale * x) of each component, products in float64 while the bound of a score stays below 2^53
-(exact there), in int64 beyond it.
+(exact there), in int64 below 2^62, and in unbounded integers beyond it. A score beyond LIMIT = 2^61 either way is given as
+that bound, so that it fits a long. A tile's result is written before the next tile begins, and its broadcasts are dropped.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates of it; fewer than k candidates give all; rows that repeat a vec_id are
-candidates of their own, and a query's own id is never its candidate; an empty table gives no rows.
+candidates of their own; of query rows that repeat a vec_id the least vector (component by component) asks, and a query's own
+id is never its candidate; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +23,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import materialise, table, work_dir
 
-TILE, BINS, ROWS = 4096, 256, 1024
+TILE, BINS, ROWS, LIMIT = 4096, 256, 1024, 1 << 61
 
 OUT = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and v: array of floor(scale * x); rows that take no part are gone."""
+    """vec_id and v: array of floor(scale * x), as whole doubles; rows that take no part are gone."""
+
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.least(x.cast("double") * scale, F.lit(1e308)), F.lit(-1e308))
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # doubles of that size are whole
+
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("v")
     )
 
 
@@ -47,16 +54,25 @@ def _tiles(queries: DataFrame, tile: int) -> Iterator[list]:
         after = rows[-1].vec_id
 
 
+def _reach(v) -> int:
+    return sum(abs(int(x)) for x in v)
+
+
 def _scorer(rows: list):
     """(ids, score function): scores of a batch of candidates for every query row of one vector length."""
     import numpy as np
 
-    ids, q = np.array([r.vec_id for r in rows], "i8"), np.array([r.v for r in rows], "i8")
-    most = int(np.abs(q).sum(1).max())
+    ids, q = np.array([r.vec_id for r in rows], "i8"), np.array([r.v for r in rows], "f8")
+    most = max(_reach(r.v) for r in rows)
 
     def scored(v):
-        small = most * int(np.abs(v).max(initial=0)) < 1 << 53
-        return np.rint(v.astype("f8") @ q.T.astype("f8")).astype("i8") if small else v @ q.T
+        bound = most * int(np.abs(v).max(initial=0))
+        if bound < 1 << 53:
+            return np.rint(v @ q.T).astype("i8")
+        if bound < 1 << 62:
+            return np.clip(v.astype("i8") @ q.T.astype("i8"), -LIMIT, LIMIT)
+        exact = np.array([[int(x) for x in r] for r in v], object) @ np.array([[int(x) for x in r] for r in q], object).T
+        return np.clip(exact, -LIMIT, LIMIT).astype("i8")
 
     return ids, scored
 
@@ -68,17 +84,16 @@ def _batches(frames: Iterator[pd.DataFrame], dims: int):
         fit = b[b["v"].map(len) == dims]
         for lo in range(0, len(fit), ROWS):
             part = fit.iloc[lo : lo + ROWS]
-            yield part.vec_id.to_numpy("i8"), np.array(part["v"].tolist(), "i8").reshape(len(part), dims)
+            yield part.vec_id.to_numpy("i8"), np.array(part["v"].tolist(), "f8").reshape(len(part), dims)
 
 
-def _select(rows: list, base: DataFrame, k: int) -> DataFrame:
-    """Rows (query_id, vec_id, score) that hold each query's k best, and at most k per partition."""
+def _select(rows: list, base: DataFrame, k: int, norms: int, path: str) -> None:
+    """Adds to path the rows (query_id, vec_id, score) that hold each query's k best, and at most k per partition. norms: the largest component of base."""
     import numpy as np
 
     spark, dims = base.sparkSession, len(rows[0].v)
     held = spark.sparkContext.broadcast(rows)
-    norms = base.select(F.max(F.aggregate("v", F.lit(0), lambda a, x: F.greatest(a, F.abs(x).cast("int")), lambda a: a)).alias("m")).head().m or 0
-    reach = np.array([sum(map(abs, r.v)) * int(norms) for r in rows], "i8")
+    reach = np.array([min(_reach(r.v) * norms, LIMIT) for r in rows], "i8")
     lo, hi, need = -reach, reach + 1, np.full(len(rows), k, "i8")  # the kth score lies in [lo, hi), with need of them wanted there
     done = np.zeros(len(rows), bool)
     while not done.all():
@@ -108,6 +123,7 @@ def _select(rows: list, base: DataFrame, k: int) -> DataFrame:
             lo[r.q] += r.bin * width[r.q]
             hi[r.q], need[r.q], found[r.q] = min(hi[r.q], lo[r.q] + width[r.q]), r.need, True
         done |= ~found | (hi - lo <= 1)  # not found: fewer than k candidates, lo keeps all that are left
+        state.destroy()
     cuts = spark.sparkContext.broadcast(lo)
 
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,21 +146,21 @@ def _select(rows: list, base: DataFrame, k: int) -> DataFrame:
         if best:
             yield trimmed()
 
-    return base.mapInPandas(kept, OUT)
+    base.mapInPandas(kept, OUT).write.mode("append").parquet(path)
+    held.destroy()
+    cuts.destroy()
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64, tile: int = TILE) -> DataFrame:
     """query_id, rank, vec_id, score for every query row."""
-    base = quantised(vectors, scale)
-    parts = []
-    for rows in _tiles(base.where(is_query).dropDuplicates(["vec_id"]), tile):
+    spark, base = vectors.sparkSession, materialise(quantised(vectors, scale))
+    queries = materialise(base.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
+    norms, path = int(base.select(F.max(F.array_max(F.transform("v", F.abs)))).head()[0] or 0), work_dir(spark)
+    spark.createDataFrame([], OUT).write.parquet(path)
+    for rows in _tiles(queries, tile):
         for dims in sorted({len(r.v) for r in rows}):
-            parts.append(_select([r for r in rows if len(r.v) == dims], base, k))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            _select([r for r in rows if len(r.v) == dims], base, k, norms, path)
+    out = spark.read.schema(OUT).parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
