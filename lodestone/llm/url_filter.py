@@ -5,7 +5,8 @@ unwanted topics are blocked, ordinary ones allowed), by full-batch gradient step
 
 Defined cases: a null url, or one without "://", has empty host and path and is judged by the model's prior; rules never fit
 an empty host; host letters A-Z are lower-cased, the path is left as it is; ports and user parts stay in the host;
-rows may repeat; an empty table gives no rows; other columns are ignored.
+rows may repeat; an empty table gives no rows; judge() keeps other columns, and replaces those that have the names of its
+results (host, path, rule, verdict, blocked_probability). A row that a rule decides isn't scored: its probability is null.
 """
 
 from __future__ import annotations
@@ -90,6 +91,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
         w, b = held.value
         out = []
         for h, p in zip(host, path, strict=True):
+            if h is None:
+                out.append(None)
+                continue
             g = grams(h, p)
             out.append(1 / (1 + float(np.exp(-(w[g].sum() / np.sqrt(max(len(g), 1)) + b)))))
         return pd.Series(out, dtype="float64")
@@ -99,9 +103,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     for suffix, prefix, what in sorted(rules, key=lambda r: len(r[0] + r[1])):  # a longer rule wraps, so overrides, a shorter one
         fits = ((F.col("host") == suffix) | F.col("host").endswith(f".{suffix}")) & F.col("path").startswith(prefix)
         rule, verdict = F.when(fits, F.lit(suffix + prefix)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    out = pages.withColumns({"host": host, "path": path})
-    out = out.withColumns({"rule": rule, "ruled": verdict, "blocked_probability": blocked("host", "path")})
-    return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("blocked_probability") >= threshold, "block").otherwise("allow"))).drop("ruled")
+    out = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "verdict": verdict})
+    out = out.withColumn("blocked_probability", blocked(F.when(F.col("verdict").isNull(), F.col("host")), F.col("path")))
+    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("blocked_probability") >= threshold, "block").otherwise("allow")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
