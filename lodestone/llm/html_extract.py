@@ -11,7 +11,8 @@ notices, adverts, forms, comments and articles in varied containers, with and wi
 
 Defined cases: null html counts as empty; no text left gives ""; scripts, styles, templates, head and form controls never
 give text; unclosed and crossed tags are closed where their parents end; character references are decoded once; rows may
-repeat; an empty table gives no rows; other columns are kept by extract() and clash with nothing.
+repeat; an empty table gives no rows; extract() keeps other columns, and replaces one that has the name of its result. Depth,
+siblings and length have no bound.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import html as _html
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable
 from functools import cache
 
@@ -40,6 +43,7 @@ DROPPED = RAW | frozenset("head button select option datalist".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article main aside nav header footer form body blockquote td th figure".split())
 
+CELLS = ("td", "th")
 FAMILIES = ("article main", "nav menu", "header", "footer", "aside", "form fieldset", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "div section center", "table tbody thead tr td th", "figure figcaption", "body html", "#text")
 _FAMILY = {t: k for k, names in enumerate(FAMILIES) for t in names.split()}
 AGAINST = frozenset(
@@ -67,6 +71,8 @@ def parse(source: str) -> list[Node]:
     """Nodes in document order, the root first; leaves have tag "#text" and their text, white space collapsed."""
     nodes = [Node("html", -1, 0, [])]
     stack = [0]
+    places: dict[str, list[int]] = {}  # open tags -> their places on the stack, rising
+    scopes: tuple[list[int], list[int]] = [], []  # places of open scopes: cells, others
     parts: list[str] = []
     linked = link_depth = 0
     inline_tags = 0
@@ -83,6 +89,14 @@ def parse(source: str) -> list[Node]:
                 nodes.append(leaf)
         linked = inline_tags = 0
 
+    def close(k: int) -> None:
+        """Closes what stands at place k and above."""
+        for i in range(len(stack) - 1, k - 1, -1):
+            tag = nodes[stack.pop()].tag
+            places[tag].pop()
+            if tag in SCOPES:
+                scopes[tag not in CELLS].pop()
+
     at, end = 0, len(source)
     while at < end:
         m = _TAG.search(source, at)
@@ -111,36 +125,36 @@ def parse(source: str) -> list[Node]:
             inline_tags += 1
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    flush()
-                    link_depth = 0
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                flush()
+                link_depth = 0
+                close(places[tag][-1])
             continue
         if tag in RAW:
             flush()
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            at = close.end() if close else end
+            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            at = shut.end() if shut else end
             continue
         flush()
         link_depth = 0
-        if tag in ("html", "body") and any(nodes[k].tag == tag for k in stack):
+        if tag == "html" or tag == "body" and places.get(tag):
             continue
         if tag == "body":
-            del stack[1:]
-        shut = CLOSES.get(tag, {"p"})
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag in shut:
-                del stack[k:]
-            elif nodes[stack[k]].tag in SCOPES and not (tag in ("td", "th", "tr") and nodes[stack[k]].tag in ("td", "th")):
-                break
-        if len(stack) > 200:  # deeper elements join their ancestor; their text is kept
-            continue
+            close(1)
+        # the lowest open element that this one closes, above the scope it stands in
+        cells, others = scopes
+        floor = max(others[-1] if others else 0, cells[-1] if cells and tag not in ("td", "th", "tr") else 0)
+        low = [p[bisect_right(p, floor - 1)] for t in CLOSES.get(tag, {"p"}) if (p := places.get(t)) and p[-1] >= max(floor, 1)]
+        low = [k for k in low if k > floor or nodes[stack[k]].tag in CLOSES.get(tag, {"p"})]
+        if low:
+            close(min(low))
         tokens = [t for a in _ATTR.findall(attrs) for t in _SPLIT.split("".join(a).lower()) if t] if attrs else []
         nodes[stack[-1]].kids.append(len(nodes))
         nodes.append(Node(tag, stack[-1], len(stack), tokens))
         stack.append(len(nodes) - 1)
+        places.setdefault(tag, []).append(len(stack) - 1)
+        if tag in SCOPES:
+            scopes[tag not in CELLS].append(len(stack) - 1)
     flush()
     for n in reversed(nodes):
         if n.tag == "#text":
@@ -166,6 +180,7 @@ def features(nodes: list[Node]):
     nav = {"nav", "footer", "aside", "form", "menu", "header"}
     base = len(FAMILIES) * 2
     place = {kid: (i, len(n.kids)) for n in nodes for i, kid in enumerate(n.kids)}
+    alike = [Counter(nodes[s].tag for s in n.kids) for n in nodes]
     for k, n in enumerate(nodes):
         p = nodes[n.parent] if n.parent >= 0 else n
         x[k, _FAMILY.get(n.tag, 10)] = 1
@@ -174,7 +189,7 @@ def features(nodes: list[Node]):
         up = above[n.parent] if n.parent >= 0 else (False,) * 4
         above[k] = (up[0] or against > 0, up[1] or for_ > 0, up[2] or n.tag in nav, up[3] or n.tag in ("article", "main"))
         i, many = place.get(k, (0, 1))
-        same = sum(nodes[s].tag == n.tag for s in p.kids) if many < 400 else many
+        same = alike[n.parent if n.parent >= 0 else k][n.tag]
         before = nodes[p.kids[i - 1]].chars if i else 0
         after = nodes[p.kids[i + 1]].chars if i + 1 < many else 0
         x[k, base:] = (
@@ -350,10 +365,7 @@ def extract(pages: DataFrame, html: str = "html", into: str = "main_text") -> Da
 
     @F.pandas_udf("string")
     def extracted(source: pd.Series) -> pd.Series:
-        from lodestone.llm import html_extract
-
-        if html_extract.model is not held:
-            out: list[str] = []
+        out: list[str] = []
         for lo in range(0, len(source), 64):
             out += main_text([s or "" for s in source[lo : lo + 64]], held.value)
         return pd.Series(out, dtype="object")
