@@ -2,12 +2,12 @@
 
 A text is cut where its content says so: after a sentence mark or line feed past MIN_CHARS, at MAX_CHARS at the latest;
 equal texts get equal cuts wherever they stand. Every chunk has a 64-bit identifier. Identifiers are verified: chunks of
-one identifier must agree in SHA-256 and length; where they don't, each gets its digest as identifier instead. A
+one identifier must agree in SHA-256; where they don't, each gets its digest as identifier instead. A
 document's recipe is its ordered identifier list, and documents are equal when their recipes are. Only identifiers and
 digests are shuffled; no text moves after its scan.
 
 Defined cases: null text counts as empty; empty texts are equal to one another; rows that repeat a doc_id and its text
-count in group_size and stay or go together; an empty table gives no rows; other columns are ignored.
+count in group_size and stay or go together; a null doc_id is the smallest, and stays only among null ones; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded, materialise, table
 
-MIN_CHARS, MAX_CHARS = 512, 4096
+MIN_CHARS, MAX_CHARS, BROADCAST_GROUPS = 512, 4096, 300_000
 
 
 def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
@@ -49,8 +49,11 @@ def exact_dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     cut = materialise(recipes(docs, id_bits))
     lists = verified(cut)
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return lists.join(groups, "recipe").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    # Only groups of two or more are joined, so most rows, and those of a hot recipe, stay where they are.
+    groups = materialise(lists.groupBy("recipe").agg(F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    joined = lists.join(bounded(groups, groups.count(), BROADCAST_GROUPS), "recipe", "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
