@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter
@@ -101,10 +102,7 @@ def test_best_cuts_is_optimal():
         places = sorted({*r.sample(range(1, 60), r.randint(4, 20)), *range(window, 61, window), 60})
         pen = [r.choice([0, 2, 5]) for _ in places]
         at, best = [0, *places], {0: 0}
-        least = packing.LEAST_POWER
-        packing.LEAST_POWER = 1
         ends = packing.best_cuts(places, pen, window)
-        packing.LEAST_POWER = least
         for j, p in enumerate(places):
             best[p] = pen[j] + min(best[q] + cost(window, p - q) for q in at[: j + 1] if p - q <= window)
         got = sum(pen[places.index(b)] + cost(window, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True))
@@ -335,14 +333,83 @@ def test_secrets_leave_prose_alone(spark, sf):
     assert secrets.scan(d).where("spans like '%random%'").count() <= 2
 
 
+def brute_secrets(text):
+    """The base patterns of the contract by one scan each, and the token test spelt out."""
+    import re
+
+    out = []
+    for kind, pattern, ok in (
+        ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 12),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+    ):
+        at = 0
+        while m := re.compile(pattern, re.ASCII).search(text, at):
+            at = m.end()
+            if ok(m):
+                out.append((m.start(), ("assign", "access", "hex").index(kind), kind, m.end()))
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_secrets_against_brute_force(spark, sf):
+    r = random.Random(8)
+    bits = ["token", "SECRET", "api_key", "apikey", "passwd", "=", ":", " ", "'", '"', "AKIA", "ABCDEFGH012345", "deadbeefdeadbeef", "abc", "xY9+/", "é", "0123456789abcdef0"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(1500)] + [None, "", "token=" + "x" * 100_000, "AKIA" * 20_000]
+    d = docs(spark, texts).select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    d = d.unionByName(d.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("secret: abcdefghijklmnop").alias("text")))
+    want, got = {x.doc_id: brute_secrets(x.text or "") for x in d.collect()}, secrets.scan(d).collect()
+    assert len(got) == len(want) and any(x.doc_id is None for x in got)
+    for x in got:
+        base = want[x.doc_id]
+        assert x.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")] == [x.n_assign, x.n_access, x.n_hex]
+        assert [s for s in x.spans.split(",") if s and not s.startswith("random")] == base
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
 # --- 9: mixing ----------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
-    t = mixing.targets([10, 1000, 0, 50])
-    assert t[0] == 30 and t[2] == 0 and sum(t) == pytest.approx(1060) and all(x <= 3 * s + 1e-9 for x, s in zip(t, [10, 1000, 0, 50], strict=True))
-    assert mixing.targets([]) == []
+def brute_targets(sizes, weights=mixing.WEIGHTS, most=mixing.MOST):
+    """The target rule, round by round."""
+    w = [weights[k % len(weights)] for k in range(len(sizes))]
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while free:
+        share = left / sum(w[k] for k in free)
+        over = [k for k in sorted(free) if share * w[k] > most * sizes[k]]
+        for k in over or free:
+            out[k] = float(most * sizes[k]) if over else share * w[k]
+            left -= out[k]
+        free = free - set(over) if over else set()
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 0, 50], [0, 0], [1, 1, 10_000, 3, 5, 900, 40, 2], [5], []])
+def test_targets(spark, sizes):
+    words = spark.createDataFrame([(f"0{k:03}", n) for k, n in enumerate(sizes)], "skey string, words long").repartition(3)
+    got = [(r.skey, r.place, r.target) for r in mixing.targets(mixing._in_order(words)).orderBy("skey").collect()]
+    assert [(k, p) for k, p, _ in got] == [(f"0{k:03}", k) for k in range(len(sizes))]
+    assert [t for _, _, t in got] == pytest.approx(brute_targets(sizes))
+    assert sum(t for _, _, t in got) <= sum(sizes) + 1e-6 and all(t <= 3 * n + 1e-9 for (_, _, t), n in zip(got, sizes, strict=True))
+
+
+def test_hypergeometric_of_large_and_small_numbers(monkeypatch):
+    rng = np.random.default_rng(1)
+    good, bad, draw = 7 * 10**9, 3 * 10**9, 10**6
+    got = np.array([mixing.hypergeometric(rng, good, bad, draw) for _ in range(4000)], float)
+    assert abs(got.mean() - 0.7 * draw) < 40 and abs(got.std() / (draw * 0.21 * (1 - draw / (good + bad))) ** 0.5 - 1) < 0.05
+    monkeypatch.setattr(mixing, "MOST_ITEMS", 0)  # the same code on a case whose chances can be counted
+    got = Counter(mixing.hypergeometric(rng, 6, 9, 5) for _ in range(20000))
+    for k in range(6):
+        assert abs(got[k] / 20000 - math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)) < 0.015
+    q = mixing.split_quotas([7, 0, 100, 3], 8)
+    assert q.sum(0).tolist() == [7, 0, 100, 3] and q.min() >= 0
+
+
+def test_split_quotas_by_given_sums():
+    sums = [10, 0, 25, 5]
+    q = mixing.split_quotas([30, 9, 0, 1], 4, sums=sums)
+    assert q.sum(1).tolist() == sums and q.sum(0).tolist() == [30, 9, 0, 1]
 
 
 def test_split_quotas():
@@ -363,6 +430,52 @@ def mixing_docs(spark):
     return texts, sources, docs(spark, texts, sources)
 
 
+@pytest.mark.parametrize("bucket", [mixing.BUCKET, 2])
+def test_mixing_against_brute_force(spark, bucket, monkeypatch):
+    """Blocks in permuted order, one source and epoch after the other, until the target's words are taken; shards by the tree's quotas."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    _, _, d = mixing_docs(spark)
+    placed, taken = mixing.draws(d, shards=5, block_words=64)
+    rows, by_source, want, shards = placed.collect(), {}, Counter(), Counter()
+    plans = {r.skey: r for r in mixing.plan_sources(placed.groupBy("skey").agg(F.sum("size").alias("words")), shards=5, block_words=64).collect()}
+    for r in rows:
+        by_source.setdefault(r.skey, []).append(r)
+    for skey, own in by_source.items():
+        stream = [None] * own[0].source_size
+        for r in own:
+            for k in range(r["size"]):
+                assert stream[r.start + k] is None
+                stream[r.start + k] = r.row
+        p, left, number = plans[skey], min(round(own[0].target), 3 * len(stream)), 0
+        for e in range(4):
+            blocks = sorted(range(p.n), key=lambda b: int(mixing.rank_of(np.array([b]), p.n, p.key + e)[0]))
+            for b in blocks:
+                words = stream[64 * b : 64 * b + min(64, left)]
+                if not left:
+                    break
+                left -= len(words)
+                want.update(words)
+                shards.update({(r, next(s for s, n in enumerate(p.upto) if number < n)): c for r, c in Counter(words).items()})
+                number += 1
+        assert not left and p.upto[-1] == number
+    got, got_shards = Counter(), Counter()
+    for r in taken.collect():
+        got[r.row] += r.word_to - r.word_from
+        got_shards[r.row, r.shard] += r.word_to - r.word_from
+    assert got == want and got_shards == shards
+
+
+def test_the_tree_decides_what_is_drawn(spark, monkeypatch):
+    _, _, d = mixing_docs(spark)
+    plan = lambda seed: sorted(map(tuple, mixing.draws(d, block_words=64)[1].select("row", "epoch", "shard", "word_from").collect()))
+    before = plan(0)
+    real = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed=1, sums=None: real(q, n, seed + 1, sums))
+    assert plan(0) != before
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, *a: np.zeros((n, len(q)), "i8"))
+    assert plan(0) == []
+
+
 def test_mixing_draws(spark):
     texts, sources, d = mixing_docs(spark)
     placed, taken = mixing.draws(d, shards=5, block_words=64)
@@ -444,3 +557,167 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in near.collect()} == {root for _, root in brute_classes(texts)}
     out = c.run(spark, sf)
     assert json.loads(json.dumps(out.columns)) == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+# --- brute force for the fitted operators, and awkward tables ---------------------------------------------------------
+
+
+def test_isotonic_pools_equal_scores():
+    from lodestone.llm.boosting import Isotonic
+
+    assert Isotonic().fit(np.full(10, 0.5), np.eye(10)[3])(np.array([0.5])).tolist() == [0.1]
+    for y in ([0, 1, 0, 1], [1, 1, 0, 0], [0, 0, 1, 1]):
+        assert Isotonic().fit(np.full(4, 0.3), np.array(y))(np.array([0.3])).tolist() == [0.5]
+    r = np.random.default_rng(2)
+    score, y = r.integers(0, 8, 60) / 8, r.integers(0, 2, 60)
+    order, values = r.permutation(60), np.unique(score)
+    fit = Isotonic().fit(score, y)(values)
+    assert np.allclose(fit, Isotonic().fit(score[order], y[order])(values)) and (np.diff(fit) >= -1e-12).all()
+    # least squares among non-decreasing step functions, by the min-max formula
+    total = lambda a, b: y[(score >= values[a]) & (score <= values[b])]
+    want = [max(min(total(i, j).mean() for j in range(k, len(values))) for i in range(k + 1)) for k in range(len(values))]
+    pools = Isotonic().fit(score, y)
+    assert set(np.round(pools.y, 9)) == set(np.round(want, 9))
+
+
+def test_toxicity_against_one_text_at_a_time(spark, sf):
+    """The query's scores are those of the model on each text alone; equal texts get equal scores; held-out rows teach nothing."""
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(d, labels)
+    got = {r.doc_id: r for r in registry.QUERIES["op4_toxicity"](spark, sf).collect()}
+    for r in d.collect():
+        want = float(model.score([r.text or ""])[0])
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-12) and got[r.doc_id].predicted == int(want >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    other = toxicity.train(d, labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    texts = [r.text or "" for r in d.limit(40).collect()] + [""]
+    assert other.score(texts).tolist() == model.score(texts).tolist()
+    clash = d.limit(5).withColumns({"tox_score": F.lit("mine"), "row": F.lit(1)})
+    assert dict(toxicity.score(clash, model).dtypes)["tox_score"] == "double" and toxicity.score(d.limit(0), model).count() == 0
+
+
+def test_url_filter_against_brute_force(spark, sf):
+    """Rules and model, one url at a time."""
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    weights, bias = url_filter.model()
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?y#z", "x://org?/", "http://a.com/fr/" + "p" * 50_000, "a://b://c.com/de/", "http://example.org/en/1", "http://notexample.org/en/1", "http://com/de", "http://com/de/"]
+    rows = [(i, u, "mine") for i, u in enumerate(urls)] + [(1000 + r.page_id, r.url, "mine") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    d = spark.createDataFrame(rows + rows[:3], "page_id long, url string, host string")
+    got = url_filter.judge(d).collect()
+    assert len(got) == len(rows) + 3 and url_filter.judge(d.limit(0)).count() == 0
+    for r in got:
+        rest = (r.url or "").partition("://")[2]
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end:].split("?")[0].split("#")[0]
+        fits = [x for x in rules if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])]
+        best = max(fits, key=lambda x: len(x[0] + x[1]), default=None)
+        p = None
+        if not best:
+            seen = {zlib.crc32(f"{m}{s[i : i + n]}".encode()) % url_filter.SLOTS for m, s in (("h", f"<{host}>"), ("p", f"<{path.lower()}>")) for n in (3, 4, 5) for i in range(len(s) - n + 1)}
+            p = 1 / (1 + math.exp(-(sum(float(weights[g]) for g in seen) / math.sqrt(max(len(seen), 1)) + float(bias))))
+        verdict = best[2] if best else "block" if p >= 0.5 else "allow"
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[0] + best[1], verdict)
+        assert r.blocked_probability == (p if p is None else pytest.approx(p, abs=1e-5))
+
+
+def test_html_decoding_against_enumeration():
+    """Of all labellings in which a kept node's parent is kept, the decoded one has the largest sum of log-odds."""
+    import itertools
+
+    r = random.Random(3)
+    for _ in range(60):
+        source = "".join(r.choice(("<div>", "<p>", "</p>", "</div>", "a ", "b. ", "<ul><li>x</li></ul>")) for _ in range(r.randint(1, 9)))
+        nodes = html_extract.parse(source)
+        if len(nodes) > 11:
+            continue
+        margin = [r.gauss(0, 1) for _ in nodes]
+        keep = html_extract.decode(nodes, margin)
+        best = -math.inf
+        for bits in itertools.product((False, True), repeat=len(nodes) - 1):
+            y = [nodes[0].chars > 0, *bits]
+            if all(not y[k] or y[n.parent] and n.chars for k, n in enumerate(nodes) if k):
+                best = max(best, sum(m for m, b in zip(margin[1:], y[1:], strict=True) if b))
+        assert sum(m for m, b in zip(margin[1:], keep[1:], strict=True) if b) == pytest.approx(best)
+
+
+def test_html_awkward_pages(spark):
+    deep, wide = "<div>" * 3000 + "deep text here." + "</div>" * 3000, "<body><article>" + "<p>word one.</p>" * 3000
+    d = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, deep, "x"), (3, wide, "x"), (3, wide, "x")], "page_id long, html string, main_text string")
+    got = html_extract.extract(d).collect()
+    assert len(got) == 5 and [r.main_text for r in got if r.page_id == 1] == ["", ""]
+    assert len({r.main_text for r in got if r.page_id == 3}) == 1 and html_extract.extract(d.limit(0)).count() == 0
+
+
+def test_topk_large_components_and_repeated_ids(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice((-1, 1)) * r.choice((0.4, 3.7, 1e9, 2.5e16, 1e300)) for _ in range(4)]) for i in range(40)]
+    rows += [(20, [1.0, 2.0, 3.0, 4.0]), (7, rows[7][1]), (None, [1.0] * 4), (5, None), (6, [float("nan")] * 4)]
+    got = [tuple(x) for x in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)), F.col("vec_id") % 20 == 0, 5, tile=1).collect()]
+    whole = [(i, [math.floor(64 * x) if abs(64 * x) < 2**53 else int(64 * x) for x in v]) for i, v in rows if i is not None and v and not any(map(math.isnan, v))]
+    want = []
+    for q in (0, 20):
+        v = min(v for i, v in whole if i == q)
+        s = sorted((-max(-topk_search.LIMIT, min(topk_search.LIMIT, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in whole if i != q)
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s[:5])]
+    assert sorted(got) == want
+
+
+def test_null_ids_are_kept(spark):
+    d = spark.createDataFrame([(None, "some text here."), (3, None), (None, None), (3, "some text here."), (3, "some text here.")], "doc_id long, text string").withColumns({"source": F.lit("s"), "skey": F.lit(1), "size": F.lit("x")})
+    n = len(plain_ids(["some text here."])[0]) + 1
+    lengths = Counter()
+    for r in packing.pack(d).collect():
+        lengths[r.doc_id, r.doc_tokens] += r.length
+    assert lengths == {(None, n): n, (3, 1): 1, (None, 1): 1, (3, n): 2 * n}
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()}
+    assert got == {(None, 3, 3, False), (3, 3, 2, True), (None, 3, 2, False), (3, 3, 3, True)}
+    placed, _ = mixing.draws(d)
+    assert sorted((r.doc_id is None, r["size"]) for r in placed.collect()) == [(False, 0), (False, 3), (False, 3), (True, 0), (True, 3)]
+    assert mixing.mixed(d).columns == d.columns
+
+
+def test_token_store_puts_null_ids_last(spark, tmp_path):
+    d = spark.createDataFrame([(None, "b b"), (9, "a"), (-4, None), (None, "c")], "doc_id long, text string")
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(d, path)
+    got = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [-4, 9, None, None] and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert [r.doc_id for r in token_store.read_store(spark, path, [9, 0]).collect()] == [9]
+
+
+def test_pipeline_against_stages_by_brute_force(spark, sf):
+    """Every stage on what its predecessor kept: scores one by one, equal texts, classes by all pairs, words of the mix, packed ids."""
+    import corpus_pipeline as c
+
+    columns = list(c.COLUMNS)
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [r for r in d.select(*columns).collect() if model.score([r.text or ""])[0] < 0.7]
+    last = {r.text or "": max(x.doc_id for x in rows if (x.text or "") == (r.text or "")) for r in rows}
+    rows = sorted((r for r in rows if last[r.text or ""] == r.doc_id), key=lambda r: r.doc_id)
+    rows = [r for r, (_, root) in zip(rows, brute_classes([r.text for r in rows]), strict=True) if rows[root].doc_id == r.doc_id]
+    got = d
+    for _, stage in c.STAGES[:3]:
+        got = common.materialise(stage(spark, got, sf))
+        assert got.columns == columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows))
+    mix = common.materialise(c.mix(spark, got, sf))
+    size, taken = {r.doc_id: len((r.text or "").split()) for r in rows}, Counter()
+    for r in mix.collect():
+        own = next(x for x in rows if x.doc_id == r.doc_id)
+        assert r.text in own.text or all(w in own.text.split() for w in r.text.split())
+        taken[r.doc_id] += len(r.text.split())
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s))
+    sums = [sum(size[r.doc_id] for r in rows if r.source == s) for s in sources]
+    for s, t in zip(sources, brute_targets(sums), strict=True):
+        assert abs(sum(taken[r.doc_id] for r in rows if r.source == s) - t) <= 1
+    packed = c.pack(spark, mix, sf).collect()
+    ids = Counter()
+    for x in plain_ids([r.text for r in mix.collect()]):
+        ids[len(x) + 1] += 1
+    whole = Counter()
+    for r in packed:
+        whole[r.doc_tokens] += r.length
+    assert whole == {n: n * k for n, k in ids.items()}
+    assert max(r.offset + r.length for r in packed) <= packing.WINDOW
