@@ -9,16 +9,25 @@ from lodestone.functions import text as tx
 
 
 def list_conversations(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """Conversations with their message count (0 without messages)."""
+    """Conversations with their message count (0 without messages), those updated last first."""
     n = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("message_count"))
-    return conversations.join(n, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+    return conversations.join(n, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0))).orderBy(F.desc("updated_at"), "id")
 
 
 def conversation_detail(messages: DataFrame, metadata_schema: str = "map<string,string>") -> DataFrame:
-    """(conversation_id, message_count, messages in time order); metadata that isn't JSON stays null."""
-    meta = F.from_json("grounding_metadata", metadata_schema) if "grounding_metadata" in messages.columns else F.lit(None).cast(metadata_schema)
-    m = messages.select("conversation_id", F.struct("created_at", "role", "content", meta.alias("grounding_metadata")).alias("m"))
-    return m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("message_count"), F.sort_array(F.collect_list(F.struct("m.created_at", "m.role", "m.content"))).alias("messages"))
+    """(conversation_id, message_count, messages in time order, each with its decoded metadata); metadata that isn't JSON is null."""
+    raw = F.col("grounding_metadata") if "grounding_metadata" in messages.columns else F.lit(None).cast("string")
+    m = messages.select("conversation_id", F.struct("created_at", "role", "content", raw.alias("raw")).alias("m"))
+    # Sorted as text, decoded after: maps have no order.
+    decoded = lambda x: F.struct(x["created_at"].alias("created_at"), x["role"].alias("role"), x["content"].alias("content"), F.from_json(x["raw"], metadata_schema).alias("grounding_metadata"))
+    return m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("message_count"), F.transform(F.sort_array(F.collect_list("m")), decoded).alias("messages"))
+
+
+def create(conversations: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """conversations with new ones (id, session_id, title) added: titles trimmed and cut at 60, "New Chat" when blank or missing."""
+    clean = F.substring(F.trim(F.coalesce("title", F.lit(""))), 1, 60)
+    rows = new.select("id", "session_id", F.when(F.length(clean) == 0, "New Chat").otherwise(clean).alias("title"), now.alias("created_at"), now.alias("updated_at"))
+    return conversations.unionByName(rows, allowMissingColumns=True)
 
 
 def rename(conversations: DataFrame, titles: DataFrame, now: Column) -> DataFrame:
@@ -72,12 +81,13 @@ def boosted(chunks: DataFrame, boosts: DataFrame, score: str = "score") -> DataF
 
 def exemplars(queries: DataFrame, feedback: DataFrame, *, query: str, question: str, rating: str, top: int, stop: tuple[str, ...] = ()) -> DataFrame:
     """(query, feedback_id, overlap, rank): rated questions that hold one or more of the query's words."""
-    from lodestone.operators.lexical import bounded
+    from lodestone.operators.lexical import bounded, containing
 
     words = tx.without(tx.words(F.col(question), 3), stop) if stop else tx.words(F.col(question), 3)
     q = queries.select(query, F.explode(words).alias("w"))
     rated = feedback.where(F.col("rating") == rating).select("feedback_id", F.lower(F.trim("query")).alias("low"))
-    hits = rated.join(bounded(q), F.contains(F.col("low"), F.col("w"))).groupBy(query, "feedback_id").agg(F.count(F.lit(1)).alias("overlap"))
+    found = containing(rated, q.select("w").distinct(), key="feedback_id", low="low", term="w")
+    hits = found.join(bounded(q), "w").groupBy(query, "feedback_id").agg(F.count(F.lit(1)).alias("overlap"))
     w = Window.partitionBy(query).orderBy(F.desc("overlap"), "feedback_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
@@ -107,6 +117,24 @@ def list_sessions(sessions: DataFrame, most: int = 8) -> DataFrame:
     return s.orderBy(F.desc("modified_at"), F.desc("session_id")).limit(most)
 
 
+def create_session(sessions: DataFrame, new: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """sessions with new ones (session_id, token and any settings) added, without files, to expire after `hours`; an id that is taken keeps its session."""
+    rows = new.join(sessions.select("session_id"), "session_id", "left_anti")
+    rows = rows.withColumns({"token_sha256": F.sha2("token", 256), "files": F.array().cast("array<string>"), "modified_at": now, "expires_at": now + hours * 3600}).drop("token")
+    return sessions.unionByName(rows, allowMissingColumns=True)
+
+
+def rehydrate(sessions: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(live sessions of ids with all their settings, sessions without the expired ones among ids)."""
+    live = F.col("expires_at") >= now
+    asked = ids.select("session_id").distinct()
+    return sessions.join(asked, "session_id", "left_semi").where(live), sessions.join(asked.withColumn("_asked", F.lit(True)), "session_id", "left").where(live | F.col("_asked").isNull()).drop("_asked")
+
+
+def delete_sessions(sessions: DataFrame, ids: DataFrame) -> DataFrame:
+    return sessions.join(ids.select("session_id"), "session_id", "left_anti")
+
+
 def add_files(sessions: DataFrame, new: DataFrame) -> DataFrame:
     """new (session_id, new_files) appended without duplicates, old ones first."""
     j = sessions.join(new, "session_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,16 +11,15 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as vec
 
+#: What separates the words that are hashed.
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 #: Query rows whose vectors are broadcast at a time.
 TILE = 4096
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str = "text", dim: int = 384) -> DataFrame:
-    """(key, slot, value) of the non-zero coordinates, normalised; a text without words is the first unit vector."""
-    terms = docs.select(key, F.explode_outer(vec.hash_slots(F.coalesce(F.col(text), F.lit("")), dim)).alias("t"))
-    sums = terms.groupBy(key, F.coalesce("t.slot", F.lit(0)).alias("slot")).agg(F.sum(F.coalesce("t.value", F.lit(1.0))).alias("value"))
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key)))
-    return sums.select(key, "slot", (F.col("value") / F.when(norm > 0, norm).otherwise(1.0)).alias("value")).where("value <> 0")
+    """(key, slot, value) of the non-zero coordinates, normalised; a text without words is the first unit vector. Row by row, without a shuffle."""
+    return docs.select(key, F.posexplode(embedder(dim)(F.col(text))).alias("slot", "value")).where("value <> 0")
 
 
 def embedder(dim: int = 384):
@@ -35,7 +35,7 @@ def embedder(dim: int = 384):
         out = []
         for t in texts:
             v = np.zeros(dim)
-            for i, w in enumerate((t or "").lower().split()):
+            for i, w in enumerate(w for w in SPACE.split((t or "").lower()) if w):
                 if w not in seen:
                     h = int(hashlib.md5(w.encode()).hexdigest(), 16)
                     seen[w] = (h % dim, 1.0 if h % 2 == 0 else -1.0)

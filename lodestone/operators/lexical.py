@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
+from collections.abc import Iterator
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
 
@@ -12,8 +17,43 @@ BROADCAST_ROWS = 200_000
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint where the table has at most `limit` rows; counting stops there."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast hint where the table has at most `limit` rows. It is kept when counted, so its plan runs once."""
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    if kept.limit(limit + 1).count() <= limit:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
+
+
+def containing(texts: DataFrame, terms: DataFrame, *, key: str, low: str, term: str) -> DataFrame:
+    """(key, term) for every term that a lower-case text holds anywhere.
+
+    Up to BROADCAST_ROWS terms are one automaton, and every text is read once for all of them; more of them, or none of
+    that library, are compared one by one.
+    """
+    few = [r[0] for r in terms.limit(BROADCAST_ROWS + 1).collect()]  # at most BROADCAST_ROWS + 1
+    if len(few) > BROADCAST_ROWS or importlib.util.find_spec("ahocorasick") is None:
+        return texts.join(terms, F.contains(F.col(low), F.col(term))).select(key, term)
+    held = texts.sparkSession.sparkContext.broadcast([t for t in few if t])
+
+    def found(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for t in held.value:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        for b in batches:
+            hits = [sorted({t for _, t in automaton.iter(x)}) if x and held.value else [] for x in b.column(low).to_pylist()]
+            at = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), pa.array([t for h in hits for t in h], pa.string())], [key, term])
+
+    schema = T.StructType([texts.schema[key], T.StructField(term, T.StringType())])
+    out = texts.select(key, low).mapInArrow(found, schema)
+    if "" in few:  # an empty term stands in every text
+        out = out.unionByName(texts.where(F.col(low).isNotNull()).select(key, F.lit("").alias(term)))
+    return out
 
 
 def corpus_stats(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -74,9 +114,8 @@ def search_terms(queries: DataFrame, key: str, text: str = "text") -> DataFrame:
 def keyword_search(corpus: DataFrame, queries: DataFrame, *, doc: str, query: str, top: int = 4, text: str = "text") -> DataFrame:
     """(query, doc, score, rank): per term the first `top` documents in store order that hold it; first term wins; at most `top`."""
     terms = search_terms(queries, query, text)
-    # Few distinct terms against every text: one pass over the texts, each looking for all terms.
-    distinct = terms.select("term").distinct()
-    hits = corpus.select(doc, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).join(bounded(distinct), F.contains(F.col("low"), F.col("term"))).select(doc, "term")
+    lower = corpus.select(doc, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    hits = containing(lower, terms.select("term").distinct(), key=doc, low="low", term="term")
     first = hits.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy(doc))).where(F.col("n") <= top)
     found = terms.join(first, "term").groupBy(query, doc).agg(F.min("term_no").alias("term_no"))
     order = Window.partitionBy(query).orderBy("term_no", doc)

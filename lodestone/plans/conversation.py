@@ -158,20 +158,30 @@ def _store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The conversations table as a chat store: a turn's number stands for its time."""
     c = table(spark, sf, "conversations")
     convs = c.groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit("s"), F.col("conv_id") % 5).alias("session_id"), F.lit("New Chat").alias("title"), F.min("turn").cast("double").alias("created_at"), F.max("turn").cast("double").alias("updated_at"))
-    return convs, c.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"), F.lit('{"a": "1"}').alias("grounding_metadata"), F.col("turn").cast("double").alias("created_at"))
+    return convs, c.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"), F.when(F.col("turn") % 3 == 0, "no json").otherwise(F.concat(F.lit('{"turn": "'), F.col("turn"), F.lit('"}'))).alias("grounding_metadata"), F.col("turn").cast("double").alias("created_at"))
 
 
-@query("SELECT conv_id AS id, 's' || (conv_id % 5) AS session_id, count(*) FILTER (role = 'user') AS message_count, max(turn)::DOUBLE AS updated_at FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS id, 's' || (conv_id % 5) AS session_id, count(*) AS message_count, max(turn)::DOUBLE AS updated_at FROM conversations GROUP BY conv_id")
 def conversation_list(spark: SparkSession, sf: str) -> DataFrame:
     convs, msgs = _store(spark, sf)
-    return chat.list_conversations(convs, msgs.where("role = 'user'")).select("id", "session_id", "message_count", "updated_at")
+    return chat.list_conversations(convs, msgs).select("id", "session_id", "message_count", "updated_at")
 
 
-@query("SELECT conv_id AS conversation_id, count(*) AS message_count, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS transcript FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS conversation_id, count(*) AS message_count, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS transcript, string_agg(CASE WHEN turn % 3 = 0 THEN '-' ELSE turn::VARCHAR END, ',' ORDER BY turn) AS metadata FROM conversations GROUP BY conv_id")
 def conversation_detail(spark: SparkSession, sf: str) -> DataFrame:
     d = chat.conversation_detail(_store(spark, sf)[1])
     text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
-    return d.select("conversation_id", "message_count", F.md5(text.cast("binary")).alias("transcript"))
+    meta = F.array_join(F.transform("messages", lambda m: F.coalesce(m["grounding_metadata"]["turn"], F.lit("-"))), ",")
+    return d.select("conversation_id", "message_count", F.md5(text.cast("binary")).alias("transcript"), meta.alias("metadata"))
+
+
+@query("""SELECT conv_id AS id, 's' || (conv_id % 5) AS session_id, 'New Chat' AS title, max(turn)::DOUBLE AS updated_at FROM conversations GROUP BY conv_id
+UNION ALL SELECT 1000000 + item_id, 's9', CASE WHEN item_id % 3 = 0 THEN 'New Chat' ELSE trim(text)[1:60] END, 7.0 FROM benchmark""")
+def chat_create(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations for the benchmark's questions, which become their titles; every third has a blank one."""
+    title = F.when(F.col("item_id") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.trim("text"), F.lit(" ")))
+    new = table(spark, sf, "benchmark").select((F.col("item_id") + 1_000_000).alias("id"), F.lit("s9").alias("session_id"), title.alias("title"))
+    return chat.create(_store(spark, sf)[0], new, F.lit(7.0)).select("id", "session_id", "title", "updated_at")
 
 
 @query("SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'Renamed ' || conv_id ELSE 'New Chat' END AS title, CASE WHEN conv_id % 3 = 0 THEN 999.0 ELSE max(turn) END::DOUBLE AS updated_at FROM conversations GROUP BY conv_id")
@@ -214,7 +224,7 @@ def history_window(spark: SparkSession, sf: str) -> DataFrame:
 def _feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as ratings of documents: quality 1 approves, the document's source is the citation."""
     j = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
-    return j.select(F.col("doc_id").alias("feedback_id"), F.substring("text", 1, 300).alias("query"), F.col("text").alias("answer"), F.when(F.col("quality") == 1, "thumbs_up").otherwise("thumbs_down").alias("rating"), F.array("source").alias("citations"))
+    return j.select(F.col("doc_id").alias("feedback_id"), F.col("text").alias("query"), F.col("text").alias("answer"), F.when(F.col("quality") == 1, "thumbs_up").otherwise("thumbs_down").alias("rating"), F.array("source").alias("citations"))
 
 
 @query("SELECT source AS source_file, round(sum(CASE WHEN quality = 1 THEN 0.12 ELSE -0.15 END), 3)::DOUBLE AS boost FROM labels JOIN documents USING (doc_id) GROUP BY source")
@@ -230,7 +240,7 @@ def boosted_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EX = lambda rating, words, top: f"""WITH q AS (SELECT item_id, unnest({words}) AS w FROM benchmark),
-r AS (SELECT doc_id AS feedback_id, lower(trim(text[1:300])) AS low FROM labels JOIN documents USING (doc_id) WHERE quality {rating}),
+r AS (SELECT doc_id AS feedback_id, lower(trim(text)) AS low FROM labels JOIN documents USING (doc_id) WHERE quality {rating}),
 h AS (SELECT item_id, feedback_id, count(*) AS overlap FROM q JOIN r ON contains(low, w) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, feedback_id)::INTEGER AS rank FROM h) SELECT * FROM k WHERE rank <= {top}"""
 
@@ -245,7 +255,7 @@ def feedback_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return chat.exemplars(table(spark, sf, "benchmark"), _feedback(spark, sf), query="item_id", question="text", rating="thumbs_down", top=1)
 
 
-@query("SELECT CASE WHEN quality = 1 THEN 'thumbs_up' ELSE 'thumbs_down' END AS rating, count(*) AS n, sum(length(text[1:300]))::BIGINT AS query_chars FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("SELECT CASE WHEN quality = 1 THEN 'thumbs_up' ELSE 'thumbs_down' END AS rating, count(*) AS n, sum(length(text))::BIGINT AS query_chars FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def feedback_export(spark: SparkSession, sf: str) -> DataFrame:
     return _feedback(spark, sf).groupBy("rating").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("query")).alias("query_chars"))
 
@@ -296,7 +306,7 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     old = e.where("event_id % 2 = 1").groupBy(F.col("user_id").alias("key")).agg(F.lit(None).cast("long").alias("new_id"), F.max("event_id").alias("event_id"))
-    new = e.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("new_id"), F.max("event_id").alias("event_id"))
+    new = e.where("event_id % 2 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("new_id"), "event_id")  # keys repeat
     return store.upsert(old, new, "key")
 
 

@@ -146,12 +146,12 @@ def rerank_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
     return _rerank(spark, sf).select("item_id", "doc_id", "logit", "prob", "final_rank")
 
 
-PARENT_SQL = "par AS (SELECT source, arg_min(text, doc_id) AS full_content FROM documents WHERE lang = 'en' GROUP BY source)"
+PARENT_SQL = "par AS (SELECT source, arg_min(text, doc_id) AS full_content FROM documents GROUP BY source)"
 
 
 def _parents(spark: SparkSession, sf: str) -> DataFrame:
-    """A parent for each source: its first English text."""
-    return table(spark, sf, "documents").where("lang = 'en'").groupBy("source").agg(F.min_by("text", "doc_id").alias("full_content"))
+    """A parent for each source: its first text."""
+    return table(spark, sf, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("full_content"))
 
 
 def _expanded(spark: SparkSession, sf: str) -> DataFrame:

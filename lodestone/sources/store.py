@@ -13,9 +13,10 @@ def latest(rows: DataFrame, key: str | list[str], order: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """stored with new rows added and rows of equal key replaced; of equal keys in new, the last by all columns stays."""
-    fresh = new.dropDuplicates([key])
+def upsert(stored: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """stored with new rows added and rows of equal key replaced; of equal keys in new, the last by the order columns stays (all columns, unless given)."""
+    rest = [c for c in new.columns if c != key]
+    fresh = latest(new, key, [*(order or []), *(c for c in rest if c not in (order or []) and not new.schema[c].dataType.typeName() == "map")]) if rest else new.distinct()
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

@@ -183,3 +183,31 @@ def test_uuid5(spark):
     d = spark.createDataFrame([("a",), ("chunk_7",), ("ü",)], "n string")
     got = [r[0] for r in d.select(tx.uuid5(str(uuid.NAMESPACE_DNS), F.col("n"))).collect()]
     assert got == [str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in ("a", "chunk_7", "ü")]
+
+
+def test_upsert_keeps_the_last_of_repeated_keys(spark):
+    from lodestone.sources import store
+
+    old = spark.createDataFrame([(1, 9), (2, 8)], "id int, v int")
+    new = spark.createDataFrame([(1, v) for v in range(5)] + [(3, 0)], "id int, v int")
+    for parts in (1, 2, 3, 5):
+        got = sorted(map(tuple, store.upsert(old, new.repartition(parts), "id").collect()))
+        assert got == [(1, 4), (2, 8), (3, 0)]
+
+
+def test_session_life(spark):
+    s = spark.createDataFrame([("a", "x", ["f"], 5, 10, "strict"), ("b", "y", ["g"], 6, 99, "loose")], "session_id string, token_sha256 string, files array<string>, modified_at int, expires_at int, strictness string")
+    now = F.lit(50)
+    more = chat.create_session(s, spark.createDataFrame([("c", "secret", "balanced"), ("a", "other", "strict")], "session_id string, token string, strictness string"), now)
+    assert sorted((r.session_id, r.expires_at, r.strictness) for r in more.collect()) == [("a", 10, "strict"), ("b", 99, "loose"), ("c", 50 + 86400, "balanced")]
+    assert chat.validate(more, spark.createDataFrame([("c", "secret")], "session_id string, token string"), now).head().valid
+    live, rest = chat.rehydrate(more, spark.createDataFrame([("a",), ("b",)], "session_id string"), now)
+    assert [tuple(r) for r in live.collect()] == [("b", "y", ["g"], 6, 99, "loose")] and {r.session_id for r in rest.collect()} == {"b", "c"}
+    assert {r.session_id for r in chat.delete_sessions(more, live).collect()} == {"a", "c"}
+
+
+def test_containing_terms(spark):
+    d = spark.createDataFrame([(1, "information on forms"), (2, ""), (3, None), (4, "café form")], "id long, low string")
+    t = spark.createDataFrame([("form",), ("café",), ("on f",), ("zzz",), ("orm",)], "term string")
+    got = sorted(map(tuple, lexical.containing(d, t, key="id", low="low", term="term").collect()))
+    assert got == sorted((i, w) for i, x in ((1, "information on forms"), (4, "café form")) for w in ("form", "café", "on f", "orm") if w in x)
