@@ -86,3 +86,15 @@ def hash_slots(text: Column, dim: int = 384) -> Column:
         return F.struct(slot.alias("slot"), (F.when(odd == 0, 1.0).otherwise(-1.0) / F.sqrt(i + 1.0)).alias("value"))
 
     return F.transform(words, term)
+
+
+def colour_histogram(channels: list[Column], bins: int = 16, lo: float = -1.0, hi: float = 1.0) -> Column:
+    """Densities of each channel, one after another: 16 bins of three channels are 48 values."""
+    return F.concat(*[histogram(c, bins, lo, hi) for c in channels])
+
+
+def gradient_hex(grid: Column, width: int = 9) -> Column:
+    """Bits "cell greater than its right neighbour" in hex digits of four, the first bit of a digit counting 1."""
+    bits = F.transform(F.filter(F.sequence(F.lit(1), F.size(grid)), lambda i: i % width != 0), lambda i: (F.element_at(grid, i) > F.element_at(grid, i + 1)).cast("int"))
+    digit = lambda b, i: F.lower(F.hex(sum((F.element_at(b, i * 4 + k + 1) * 2**k for k in range(1, 4)), F.element_at(b, i * 4 + 1)).cast("long")))
+    return let(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(b) / 4).cast("int") - 1), lambda i: digit(b, i)), ""))

@@ -63,6 +63,11 @@ def history_text(turns: DataFrame, key: str, order: str, content: str, n: int =
     return last.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", content))), lambda x: x[content]), "\n").alias("history"))
 
 
+def reset_memory(turns: DataFrame, cleared: DataFrame, key: str) -> DataFrame:
+    """turns without those of the conversations in cleared."""
+    return turns.join(cleared.select(key).distinct(), key, "left_anti")
+
+
 # --- Feedback -----------------------------------------------------------------------------------------------------
 
 

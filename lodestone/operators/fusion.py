@@ -47,3 +47,30 @@ def citations(chunks: DataFrame, *, query: str, source: str, order: str, score:
     c = chunks.withColumn("relevance", F.round(F.col(score) * 100, 1))
     best = c.groupBy(query, source).agg(F.max_by(F.struct(F.col("relevance"), excerpt(F.col(text)).alias("excerpt")), F.struct("relevance", -F.col(order))).alias("b"), F.min(order).alias("first_seen"))
     return best.select(query, source, "b.relevance", "b.excerpt", F.row_number().over(Window.partitionBy(query).orderBy("first_seen")).alias("citation_no"))
+
+
+#: Further hits for a query that drew negative feedback.
+MORE_AFTER_NEGATIVE = 2
+
+
+def adaptive_k(hits: DataFrame, negatives: DataFrame, *, query: str, k: int, rank: str = "rank") -> DataFrame:
+    """The first k hits of each query, and two more for queries in negatives."""
+    told = negatives.select(query).distinct().withColumn("_more", F.lit(MORE_AFTER_NEGATIVE))
+    return hits.join(told, query, "left").where(F.col(rank) <= k + F.coalesce("_more", F.lit(0))).drop("_more")
+
+
+def image_k(k: int) -> int:
+    """Hits fetched for a question with an image, of which k stay after reranking."""
+    return max(2 * k, 12)
+
+
+def prepend(chunks: DataFrame, first: DataFrame, *, query: str, text: str = "text", rank: str = "rank") -> DataFrame:
+    """chunks with the rows of `first` before them (ranks 0 and below, in their order), but none whose text the query's chunks have already.
+
+    Of equal texts in `first`, the last in order is the one that stands.
+    """
+    w = Window.partitionBy(query, text).orderBy(F.desc(rank))
+    once = first.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    fresh = once.join(chunks.select(query, text).distinct(), [query, text], "left_anti")
+    fresh = fresh.withColumn(rank, 1 - F.row_number().over(Window.partitionBy(query).orderBy(F.desc(rank))))
+    return chunks.unionByName(fresh, allowMissingColumns=True)

@@ -96,3 +96,21 @@ def missing_answers(queries: DataFrame, kept: DataFrame, *, query: str, question
         return none.select(query, F.concat(F.lit("[General Knowledge - Not found in your documents] "), question).alias("answer"), F.lit(0.25).alias("confidence"), F.lit(False).alias("is_grounded"))
     text = F.concat(F.lit("I could not find any information about '"), question, F.lit("' in the uploaded documents. Please upload a document containing this topic or ask about your indexed files."))
     return none.select(query, text.alias("answer"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_grounded"))
+
+
+def answerable(queries: DataFrame, question: str) -> DataFrame:
+    """Queries with a question that isn't null or blank."""
+    return queries.where(F.length(F.trim(F.coalesce(F.col(question), F.lit("")))) > 0)
+
+
+def image_context(hits: DataFrame, figures: DataFrame, *, query: str, question: str, text: str, score: str, order: str, k: int, cut: float, has_figure: Column | None = None) -> DataFrame:
+    """Context of questions with an image: matched figure chunks before the hits, filtered, put back where the filter took them, reranked; the best k.
+
+    hits: fusion.image_k(k) per query; figures: chunks with the same columns.
+    """
+    from lodestone.operators.fusion import prepend
+
+    held = relevance_filter(prepend(hits, figures, query=query, text=text, rank=order), query=query, question=question, text=text, score=score, order=order, cut=cut)
+    held = prepend(held, figures.withColumns({"kept_score": F.col(score), "reason": F.lit("figure")}), query=query, text=text, rank=order)
+    out = attention_rerank(held, query=query, question=question, text=text, score="kept_score", order=order, has_figure=has_figure, image_query=True)
+    return out.where(F.col("attention_rank") <= k)

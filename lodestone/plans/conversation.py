@@ -394,3 +394,34 @@ def section_titles(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.section_titles(n, "doc_id", "node", "type", "content", "title").select("doc_id", "node", "section_title")
 
 
+
+
+SES = "ses AS (SELECT user_id AS session_id, max(floor(epoch(ts)))::BIGINT AS modified_at, max(floor(epoch(ts)))::BIGINT + user_id % 9 * 86400 AS expires_at FROM events GROUP BY user_id), cut AS (SELECT max(floor(epoch(ts)))::BIGINT + 86400 * 4 AS now FROM events)"
+
+
+@query(f"WITH {SES} SELECT session_id, modified_at, expires_at FROM ses UNION ALL SELECT c_custkey + 1000000, 7, 7 + 24 * 3600 FROM customer")
+def session_create(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers open new sessions; ids of old sessions are asked for too and keep theirs."""
+    old = _sessions(spark, sf)
+    new = table(spark, sf, "customer").select((F.col("c_custkey") + 1000000).alias("session_id")).unionByName(old.select("session_id")).withColumn("token", F.col("session_id").cast("string"))
+    return chat.create_session(old, new, F.lit(7).cast("long")).select("session_id", "modified_at", "expires_at")
+
+
+@query(f"WITH {SES} SELECT session_id, expires_at, session_id % 2 = 0 AS live FROM ses, cut WHERE session_id % 2 <> 0 OR expires_at >= now")
+def session_rehydrate(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions after those with even ids were asked for; live marks the ones that came back."""
+    s = _with_now(spark, sf, _sessions(spark, sf))
+    live, left = chat.rehydrate(s, s.where("session_id % 2 = 0"), F.col("now"))
+    return left.join(live.select("session_id", F.lit(True).alias("live")), "session_id", "left").select("session_id", "expires_at", F.coalesce("live", F.lit(False)).alias("live"))
+
+
+@query(f"WITH {SES} SELECT session_id, modified_at FROM ses WHERE session_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def session_delete(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("session_id"))
+    return chat.delete_sessions(_sessions(spark, sf), gone).select("session_id", "modified_at")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE contains(lower(text), 'the') AND turn = 0)")
+def memory_reset(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    return chat.reset_memory(c, c.where("contains(lower(text), 'the') AND turn = 0"), "conv_id").select("conv_id", "turn")

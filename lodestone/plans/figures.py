@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as tx
+from lodestone.functions import vectors as vec
 from lodestone.operators import figures, lexical, prompts
 from lodestone.plans.registry import query, table, values
 from lodestone.plans.retrieval import OVER, WITHOUT, W
@@ -225,3 +226,56 @@ def visual_topic(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("item_id", topic.alias("topic"), prompts.style_suffix(F.when(F.col("item_id") % 2 == 0, "concise").otherwise("detailed")).alias("suffix"))
 
 
+
+
+_CAPS = "CASE p_partkey % 8 WHEN 0 THEN 'Figure ' || p_partkey || ': ' || p_name WHEN 1 THEN '  fig. 3 ' || p_name WHEN 2 THEN 'Table' || p_name WHEN 3 THEN 'Workflow of ' || p_name WHEN 4 THEN 'Scheme A. ' || p_name WHEN 5 THEN 'Map 4' || chr(10) || p_name WHEN 6 THEN 'Photo' || repeat(p_name, 30) ELSE p_name || ' Figure 2' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, regexp_replace({_CAPS}, '^\\s+|\\s+$', '', 'g') AS t FROM part)
+SELECT p_partkey, regexp_matches(trim(split_part(t, chr(10), 1)), {values([figures.CAPTION_CROP])}) AND length(t) < 2500 AS crop, regexp_matches(t, {values([figures.CAPTION_REGION])}) AND length(t) < 300 AS region, regexp_matches(t, {values([figures.CAPTION_BLOCK])}) AS block FROM t""")
+def caption_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", figures.caption_kinds(F.expr(_CAPS)).alias("c")).select("p_partkey", "c.*")
+
+
+@query("""WITH p AS (SELECT c_custkey AS parent_id, c_nationkey AS doc_id, [c_custkey % 5, c_custkey % 3] AS pages FROM customer),
+f AS (SELECT s_suppkey, s_nationkey AS doc_id, s_suppkey % 5 AS page FROM supplier)
+SELECT p.doc_id, parent_id, count(DISTINCT s_suppkey) AS n, coalesce(string_agg(DISTINCT page || ':' || s_suppkey, ',' ORDER BY page || ':' || s_suppkey), '') AS figures FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND list_contains(p.pages, f.page) GROUP BY p.doc_id, parent_id""")
+def figures_of_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers stand in for sections, their nations for documents, suppliers for figures."""
+    key = F.col("c_custkey")
+    p = table(spark, sf, "customer").select(F.col("c_nationkey").alias("doc_id"), key.alias("parent_id"), F.array((key % 5).cast("long"), (key % 3).cast("long")).alias("pages"))
+    f = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("doc_id"), (F.col("s_suppkey") % 5).cast("long").alias("page"), "s_suppkey")
+    out = figures.figures_of_parents(p, f, doc="doc_id", parent="parent_id", pages="pages", page="page", figure=["s_suppkey"])
+    names = F.array_sort(F.transform("figures", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), x["s_suppkey"].cast("string"))))
+    return out.select("doc_id", "parent_id", F.size("figures").cast("long").alias("n"), F.array_join(names, ",").alias("figures"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS fig FROM lineitem), f AS (SELECT l_orderkey, fig, min(l_linenumber) AS pos FROM x GROUP BY ALL)
+SELECT l_orderkey, string_agg('fig' || fig, ',' ORDER BY pos) AS figures FROM f GROUP BY l_orderkey""")
+def resolved_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders stand in for questions, their lines for contexts with a figure each."""
+    c = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.struct(F.concat(F.lit("fig"), F.col("l_suppkey") % 4).alias("id"))).alias("figures"))
+    return figures.resolved_figures(c, query="l_orderkey", order="l_linenumber").select("l_orderkey", F.array_join(F.transform("figures", lambda x: x["id"]), ",").alias("figures"))
+
+
+_GRID = "concat(embedding, slice(embedding, 1, 8))"
+BITS = lambda g, op, skip: f"list_transform(list_filter(range(1, 73), lambda i: i % 9 <> {skip}), lambda i: ({g}[i] > {g}[i {op} 1])::INT)"
+
+
+@query(f"""WITH g AS (SELECT vec_id, list_concat({V}, ({V})[1:8]) AS g FROM embeddings), b AS (SELECT vec_id, {BITS('g', '-', 1)} AS b, {BITS('g', '+', 0)} AS r FROM g)
+SELECT vec_id, len(b) AS n_bits, list_aggregate(list_transform(b, lambda x: x::VARCHAR), 'string_agg', '') AS bits,
+  list_aggregate(list_transform(range(0, 16), lambda i: format('{{:x}}', r[4 * i + 1] + 2 * r[4 * i + 2] + 4 * r[4 * i + 3] + 8 * r[4 * i + 4])), 'string_agg', '') AS hex FROM b""")
+def gradient_hash_64(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings with their first row repeated stand in for nine by eight grids."""
+    g = table(spark, sf, "embeddings").select("vec_id", F.expr(_GRID).cast("array<double>").alias("g"))
+    b = g.select("vec_id", vec.gradient_hash(F.col("g"), 9).alias("b"), vec.gradient_hex(F.col("g")).alias("hex"))
+    return b.select("vec_id", F.size("b").cast("long").alias("n_bits"), F.array_join(F.transform("b", lambda x: x.cast("int").cast("string")), "").alias("bits"), "hex")
+
+
+@query(f"""WITH g AS (SELECT vec_id, c, list_filter(({V})[c * 21 + 1 : c * 21 + 21], lambda x: x >= -1.0 AND x <= 1.0) AS v FROM embeddings, range(0, 3) t(c))
+SELECT vec_id, (c * 16 + b)::INTEGER AS slot, round(len(list_filter(v, lambda x: least(15, floor((x + 1.0) / 0.125)) = b)) / (greatest(1, len(v)) * 0.125), 6)::DOUBLE AS density FROM g, range(0, 16) s(b)""")
+def colour_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirds of an embedding stand in for the colours of a picture."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    h = vec.colour_histogram([F.slice("e", k * 21 + 1, 21) for k in range(3)])
+    return e.select("vec_id", F.posexplode(h).alias("slot", "density")).select("vec_id", "slot", F.round("density", 6).alias("density"))

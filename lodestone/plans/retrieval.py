@@ -10,6 +10,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
 from lodestone.operators import chat, dense, fusion, guardrails, lexical, prompts
 from lodestone.plans.registry import query, table, values
+from lodestone.sources import store
 
 TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
 W = lambda c, n=3: f"list_distinct(list_filter({TOK.format(c)}, lambda w: length(w) >= {n}))"
@@ -196,8 +197,9 @@ def _candidates(spark: SparkSession, sf: str, k: int = 12) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", "source").join(lexical.bounded(hits), "doc_id")
 
 
-FILTER_SQL = lambda cut: f"""{DENSE_SQL},
-c AS (SELECT r.item_id, r.doc_id, r.score, r.rank, b.text AS question, d.text, d.source FROM drank r JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE r.rank <= 12),
+HITS_SQL = "c AS (SELECT r.item_id, r.doc_id, r.score, r.rank, b.text AS question, d.text, d.source FROM drank r JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE r.rank <= 12)"
+FILTER_SQL = lambda cut, c=HITS_SQL: f"""{DENSE_SQL},
+{c},
 cw AS (SELECT *, {WITHOUT(W('question'), tx.STOP_FILTER)} AS cw FROM c),
 lx AS (SELECT *, len(cw) AS n, {OVER('cw', 'lower(text)')} AS lex, length(trim(question)) >= 4 AND contains(lower(text), lower(trim(question))) AS ex FROM cw),
 rs AS (SELECT *, CASE WHEN ex THEN 'exact' WHEN lex >= 2 OR (lex >= 1 AND (n <= 3 OR score >= 0.22)) THEN 'lexical' WHEN score >= {cut} THEN 'score' END AS reason0 FROM lx),
@@ -317,3 +319,53 @@ m AS (SELECT label, slot, avg(x) AS m FROM c GROUP BY ALL)
 SELECT label, slot::INTEGER AS slot, round(m / CASE WHEN sqrt(sum(m * m) OVER (PARTITION BY label)) > 1e-12 THEN sqrt(sum(m * m) OVER (PARTITION BY label)) ELSE 1.0 END, 6) AS value FROM m""")
 def late_pool(spark: SparkSession, sf: str) -> DataFrame:
     return dense.mean_pool(_vectors(spark, sf), "label").select("label", "slot", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {DENSE_SQL} SELECT item_id, doc_id, rank::INTEGER AS rank FROM drank WHERE rank <= 4 + CASE WHEN item_id IN (SELECT conv_id FROM conversations WHERE role = 'user' AND contains(text, '?')) THEN 2 ELSE 0 END")
+def adaptive_k(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations whose user asks stand in for negative feedback on the question of their number."""
+    told = table(spark, sf, "conversations").where("role = 'user' AND contains(text, '?')").select(F.col("conv_id").alias("item_id"))
+    return fusion.adaptive_k(_dense(spark, sf, 4 + fusion.MORE_AFTER_NEGATIVE), told, query="item_id", k=4).select("item_id", "doc_id", "rank")
+
+
+IMAGE_HITS_SQL = HITS_SQL.replace("c AS (", "hits AS (", 1) + """,
+fig AS (SELECT b.item_id, d.doc_id, 0.95::DOUBLE AS score, d.n AS rank, b.text AS question, d.text, d.source FROM benchmark b JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d ON d.n % 3 = b.item_id % 3 AND d.n <= 7),
+figu AS (SELECT * EXCLUDE (nn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY rank DESC) AS nn FROM fig) WHERE nn = 1),
+fig1 AS (SELECT * REPLACE (1 - row_number() OVER (PARTITION BY item_id ORDER BY rank DESC) AS rank) FROM figu f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.item_id = f.item_id AND h.text = f.text)),
+c AS (SELECT item_id, doc_id, score, rank, question, text, source FROM hits UNION ALL SELECT item_id, doc_id, score, rank, question, text, source FROM fig1)"""
+
+
+@query(f"""WITH {FILTER_SQL(0.35, IMAGE_HITS_SQL)},
+fig2 AS (SELECT item_id, doc_id, score AS kept_score, 1 - row_number() OVER (PARTITION BY item_id ORDER BY rank DESC) AS rank, question, text FROM figu f WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.item_id = f.item_id AND k.text = f.text)),
+al AS (SELECT item_id, doc_id, kept_score, rank, question, text FROM kept UNION ALL SELECT * FROM fig2),
+s AS (SELECT item_id, doc_id, rank, round(kept_score * 0.65 + least({OVER(W('question'), 'lower(text)')} * 0.08, 0.25) + CASE WHEN doc_id % 4 = 0 THEN 0.12 ELSE 0.0 END, 6)::DOUBLE AS composite FROM al),
+r AS (SELECT item_id, doc_id, composite, row_number() OVER (PARTITION BY item_id ORDER BY composite DESC, rank)::INTEGER AS attention_rank FROM s)
+SELECT * FROM r WHERE attention_rank <= 5""")
+def image_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with an image: up to three of the first seven documents stand in for the figure chunks that the image matched."""
+    lead = table(spark, sf, "documents").select("doc_id", "text", "source").orderBy("doc_id").limit(7)
+    lead = lead.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))  # seven rows
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), (F.col("item_id") % 3).alias("third"))
+    figs = q.join(F.broadcast(lead.withColumn("third", F.col("rank").cast("long") % 3)), "third").drop("third").withColumn("score", F.lit(0.95))
+    out = guardrails.image_context(_candidates(spark, sf, fusion.image_k(5)), figs, query="item_id", question="question", text="text", score="score", order="rank", k=5, cut=sc.threshold("balanced"), has_figure=F.col("doc_id") % 4 == 0)
+    return out.select("item_id", "doc_id", "composite", "attention_rank")
+
+
+@query(f"""WITH {FILTER_SQL(0.42)}, m AS (SELECT item_id, text AS question FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM kept WHERE kept_score >= 0.82))
+SELECT item_id, '[General Knowledge - Not found in your documents] ' || question AS answer, 0.25::DOUBLE AS confidence, false AS is_grounded FROM m""")
+def general_knowledge_answers(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    sure = _kept(spark, sf, sc.threshold("strict")).where("kept_score >= 0.82")  # a demanding reader, as in missing_answers
+    return guardrails.missing_answers(q, sure, query="item_id", question="question", policy="general_knowledge")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def collection_count(spark: SparkSession, sf: str) -> DataFrame:
+    return store.count(table(spark, sf, "documents"))
+
+
+@query("SELECT page_id FROM pages WHERE length(trim(coalesce(regexp_replace(html, '<[^>]*>', '', 'g')[1:3], ''))) > 0")
+def answerable(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three characters of a page's text stand in for questions, some of which are blank."""
+    q = table(spark, sf, "pages").select("page_id", F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 3).alias("q"))
+    return guardrails.answerable(q, "q").select("page_id")

@@ -98,6 +98,89 @@ def docx_sections(content: bytes) -> list[str]:
     return [s for s in out if s]
 
 
+def docx_images(content: bytes) -> list[tuple[str, bytes]]:
+    """(file name, bytes) of the images a DOCX file embeds, in order of name and number."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = [n for n in z.namelist() if n.startswith("word/media/")]
+        number = lambda n: int("".join(c for c in n if c.isdigit()) or 0)
+        return [(n.rsplit("/", 1)[1], z.read(n)) for n in sorted(names, key=lambda n: (number(n), n))]
+
+
+def read_docx_images(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, image_no, image_name, image, text): embedded images of DOCX files, with the section that stands for each before the paragraphs."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/\\\\]+)$", 1).alias("filename"), "content")
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, k, n, i) for f, c in zip(b.filename, b.content) for k, (n, i) in enumerate(docx_images(c), 1)]
+            yield pd.DataFrame(rows, columns=["filename", "image_no", "image_name", "image"])
+
+    d = files.mapInPandas(opened, "filename string, image_no int, image_name string, image binary")
+    stem = F.regexp_replace(F.regexp_replace("filename", r"\.[^.]*$", ""), r"[^\p{L}\p{N}]", "_")
+    url = F.concat(F.lit("/images/"), stem, F.lit("_img"), "image_no", F.regexp_extract("image_name", r"(\.[^.]+)$", 1))
+    return d.withColumn("text", F.concat(F.lit("[IMAGE / FIGURE: Embedded Document Graphic "), "image_no", F.lit("]\n[Image URL: "), url, F.lit("]")))
+
+
+def lines_reader(content: bytes) -> list[str]:
+    """Pages of a text file, 55 lines each: the plainest page reader."""
+    lines = content.decode("utf-8", "replace").splitlines(keepends=True)
+    return ["".join(lines[k : k + LINES_PER_PAGE]) for k in range(0, max(len(lines), 1), LINES_PER_PAGE)]
+
+
+def read_pages(spark: SparkSession, path: str, count, page, *, fallback=None, start: int | None = None, end: int | None = None, per_task: int = 16) -> DataFrame:
+    """(file_path, page, text) of paged files by a plug-in reader; pages of one file run in parallel, `per_task` to a row.
+
+    count(content) gives a file's number of pages and page(content, n) the text of page n, from 1. Where either raises,
+    `fallback` (the same pair) reads the file or the page; without one, the error stands. An inverted or empty range
+    gives all pages. Files come through Spark's binary reader, so the path may be in any store that Spark opens; it
+    passes over files of no bytes, which have no page here.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), "content")
+
+    def pages_in(content: bytes) -> int:
+        try:
+            return count(content)
+        except Exception:
+            if fallback is None:
+                raise
+            return fallback[0](content)
+
+    def one(content: bytes, n: int) -> str:
+        try:
+            return page(content, n)
+        except Exception:
+            if fallback is None:
+                raise
+            return fallback[1](content, n)
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for f, c in zip(b.file_path, b.content):
+                total = pages_in(c)
+                lo, hi = max(1, start or 1), min(total, end or total)
+                lo, hi = (1, total) if lo > hi else (lo, hi)
+                rows += [(f, n, min(hi, n + per_task - 1)) for n in range(lo, hi + 1, per_task)]
+            yield pd.DataFrame(rows, columns=["file_path", "first", "last"])
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, n, one(c, n)) for f, c, lo, hi in zip(b.file_path, b.content, b["first"], b["last"]) for n in range(lo, hi + 1)]
+            yield pd.DataFrame(rows, columns=["file_path", "page", "text"])
+
+    parts = files.mapInPandas(ranges, "file_path string, first int, last int")
+    # Ranges, not contents, are dealt out; each content then meets its ranges.
+    held = parts.join(files, "file_path").repartition("file_path", "first")
+    return held.select("file_path", "content", "first", "last").mapInPandas(texts, "file_path string, page int, text string")
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """(file_path, text_content): pages in order, each after its "[Page n]" mark; blank pages are left out."""
+    body = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: F.concat(F.lit("[Page "), p["page"].cast("string"), F.lit("]\n"), F.trim(p["text"])))
+    shown = pages.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    return shown.groupBy("file_path").agg(F.array_join(body, "\n\n").alias("text_content"))
+
+
 def read_docx(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """(filename, sections, total_pages, text_content) of DOCX files, optionally of a page range."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/\\]+)$", 1).alias("filename"), "content")

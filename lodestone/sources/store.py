@@ -55,12 +55,26 @@ def lead_chunks(store: DataFrame, order: str, limit: int = 4) -> DataFrame:
     return store.orderBy(order).limit(limit).withColumn("score", F.lit(0.80))
 
 
+def count(store: DataFrame) -> DataFrame:
+    """One row: n, the chunks of a collection."""
+    return store.agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_feedback(entries: DataFrame, session_path: str, global_path: str) -> None:
+    """Entries added as JSON lines to the session's store and to the global one; what stands there isn't rewritten."""
+    for path in (session_path, global_path):
+        entries.write.mode("append").json(path)
+
+
 def read_feedback(spark: SparkSession, session_path: str, global_path: str) -> DataFrame:
-    """Feedback of a session, or the global store where the session has none."""
+    """Feedback of a session, or the global store where the session has none; a file is a JSON array or has an entry per line."""
     schema = "query string, answer string, rating string, model string, citations array<string>, timestamp double"
     for path in (session_path, global_path):
         try:
-            df = spark.read.schema(schema).option("multiLine", True).json(path)
+            text = F.trim("value")
+            lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.from_json(x, schema))
+            entries = F.when(F.startswith(text, F.lit("[")), F.from_json(text, f"array<struct<{schema}>>")).otherwise(lines)
+            df = spark.read.option("wholetext", True).text(path).select(F.explode(entries).alias("e")).select("e.*")
             if not df.isEmpty():
                 return df
         except Exception as e:  # a missing store counts as empty

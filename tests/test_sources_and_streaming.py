@@ -86,3 +86,40 @@ def test_ingest(spark, tmp_path):
     q = state.ingest(stream, str(tmp_path / "out"), lambda d: d.select(F.upper("value").alias("text")), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).head().text == "HELLO WORLD"
+
+
+def test_pages_by_range(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.txt").write_text("".join(f"line {k}\n" for k in range(120)))
+    (tmp_path / "p" / "empty.txt").write_text("")
+    count, page = lambda c: len(files.lines_reader(c)), lambda c, n: files.lines_reader(c)[n - 1]
+    pages = files.read_pages(spark, str(tmp_path / "p"), count, page, per_task=1)
+    got = {(r.file_path.rsplit("/", 1)[1], r.page): r.text for r in pages.collect()}
+    assert set(got) == {("a.txt", 1), ("a.txt", 2), ("a.txt", 3)} and got["a.txt", 3].startswith("line 110\n")
+    text = {r.file_path.rsplit("/", 1)[1]: r.text_content for r in files.page_text(pages).collect()}
+    assert set(text) == {"a.txt"} and text["a.txt"].startswith("[Page 1]\nline 0\n") and "\n\n[Page 2]\nline 55" in text["a.txt"]
+    assert [r.page for r in files.read_pages(spark, str(tmp_path / "p" / "a.txt"), count, page, start=2, end=2).collect()] == [2]
+
+    def broken(*_):
+        raise ValueError("no library")
+
+    kept = files.read_pages(spark, str(tmp_path / "p" / "a.txt"), broken, broken, fallback=(count, page))
+    assert sorted(r.page for r in kept.collect()) == [1, 2, 3]
+
+
+def test_docx_images(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "My file.docx", "w") as z:
+        for n in (10, 2):
+            z.writestr(f"word/media/image{n}.png", bytes([n]))
+    rows = files.read_docx_images(spark, str(tmp_path / "*.docx")).orderBy("image_no").collect()
+    assert [(r.image_no, bytes(r.image)) for r in rows] == [(1, b"\x02"), (2, b"\x0a")]
+    assert rows[0].text == "[IMAGE / FIGURE: Embedded Document Graphic 1]\n[Image URL: /images/My_file_img1.png]"
+
+
+def test_feedback_sink(spark, tmp_path):
+    e = spark.createDataFrame([("q", "a", "thumbs_up", "m", ["x"], 1.0), ("r", "a\nb", "thumbs_down", "m", [], 2.0)], "query string, answer string, rating string, model string, citations array<string>, timestamp double")
+    for _ in range(2):
+        store.write_feedback(e.coalesce(1), str(tmp_path / "s"), str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "s")).count() == spark.read.json(str(tmp_path / "g")).count() == 4
+    got = store.read_feedback(spark, str(tmp_path / "none"), str(tmp_path / "g"))
+    assert got.count() == 4 and {r.answer for r in got.collect()} == {"a", "a\nb"}
