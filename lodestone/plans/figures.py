@@ -251,7 +251,7 @@ def figures_of_parents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS fig FROM lineitem), f AS (SELECT l_orderkey, fig, min(l_linenumber) AS pos FROM x GROUP BY ALL)
-SELECT l_orderkey, string_agg('fig' || fig, ',' ORDER BY pos) AS figures FROM f GROUP BY l_orderkey""")
+SELECT l_orderkey, string_agg('fig' || fig, ',' ORDER BY pos, fig) AS figures FROM f GROUP BY l_orderkey""")
 def resolved_figures(spark: SparkSession, sf: str) -> DataFrame:
     """Orders stand in for questions, their lines for contexts with a figure each."""
     c = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.struct(F.concat(F.lit("fig"), F.col("l_suppkey") % 4).alias("id"))).alias("figures"))
