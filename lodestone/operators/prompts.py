@@ -88,18 +88,22 @@ def strip_provider(name: Column) -> Column:
 
 
 def resolve_model(wanted: DataFrame, installed: DataFrame) -> DataFrame:
-    """wanted (name) with resolved: the installed name that is equal, has ":latest", or first contains it; null if none. Both are small catalogues."""
-    j = wanted.join(F.broadcast(installed.select(F.col("name").alias("inst"), "position")), F.contains(F.lower("inst"), F.lower("name")), "left")
+    """wanted (name) with resolved: the installed name that is equal, has ":latest", or first contains it; null if none."""
+    from lodestone.operators.lexical import bounded
+
+    j = wanted.join(bounded(installed.select(F.col("name").alias("inst"), "position")), F.contains(F.lower("inst"), F.lower("name")), "left")
     order = F.when(F.col("inst") == F.col("name"), 0).when(F.col("inst") == F.concat("name", F.lit(":latest")), 1).otherwise(2)
     return j.groupBy("name").agg(F.min_by("inst", F.struct(order.alias("o"), "position")).alias("resolved"))
 
 
 def catalog_status(catalog: DataFrame, installed: DataFrame, vram: float, ram: float) -> DataFrame:
-    """Catalogue with is_installed, compatibility and is_recommended; installed models outside it are appended. Both are small catalogues."""
+    """Catalogue with is_installed, compatibility and is_recommended; installed models outside it are appended."""
+    from lodestone.operators.lexical import bounded
+
     base = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(1))
     inst = installed.select(F.col("name").alias("inst"))
     same = (F.col("name") == F.col("inst")) | (F.col("tag") == F.col("inst")) | (base("name") == base("inst"))
-    hit = catalog.join(F.broadcast(inst), same, "left_semi").select("name").withColumn("is_installed", F.lit(True))
+    hit = catalog.join(bounded(inst), same, "left_semi").select("name").withColumn("is_installed", F.lit(True))
     fits = sc.compatibility(F.lit(vram), F.lit(ram), F.col("required_vram_gb"))
     known = catalog.join(hit, "name", "left").select("name", "tag", "category", "size_gb", "required_vram_gb", F.coalesce("is_installed", F.lit(False)).alias("is_installed"), fits.alias("compatibility"))
     known = known.withColumn("is_recommended", F.col("compatibility").isin("recommended", "compatible") & (F.col("size_gb") <= 3.5))

@@ -18,26 +18,38 @@ def extractive(context: Column, question: Column) -> Column:
     return F.array_join(F.slice(tx.sentences(F.trim(context)), 1, 3), " ")
 
 
-def answer_events(best: DataFrame, *, query: str, question: str, context: str, reason: str, generate: Callable[[Column, Column], Column] = extractive) -> DataFrame:
-    """(query, position, type, payload): status, then a refusal, or the model, the answer's tokens, its attribution, and done."""
+def answer_events(best: DataFrame, *, query: str, question: str, context: str, reason: str, generate: Callable[[Column, Column], Column] = extractive, contexts: str | None = None, figures: str | None = None) -> DataFrame:
+    """(query, position, type, payload): two statuses, then a refusal, or the model, figures, the answer's tokens, a status, its attribution, and done.
+
+    contexts: column with all contexts in rank order, which claims are held against (else the best one); figures: column
+    with the figures of those contexts. A refusal ends the events.
+    """
+    seen = F.array_join(contexts, " ") if contexts else F.col(context)
     a = best.withColumns({"_answer": generate(F.col(context), F.col(question)), "_model": prompts.route_model(F.col(question), F.contains(F.lower(F.coalesce(F.col(context), F.lit(""))), F.lit("table")), F.lit(False))})
-    checked = claims.verified_claims(claims.claims(a.where(F.col(reason).isNull()).select(query, "_answer", F.lower(F.col(context)).alias("_ctx")), [query, "_ctx"], "_answer"), "_ctx")
+    checked = claims.verified_claims(claims.claims(a.where(F.col(reason).isNull()).select(query, "_answer", F.lower(seen).alias("_ctx")), [query, "_ctx"], "_answer"), "_ctx")
     faith = claims.faithfulness(checked.drop("_ctx"), a.select(query), query)
     a = a.join(faith, query)
     ev = lambda kind, payload: F.struct(F.lit(kind).alias("type"), payload.cast("string").alias("payload"))
-    refused = F.array(ev("status", F.lit("evaluated")), ev("refusal", F.col(reason)), ev("done", F.lit("")))
+    opened = F.array(ev("status", F.lit("retrieving")), ev("status", F.lit("evaluating")))
+    refused = F.concat(opened, F.array(ev("refusal", F.col(reason))))
+    shown = F.transform(F.coalesce(F.col(figures), F.array().cast("array<string>")), lambda f: ev("figure", f)) if figures else F.slice(opened, 1, 0)
     tokens = F.transform(F.split("_answer", " "), lambda w: ev("token", w))
-    told = F.concat(F.array(ev("status", F.lit("evaluated")), ev("model_selected", F.col("_model"))), tokens, F.array(ev("attribution", F.col("faithfulness")), ev("done", F.lit(""))))
+    closing = F.array(ev("status", F.lit("verifying")), ev("attribution", F.col("faithfulness")), ev("done", F.lit("")))
+    told = F.concat(opened, F.array(ev("model_selected", F.col("_model"))), shown, tokens, closing)
     return a.select(query, F.posexplode(F.when(F.col(reason).isNotNull(), refused).otherwise(told)).alias("position", "e")).select(query, "position", "e.*")
 
 
 @query()
 def gated_answer_events(spark: SparkSession, sf: str) -> DataFrame:
-    top = _expanded(spark, sf).where("final_rank = 1").select("item_id", "prob", "parent_context")
+    ranked = F.sort_array(F.collect_list(F.struct("final_rank", "prob", "parent_context")))
+    top = _expanded(spark, sf).groupBy("item_id").agg(ranked.alias("r"))  # five contexts a question
+    texts = F.transform("r", lambda x: x["parent_context"])
+    urls = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(prompts.URL_TAG), F.lit(1)))))
+    top = top.select("item_id", F.col("r")[0]["prob"].alias("prob"), F.col("r")[0]["parent_context"].alias("parent_context"), texts.alias("contexts"), urls.alias("figures"))
     best = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")).join(top, "item_id", "left")
     stats = spark.createDataFrame([(0.42, 0.09)], "mean double, std double")
     gated = guardrails.gate(best, stats, question="question", context="parent_context")
-    return answer_events(gated, query="item_id", question="question", context="parent_context", reason="refusal_reason")
+    return answer_events(gated, query="item_id", question="question", context="parent_context", reason="refusal_reason", contexts="contexts", figures="figures")
 
 
 @query(f"WITH {DENSE_SQL} SELECT item_id, count(*) AS n, round(avg(score), 4) AS confidence FROM drank WHERE rank <= 12 AND score >= 0.05 GROUP BY item_id")

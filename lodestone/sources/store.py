@@ -111,8 +111,10 @@ def embedding_catalog(spark: SparkSession) -> DataFrame:
 
 def with_prefix(texts: DataFrame, catalog: DataFrame, kind: str = "query") -> DataFrame:
     """(…, model, text) with the model's prefix before the text."""
+    from lodestone.operators.lexical import bounded
+
     p = catalog.select(F.col("name").alias("model"), F.col(f"{kind}_prefix").alias("_p"))
-    return texts.join(F.broadcast(p), "model", "left").withColumn("text", F.concat(F.coalesce("_p", F.lit("")), "text")).drop("_p")
+    return texts.join(bounded(p), "model", "left").withColumn("text", F.concat(F.coalesce("_p", F.lit("")), "text")).drop("_p")
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -211,3 +211,17 @@ def test_containing_terms(spark):
     t = spark.createDataFrame([("form",), ("café",), ("on f",), ("zzz",), ("orm",)], "term string")
     got = sorted(map(tuple, lexical.containing(d, t, key="id", low="low", term="term").collect()))
     assert got == sorted((i, w) for i, x in ((1, "information on forms"), (4, "café form")) for w in ("form", "café", "on f", "orm") if w in x)
+
+
+def test_answer_events(spark):
+    from lodestone.plans.answering import answer_events
+
+    long = "The reactor core reached seven hundred degrees on Monday."
+    rows = [(1, "What happened?", long, ["Nothing here.", long], ["/i/a.png", "/i/b.png"], None), (2, "Why?", "x", ["x"], None, "NO_CANDIDATES_RETRIEVED"), (3, "And?", long, ["Nothing here."], None, None)]
+    best = spark.createDataFrame(rows, "id long, question string, ctx string, contexts array<string>, figs array<string>, reason string")
+    got = answer_events(best, query="id", question="question", context="ctx", reason="reason", contexts="contexts", figures="figs").orderBy("id", "position").collect()
+    kinds = {k: [(r.type, r.payload) for r in got if r.id == k] for k in (1, 2, 3)}
+    assert [t for t, _ in kinds[2]] == ["status", "status", "refusal"]
+    assert [t for t, _ in kinds[1]] == ["status", "status", "model_selected", "figure", "figure", *["token"] * 9, "status", "attribution", "done"]
+    assert [p for t, p in kinds[1] if t == "figure"] == ["/i/a.png", "/i/b.png"]
+    assert [float(p) for k in (1, 3) for t, p in kinds[k] if t == "attribution"] == [1.0, 0.0]
