@@ -74,7 +74,7 @@ def term_runs(body, ends, groups):
     return named.dictionary, pair[run] // wide, pair[run] % wide, docs, np.add.reduceat(times, run) if len(run) else times
 
 
-def _document_runs(batches: Iterator) -> Iterator:
+def _document_runs(batches: Iterator, size: int, salts: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -88,9 +88,9 @@ def _document_runs(batches: Iterator) -> Iterator:
         data = np.frombuffer(body.buffers()[2] or b"", "u1")
         lo = 0
         while lo < len(body):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STRETCH, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
             terms, term, g, docs, n = term_runs(data[at[lo] : at[hi]], at[lo + 1 : hi + 1] - at[lo], group[lo:hi])
-            salt = pa.array(np.full(len(term), stretch % SALTS, "i4"))
+            salt = pa.array(np.full(len(term), stretch % salts, "i4"))
             cols = [lang.dictionary.take(pa.array(g // wide)), source.dictionary.take(pa.array(g % wide)), terms.take(pa.array(term)).cast(pa.string()), salt, pa.array(docs), pa.array(n)]
             out = pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "salt", "docs", "n"])
             for k in range(0, len(out), 50_000):
@@ -160,10 +160,10 @@ def _lists(b, first, least: int):
     return pa.RecordBatch.from_arrays([b.column("lang").take(at), b.column("term").take(at), pa.array(docs[stay]), *lists], ["lang", "term", "docs", "sources", "counts"])
 
 
-def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, stretch: int = STRETCH, salts: int = SALTS) -> DataFrame:
     """lang, term, docs, sources, counts of the terms that stand in at least `least` documents of their language."""
     keys, sums = ("lang", "term", "source"), ("docs", "n")
-    runs = docs.select(_blank("lang"), _blank("source"), text_bytes()).mapInArrow(_document_runs, RUNS)
+    runs = docs.select(_blank("lang"), _blank("source"), text_bytes()).mapInArrow(lambda b: _document_runs(b, stretch, salts), RUNS)
     runs = runs.repartition("lang", "term", "salt").sortWithinPartitions(*keys)
     runs = runs.mapInArrow(lambda b: run_lengths(b, keys, sums), "lang string, term string, source string, docs long, n long")
     runs = runs.repartition("lang", "term").sortWithinPartitions(*keys)
@@ -224,9 +224,9 @@ def _scan(batches: Iterator, top: int) -> Iterator[pd.DataFrame]:
             yield pd.concat([other, other.rename(columns={"source": "item", "item": "source"})[other.columns]])
 
 
-def audit(docs: DataFrame, *, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, *, least: int = LEAST_DOCS, top: int = TOP, stretch: int = STRETCH, salts: int = SALTS) -> DataFrame:
     """lang, source, part, item, value, rank: divergence of each source from the others of its language, and its most telling terms."""
-    kept = materialise(kept_terms(docs, least))
+    kept = materialise(kept_terms(docs, least, stretch, salts))
     counted = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c")).groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
     groups = docs.select(_blank("lang"), _blank("source")).distinct().join(counted, ["lang", "source"], "left")
     groups = materialise(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")))
