@@ -6,8 +6,8 @@ refined in the next round until it is one integer wide. A last pass keeps scores
 to the smaller vec_id; a partition keeps at most k rows per query, as no further one can be among the k first.
 
 Scores are integers: floor(scale * x) of each component, products in float64 while the bound of a score stays below 2^53
-(exact there), in int64 below 2^62, and in unbounded integers beyond it. A score beyond LIMIT = 2^61 either way is given as
-that bound, so that it fits a long. A tile's result is written before the next tile begins, and its broadcasts are dropped.
+(exact there), in int64 below 2^62, and in unbounded integers beyond it. Ranks follow the exact scores at any size; only
+what is shown of a score that a long cannot hold is the nearest long. A tile's result is written before the next tile begins, and its broadcasts are dropped.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates of it; fewer than k candidates give all; rows that repeat a vec_id are
@@ -25,9 +25,19 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialise, table, work_dir
 
-TILE, BINS, ROWS, LIMIT = 4096, 256, 1024, 1 << 61
+TILE, BINS, ROWS = 4096, 256, 1024
 
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_id long, vec_id long, score long, beyond string"
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
+
+
+def beyond(score: int) -> str:
+    """Orders scores that one long stands for: text that rises with the score, "m" for all that a long holds."""
+    if LEAST <= score <= MOST:
+        return "m"
+    digits = str(abs(score))
+    return f"p{len(digits):04d}{digits}" if score > 0 else f"a{9999 - len(digits):04d}{digits.translate(_COMPLEMENT)}"
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -70,9 +80,8 @@ def _scorer(rows: list):
         if bound < 1 << 53:
             return np.rint(v @ q.T).astype("i8")
         if bound < 1 << 62:
-            return np.clip(v.astype("i8") @ q.T.astype("i8"), -LIMIT, LIMIT)
-        exact = np.array([[int(x) for x in r] for r in v], object) @ np.array([[int(x) for x in r] for r in q], object).T
-        return np.clip(exact, -LIMIT, LIMIT).astype("i8")
+            return v.astype("i8") @ q.T.astype("i8")
+        return np.array([[int(x) for x in r] for r in v], object) @ np.array([[int(x) for x in r] for r in q], object).T
 
     return ids, scored
 
@@ -93,7 +102,8 @@ def _select(rows: list, base: DataFrame, k: int, norms: int, path: str) -> None:
 
     spark, dims = base.sparkSession, len(rows[0].v)
     held = spark.sparkContext.broadcast(rows)
-    reach = np.array([min(_reach(r.v) * norms, LIMIT) for r in rows], "i8")
+    reach = [_reach(r.v) * norms for r in rows]
+    reach = np.array(reach, "i8" if max(reach) < 1 << 61 else object)
     lo, hi, need = -reach, reach + 1, np.full(len(rows), k, "i8")  # the kth score lies in [lo, hi), with need of them wanted there
     done = np.zeros(len(rows), bool)
     while not done.all():
@@ -110,7 +120,7 @@ def _select(rows: list, base: DataFrame, k: int, norms: int, path: str) -> None:
                 s = scored(v)[:, live]
                 at = (s - lo_[live]) // width_[live] + base_
                 at[(s < lo_[live]) | (s >= hi_[live]) | (vec[:, None] == ids[live])] = -1
-                counts += np.bincount(at.ravel() + 1, minlength=len(counts) + 1)[1:]
+                counts += np.bincount(at.ravel().astype("i8") + 1, minlength=len(counts) + 1)[1:]
             hit = np.flatnonzero(counts)
             yield pd.DataFrame({"q": live[hit // BINS], "bin": hit % BINS, "n": counts[hit]})
 
@@ -122,7 +132,7 @@ def _select(rows: list, base: DataFrame, k: int, norms: int, path: str) -> None:
         for r in cut:
             lo[r.q] += r.bin * width[r.q]
             hi[r.q], need[r.q], found[r.q] = min(hi[r.q], lo[r.q] + width[r.q]), r.need, True
-        done |= ~found | (hi - lo <= 1)  # not found: fewer than k candidates, lo keeps all that are left
+        done |= ~found | (hi - lo <= 1).astype(bool)  # not found: fewer than k candidates, lo keeps all that are left
         state.destroy()
     cuts = spark.sparkContext.broadcast(lo)
 
@@ -132,13 +142,16 @@ def _select(rows: list, base: DataFrame, k: int, norms: int, path: str) -> None:
         size = 0
 
         def trimmed() -> pd.DataFrame:
-            out = pd.concat(best).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+            out = pd.concat(best).sort_values(["query_id", "score", "beyond", "vec_id"], ascending=[True, False, False, True], kind="stable")
             return out[out.groupby("query_id").cumcount() < k]
 
         for vec, v in _batches(frames, dims):
             s = scored(v)
             c, q = np.nonzero((s >= cuts.value) & (vec[:, None] != ids))
-            best.append(pd.DataFrame({"query_id": ids[q], "vec_id": vec[c], "score": s[c, q]}))
+            kept_, over = s[c, q], "m"
+            if kept_.dtype == object:
+                kept_, over = np.array([min(max(x, LEAST), MOST) for x in kept_], "i8"), [beyond(x) for x in kept_]
+            best.append(pd.DataFrame({"query_id": ids[q], "vec_id": vec[c], "score": kept_, "beyond": over}))
             size += len(c)
             if size > 4 * k * len(ids):
                 best = [trimmed()]
@@ -161,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64,
         for dims in sorted({len(r.v) for r in rows}):
             _select([r for r in rows if len(r.v) == dims], base, k, norms, path)
     out = spark.read.schema(OUT).parquet(path)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
