@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded, materialise, table
 
-MIN_CHARS, MAX_CHARS, BROADCAST_GROUPS = 512, 4096, 300_000
+MIN_CHARS, MAX_CHARS = 512, 4096
+#: Identifiers, over all recipes that two or more documents share, up to which those recipes are broadcast; a verified one has up to 64 bytes.
+BROADCAST_IDS = 1_000_000
 
 
 def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
@@ -51,7 +53,8 @@ def exact_dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     lists = verified(cut)
     # Only groups of two or more are joined, so most rows, and those of a hot recipe, stay where they are.
     groups = materialise(lists.groupBy("recipe").agg(F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    joined = lists.join(bounded(groups, groups.count(), BROADCAST_GROUPS), "recipe", "left")
+    ids = groups.agg(F.sum(F.size("recipe") + 2)).head()[0] or 0
+    joined = lists.join(bounded(groups, ids, BROADCAST_IDS), "recipe", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
