@@ -250,11 +250,6 @@ def draws(docs: DataFrame, *, row: str | None = None, **options) -> tuple[DataFr
     return placed, each.mapInPandas(drawn, "row long, epoch int, shard int, word_from long, word_to long, place long")
 
 
-def by_shard(taken: DataFrame) -> DataFrame:
-    """The draws as the shards hold them: dealt by shard and place, and shuffled by place within each shard."""
-    return taken.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
-
-
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: docs' columns, a row for each document, shard and epoch that draws it, shard by shard, in random order within each.
 
@@ -276,7 +271,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, over the blocks that the shards draw; and the first of those shards."""
     placed, taken = draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    sums = by_shard(taken).groupBy("row").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.min("shard").alias("first_shard"), F.countDistinct("shard").alias("n_shards"))
+    sums = taken.groupBy("row").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.min("shard").alias("first_shard"), F.countDistinct("shard").alias("n_shards"))
     return placed.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
 
 
