@@ -4,7 +4,8 @@ Features of a text: densities of a fixed insult lexicon and of a lexicon induced
 stems much commoner in toxic texts), second-person words near lexicon hits, capitals, punctuation and obfuscation
 (letters swapped for digits or signs, marks between letters). Labels are learnt from at most TRAIN_ROWS rows of the
 training part only (crc32 of the id as text, mod 3, is not 1; lowest xxhash64 first), in three parts by another hash: the
-lexicon from one, the trees from the next, the calibration from the last. lang, source and doc_id are never inputs.
+lexicon (of at most MOST_TERMS terms) from one, the trees from the next, the calibration from the last. Of rows that share
+a labelled id, the one with the least text teaches. lang, source and doc_id are never inputs.
 
 Defined cases: null text counts as empty; an empty text gets the score that its (all zero) features earn; without
 training labels of both kinds the fixed lexicon alone decides (0.9 with a hit, else 0.05); where a part lacks a kind, all
@@ -130,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     chosen = spark.createDataFrame([(r.doc_id, int(r.toxic > 0), int(r.part)) for r in rows], "id long, y int, part int")
     sample = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id", "y", "part").agg(F.min("text").alias("text"))  # a label counts once, however many rows have its id
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
