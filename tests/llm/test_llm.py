@@ -658,11 +658,21 @@ def test_topk_large_components_and_repeated_ids(spark):
     want = []
     for q in (0, 20):
         v = min(v for i, v in whole if i == q)
-        s = sorted((-max(-topk_search.LIMIT, min(topk_search.LIMIT, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in whole if i != q)
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s[:5])]
+        s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -x))) for k, (x, i) in enumerate(s[:5])]
     assert sorted(got) == want
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_topk_scores_near_the_ends_of_a_long(spark, sign):
+    """Exact scores from 2^60 to 2^66 either way, ranked apart though several show the same long."""
+    sizes = [2.0**k for k in (54, 55, 56, 57, 57, 58, 59, 60)]
+    rows = [(0, [sign * 2.0**-6, 0.0])] + [(k + 1, [x, 0.0]) for k, x in enumerate(sizes)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 8).orderBy("rank").collect()
+    exact = sorted((-sign * 64 * int(x), k + 1) for k, x in enumerate(sizes))
+    assert [(r.vec_id, r.score) for r in got] == [(k, max(-(2**63), min(2**63 - 1, -x))) for x, k in exact]
+
+
 def test_null_ids_are_kept(spark):
     d = spark.createDataFrame([(None, "some text here."), (3, None), (None, None), (3, "some text here."), (3, "some text here.")], "doc_id long, text string").withColumns({"source": F.lit("s"), "skey": F.lit(1), "size": F.lit("x")})
     n = len(plain_ids(["some text here."])[0]) + 1
@@ -686,6 +696,30 @@ def test_token_store_puts_null_ids_last(spark, tmp_path):
     assert [r.doc_id for r in token_store.read_store(spark, path, [9, 0]).collect()] == [9]
 
 
+def test_pipeline_drops_rows_not_ids(spark, sf):
+    import corpus_pipeline as c
+
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+    near, nearer = " ".join(long), " ".join(long + ["more"])
+    rows = [(5, "A"), (9, "A"), (5, "B unique"), (None, "A"), (7, "C"), (7, "C"), (None, "D"), (None, "D"), (None, None), (None, ""), (5, near), (7, nearer), (None, near + " extra"), (8, near)]
+    d = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string").repartition(4)
+    equal = common.materialise(c.drop_equal(spark, d, sf))
+    want = [(9, "A"), (5, "B unique"), (7, "C"), (None, "D"), (None, ""), (8, near), (7, nearer), (None, near + " extra")]
+    key = lambda x: (str(x[0]), x[1] or "")
+    assert sorted(((r.doc_id, r.text or "") for r in equal.collect()), key=key) == sorted(want, key=key)
+    kept = c.drop_near(spark, equal, sf)
+    assert kept.columns == list(c.COLUMNS)
+    want = [x for x in want if x[1] not in (near, near + " extra")]
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=key) == sorted(want, key=key)
+    assert [stage(spark, d.limit(0), sf).count() for _, stage in c.STAGES] == [0] * 5
+
+
+def test_toxicity_learns_a_repeated_id_once(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    again = d.unionByName(d).unionByName(d)
+    assert toxicity.train(again, labels).odds == toxicity.train(d, labels).odds
+
+
 def test_pipeline_against_stages_by_brute_force(spark, sf):
     """Every stage on what its predecessor kept: scores one by one, equal texts, classes by all pairs, words of the mix, packed ids."""
     import corpus_pipeline as c
