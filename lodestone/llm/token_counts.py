@@ -5,8 +5,8 @@ its length is a sum of lengths. The first tier is a compact table of frequent pr
 string and one array; it holds at most TERMS entries. What isn't in it goes to a cache of the worker process, which the
 tokenizers library fills. No pre-token is shuffled, and the texts stay where they are read.
 
-The table comes from at most SEED_DOCS documents (lowest hash of doc_id), the first SEED_CHARS characters of each. What
-stands in it, and what the caches hold, changes how long a count takes and never the count.
+The table comes from a random sample of about SEED_DOCS documents over the whole corpus, the first SEED_CHARS characters of
+each. What stands in it, and what the caches hold, changes how long a count takes and never the count.
 
 Texts of code points below LATIN are cut by a regular expression whose classes are read off the library's own
 pre-tokenizer, a probe for each code point; other texts are cut by the pre-tokenizer itself. A text that holds a special
@@ -19,6 +19,7 @@ each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 from collections import Counter
@@ -71,10 +72,10 @@ class Misses(dict):
 class Lengths(dict):
     """The frequent pre-tokens; others are asked of the worker's cache."""
 
-    def __init__(self, path: str, terms: list[str] = (), lengths: list[int] = ()):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(zip(terms, lengths, strict=True))
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -106,20 +107,28 @@ class Lengths(dict):
 _held: dict[str, Lengths] = {}
 
 
+def lengths_of(path: str) -> Lengths:
+    """The tokenizer's lengths without a first tier; once per worker process."""
+    if path not in _held:
+        _held[path] = Lengths(path)
+    return _held[path]
+
+
 def frequent(docs: DataFrame, path: str) -> list[tuple[str, int]]:
     """The most frequent pre-tokens of the seed documents, at most TERMS, with their lengths in tokens."""
-    seed = docs.where("text is not null").select("doc_id", F.substring("text", 1, SEED_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SEED_DOCS)
+    share = min(1.0, SEED_DOCS / max(1, docs.count()))
+    seed = docs.select("text").sample(share, seed=12).where("text is not null").select(F.substring("text", 1, SEED_CHARS).alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lengths, seen = Lengths(path), Counter()
+        seen: Counter = Counter()
         for b in batches:
             for text in b.text:
-                seen.update(lengths.pre_tokens(text))
+                seen.update(lengths_of(path).pre_tokens(text))
         top = seen.most_common(TERMS)
-        yield pd.DataFrame({"pre": [t for t, _ in top], "times": [n for _, n in top], "n": [lengths[t] for t, _ in top]}).astype({"pre": str, "times": "i8", "n": "i8"})
+        yield pd.DataFrame({"pre": [t for t, _ in top], "times": [n for _, n in top], "n": [lengths_of(path)[t] for t, _ in top]}).astype({"pre": str, "times": "i8", "n": "i8"})
 
     terms = seed.mapInPandas(counted, "pre string, times long, n long").groupBy("pre", "n").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "pre").limit(TERMS)
-    return [(r.pre, r.n) for r in terms.collect()]  # at most TERMS, of at most SEED_DOCS * SEED_CHARS characters
+    return [(r.pre, r.n) for r in terms.collect()]  # at most TERMS
 
 
 def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -135,9 +144,11 @@ def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if name not in _held:  # once per worker process
-            text, at, n = held.value
+            base, (text, at, n) = lengths_of(path), held.value
+            lengths = copy.copy(base)
+            lengths.update(zip((text[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), n, strict=True))
             _held.clear()
-            _held[name] = Lengths(path, [text[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], n)
+            _held.update({path: base, name: lengths})
         lengths = _held[name]
         for texts in batches:
             yield pd.Series([lengths.count(t) for t in texts], dtype="int64")
