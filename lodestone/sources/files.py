@@ -10,7 +10,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from lodestone.sources import paged
 
 CHARS_PER_PAGE, LINES_PER_PAGE, WORDS_PER_PAGE, SECTIONS_PER_PAGE = 3000, 55, 450, 15
 TEXT, IMAGE = (".txt", ".md", ".csv", ".json", ".log"), (".png", ".jpg", ".jpeg", ".webp", ".bmp")
@@ -128,50 +130,14 @@ def lines_reader(content: bytes) -> list[str]:
 
 
 def read_pages(spark: SparkSession, path: str, count, page, *, fallback=None, start: int | None = None, end: int | None = None, per_task: int = 16) -> DataFrame:
-    """(file_path, page, text) of paged files by a plug-in reader; pages of one file run in parallel, `per_task` to a row.
+    """(file_path, page, text) of paged files by a plug-in reader; pages of one file run in parallel, `per_task` to a task.
 
     count(content) gives a file's number of pages and page(content, n) the text of page n, from 1. Where either raises,
     `fallback` (the same pair) reads the file or the page; without one, the error stands. An inverted or empty range
-    gives all pages. Files come through Spark's binary reader, so the path may be in any store that Spark opens; it
-    passes over files of no bytes, which have no page here.
+    gives all pages. Files of no bytes have no page here. Contents are opened where they are read: none is shuffled.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), "content")
-
-    def pages_in(content: bytes) -> int:
-        try:
-            return count(content)
-        except Exception:
-            if fallback is None:
-                raise
-            return fallback[0](content)
-
-    def one(content: bytes, n: int) -> str:
-        try:
-            return page(content, n)
-        except Exception:
-            if fallback is None:
-                raise
-            return fallback[1](content, n)
-
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for f, c in zip(b.file_path, b.content):
-                total = pages_in(c)
-                lo, hi = max(1, start or 1), min(total, end or total)
-                lo, hi = (1, total) if lo > hi else (lo, hi)
-                rows += [(f, n, min(hi, n + per_task - 1)) for n in range(lo, hi + 1, per_task)]
-            yield pd.DataFrame(rows, columns=["file_path", "first", "last"])
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, n, one(c, n)) for f, c, lo, hi in zip(b.file_path, b.content, b["first"], b["last"]) for n in range(lo, hi + 1)]
-            yield pd.DataFrame(rows, columns=["file_path", "page", "text"])
-
-    parts = files.mapInPandas(ranges, "file_path string, first int, last int")
-    # Ranges, not contents, are dealt out; each content then meets its ranges.
-    held = parts.join(files, "file_path").repartition("file_path", "first")
-    return held.select("file_path", "content", "first", "last").mapInPandas(texts, "file_path string, page int, text string")
+    pair = paged.WholeContent(*fallback) if fallback else None
+    return paged.read(spark, path, paged.WholeContent(count, page), fallback=pair, start=start, end=end, per_task=per_task, empty_files=False)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -204,10 +170,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 class PagedText(DataSource):
-    """Python data source "paged_text": one row (filename, page, text) per page; a partition per file.
-
-    The pattern for parsers that read page by page: a page range becomes partitions, so pages of one file run in parallel.
-    """
+    """Python data source "paged_text": one row (filename, page, text) per page of text files, in ranges of pages."""
 
     @classmethod
     def name(cls) -> str:
@@ -217,29 +180,10 @@ class PagedText(DataSource):
         return "filename string, page int, text string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options["path"], int(self.options.get("lines", LINES_PER_PAGE)))
+        return _Named(self.options["path"], paged.TextPages(int(self.options.get("lines", LINES_PER_PAGE))))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, path: str, lines: int):
-        self.path, self.lines = path, lines
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        found = sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [_File(p) for p in found]
-
+class _Named(paged.PageRanges):
     def read(self, partition):
-        import os
-
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
-            lines = f.read().splitlines(keepends=True)
-        for k in range(0, max(len(lines), 1), self.lines):
-            yield os.path.basename(partition.path), k // self.lines + 1, "".join(lines[k : k + self.lines])
+        for path, n, text in super().read(partition):
+            yield path.rsplit("/", 1)[1], n, text

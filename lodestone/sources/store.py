@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def latest(rows: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
-    """Last row of each key by the order columns."""
+def ordered(schema: T.StructType, names: list[str]) -> list[Column]:
+    """The columns as values that can be ordered: a map counts as its entries in order of their keys. Maps inside other columns need an order of their own."""
+    out = []
+    for n in names:
+        kind = schema[n].dataType
+        if isinstance(kind, T.MapType) and "map" not in kind.valueType.simpleString():
+            out.append(F.array_sort(F.map_entries(n)))
+        elif "map<" in kind.simpleString():
+            raise ValueError(f"rows can't be ordered by {n}: name the columns to order by")
+        else:
+            out.append(F.col(n))
+    return out
+
+
+def latest(rows: DataFrame, key: str | list[str], order: list[str] | str = "all") -> DataFrame:
+    """Last row of each key by the order columns, then by all others, so that no two different rows tie."""
     keys = [key] if isinstance(key, str) else key
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    if not rest:
+        return rows.distinct()
+    first = [] if order == "all" else list(order)
+    try:
+        by = ordered(rows.schema, [*first, *(c for c in rest if c not in first)])
+    except ValueError:
+        if not first:
+            raise
+        by = ordered(rows.schema, first)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_r")).select(*keys, "_r.*")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """stored with new rows added and rows of equal key replaced; of equal keys in new, the last by the order columns stays (all columns, unless given)."""
-    rest = [c for c in new.columns if c != key]
-    fresh = latest(new, key, [*(order or []), *(c for c in rest if c not in (order or []) and not new.schema[c].dataType.typeName() == "map")]) if rest else new.distinct()
+    fresh = latest(new, key, order or "all")
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

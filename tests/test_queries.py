@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestone.plans import answering, conversation, figures, retrieval  # noqa: F401
+from lodestone.plans import answering, conversation, figures, layout, retrieval, storage  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

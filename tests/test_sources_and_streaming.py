@@ -1,6 +1,8 @@
 import io
+import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.sources import files, store
@@ -123,3 +125,95 @@ def test_feedback_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).count() == spark.read.json(str(tmp_path / "g")).count() == 4
     got = store.read_feedback(spark, str(tmp_path / "none"), str(tmp_path / "g"))
     assert got.count() == 4 and {r.answer for r in got.collect()} == {"a", "a\nb"}
+
+
+def test_page_ranges_push_filters_down(spark, tmp_path):
+    from lodestone.sources import paged
+
+    (tmp_path / "k=1").mkdir()
+    bodies = {"k=1/a.txt": "".join(f"zeile ü {k}\n" for k in range(230)), "b.txt": "no line feed", "c.txt": "", "_hidden.txt": "x"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    pages = paged.read(spark, str(tmp_path), paged.TextPages(10), per_task=4)
+    got = {(r.file_path.removeprefix(f"{tmp_path}/"), r.page): r.text for r in pages.collect()}
+    want = {(name, k // 10 + 1): "".join(body.splitlines(keepends=True)[k : k + 10]) for name, body in bodies.items() if name[0] != "_" for k in range(0, max(1, body.count("\n")), 10)}
+    assert got == want and pages.rdd.getNumPartitions() == 6 + 1 + 1
+    some = pages.where("page between 9 and 14")
+    assert some.rdd.getNumPartitions() == 2 and sorted(r.page for r in some.collect()) == list(range(9, 15))
+    one = pages.where(F.col("file_path") == f"{tmp_path}/b.txt").where("page in (1, 7) and text <> 'x'")
+    assert one.rdd.getNumPartitions() == 1 and [r.text for r in one.collect()] == ["no line feed"]
+    assert "Exchange" not in pages._jdf.queryExecution().toString()
+
+
+def test_text_pages_at_block_ends(monkeypatch):
+    import io
+
+    from lodestone.sources import paged
+
+    monkeypatch.setattr(paged, "BLOCK", 3)
+    body = b"a\nbb\n\nccc\nd"
+    reader = paged.TextPages(2)
+    starts = reader.index(io.BytesIO(body))
+    assert starts == [0, 5, 10, 11]
+    assert [reader.page(io.BytesIO(body), k + 1, s) for k, s in enumerate(zip(starts, starts[1:]))] == ["a\nbb\n", "\nccc\n", "d"]
+    assert paged.TextPages(1).index(io.BytesIO(b"")) == [0, 0] and paged.TextPages(1).index(io.BytesIO(b"a\n")) == [0, 2]
+
+
+MERGED = "chunk_id string, v int, meta map<string, string>"
+
+
+def test_merge_store(spark, tmp_path):
+    from lodestone.sources.merge import MergeStore
+
+    s = MergeStore(spark, str(tmp_path / "m"), MERGED, buckets=8)
+    assert s.read().count() == 0 and s.merge(spark.createDataFrame([], MERGED), "none") and not s.merge(spark.createDataFrame([], MERGED), "none")
+    first = [(f"c{k}", k, {"a": str(k)}) for k in range(100)]
+    assert s.merge(spark.createDataFrame(first, MERGED), "one")
+    before = s.live()
+    change = [("c5", 50, {"b": "x"}), ("c5", 50, {"b": "y"}), ("c5", 50, None), ("new", 1, None)]
+    for parts in (1, 3):  # the same rows however they are dealt: a replay and a fresh store agree
+        other = MergeStore(spark, str(tmp_path / f"m{parts}"), MERGED, buckets=8)
+        other.merge(spark.createDataFrame(change, MERGED).repartition(parts), "x")
+        assert {(r.chunk_id, r.v, str(r.meta)) for r in other.read().collect()} == {("c5", 50, "{'b': 'y'}"), ("new", 1, "None")}
+    assert s.merge(spark.createDataFrame(change, MERGED), "two") and not s.merge(spark.createDataFrame(first, MERGED), "one")
+    rows = {r.chunk_id: (r.v, r.meta) for r in s.read().collect()}
+    assert len(rows) == 101 and rows["c5"] == (50, {"b": "y"}) and rows["c6"] == (6, {"a": "6"})
+    moved = {b for b, w in s.live().items() if before.get(b) != w}
+    assert 1 <= len(moved) <= 2
+    only = s.read(sorted(moved))  # what a merge of those keys reads: files of the touched buckets
+    opened = {r[0] for r in only.select(F.input_file_name()).distinct().collect()}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in opened} <= moved and only.count() < 101
+    assert "PartitionFilters: [" in only._jdf.queryExecution().toString()
+    assert [r.v for r in s.find(["c7"]).collect()] == [7]
+    assert s.merge(spark.createDataFrame([("c1", 9, None)], MERGED), "three", deleted=spark.createDataFrame([("c1",), ("c2",)], "chunk_id string"))
+    rows = {r.chunk_id: r.v for r in s.read().collect()}
+    assert rows["c1"] == 9 and "c2" not in rows and len(rows) == 100
+    # a merge that died before its commit leaves rows that no reader sees
+    spark.createDataFrame([("ghost", 1, None, 0)], f"{MERGED}, bucket int").write.partitionBy("bucket").parquet(str(tmp_path / "m" / "data" / "writing=wdead"))
+    assert s.read().count() == 100 and s.vacuum() >= 1 and s.read().count() == 100
+    assert not os.path.exists(tmp_path / "m" / "data" / "writing=wdead")
+    with pytest.raises(Exception, match="chunk_id is null"):
+        s.merge(spark.createDataFrame([(None, 1, None)], MERGED), "bad")
+
+
+def test_ingest_merges_each_batch_once(spark, tmp_path):
+    from lodestone.sources.merge import MergeStore, ingest
+
+    s, src = MergeStore(spark, str(tmp_path / "m"), "chunk_id string, text string", buckets=4), tmp_path / "in"
+    src.mkdir()
+    parse = lambda df: df.select(F.substring("value", 1, 1).alias("chunk_id"), F.col("value").alias("text"))
+    for k, body in enumerate(("a1\nb1\n", "b2\nc2\n")):
+        (src / f"{k}.txt").write_text(body)
+        q = ingest(spark.readStream.text(str(src)), s, parse, str(tmp_path / "cp"))
+        q.awaitTermination()
+    assert {(r.chunk_id, r.text) for r in s.read().collect()} == {("a", "a1"), ("b", "b2"), ("c", "c2")}
+    assert not s.merge(spark.createDataFrame([("a", "again")], "chunk_id string, text string"), "ingest-1")
+
+
+def test_rows_that_differ_in_a_map_keep_one_row(spark):
+    new = spark.createDataFrame([("k", {"a": v}) for v in "xzy"], "id string, meta map<string, string>")
+    for parts in (1, 2, 3, 5):
+        assert store.upsert(new.limit(0), new.repartition(parts), "id").head().meta == {"a": "z"}
+    deep = new.select("id", F.struct("meta").alias("s"))
+    with pytest.raises(ValueError, match="can't be ordered by s"):
+        store.upsert(deep.limit(0), deep, "id")
