@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import index
 from lodestone.plans.registry import query, table
+from lodestone.plans.retrieval import BM25_SQL
 from lodestone.sources import paged
 from lodestone.sources.merge import MergeStore
 from lodestone.sources.work import work_dir
@@ -49,3 +51,12 @@ def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
     pages = paged.read(spark, path).where("page between 2 and 40")
     name = lambda k: F.regexp_extract("file_path", rf"{k}=([^/]*)/", 1)
     return pages.select(name("source").alias("source"), name("part").cast("long").alias("part"), "page", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("page_md5"))
+
+
+@query(f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM bm25")
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The index written in two batches, then asked: the questions never read the corpus."""
+    d, path = table(spark, sf, "documents").select("doc_id", "text"), work_dir(spark)
+    index.add(d.where("doc_id % 3 > 0"), path, "first", key="doc_id")
+    index.add(d.where("doc_id % 3 = 0"), path, "second", key="doc_id")
+    return index.search(index.open_index(spark, path), table(spark, sf, "benchmark"), doc="doc_id", query="item_id")
