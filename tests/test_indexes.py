@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import index, lexical
+from lodestone.operators import dense, index, lexical, vector_index
 
 
 def corpus(spark, n=700):
@@ -49,3 +49,33 @@ def test_index_of_nothing(spark, tmp_path):
     ix = index.open_index(spark, str(tmp_path))
     assert index.search(ix, spark.createDataFrame([(1, "x")], "q int, text string"), doc="doc", query="q").count() == 0
     assert tuple(index.totals(ix).head()) == (2, 0.0)
+
+
+def clustered(spark, n=400):
+    r = random.Random(2)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(10)]
+    rows = [(k, [x + r.gauss(0, 0.1) for x in centres[k % 10]], k % 3) for k in range(n)]
+    return spark.createDataFrame([*rows, (n, None, 0), (n + 1, [], 0)], "id long, vector array<double>, label int")
+
+
+def test_vector_index(spark, tmp_path):
+    d = clustered(spark)
+    q = d.where("id % 40 = 0 and id < 400").select(F.col("id").alias("q"), "vector")
+    vector_index.write(d, str(tmp_path), vector_index.fit(d, 10), key="id")
+    assert spark.read.parquet(f"{tmp_path}/vectors").count() == 400
+    exact = dense.top_k(d.where("size(vector) > 0"), q, 5, doc="id", query="q")
+    rows = lambda x: sorted((r.q, r["rank"], r.id, r.score) for r in x.collect())
+    assert rows(vector_index.search(spark, str(tmp_path), q, 5, 10, doc="id", query="q")) == rows(exact)
+    few = vector_index.search(spark, str(tmp_path), q, 5, 2, doc="id", query="q")
+    assert vector_index.recall(few, exact, query="q", doc="id").head().recall >= 0.9
+    assert len(few.inputFiles()) >= 1 and few.select("q").distinct().count() == 10
+    one = vector_index.search(spark, str(tmp_path), q.where("q = 0"), 5, 1, doc="id", query="q", where="label = 1")
+    assert all(r.id % 3 == 1 for r in one.collect()) and "PartitionFilters: [" in one._jdf.queryExecution().toString()
+
+
+def test_vector_index_of_nothing(spark, tmp_path):
+    d = clustered(spark)
+    assert vector_index.fit(d.where("id >= 400"), 4) == []
+    vector_index.write(d, str(tmp_path), vector_index.fit(d, 4), key="id")
+    q = d.where("id >= 400").select(F.col("id").alias("q"), "vector")
+    assert vector_index.search(spark, str(tmp_path), q, 5, 2, doc="id", query="q").count() == 0
