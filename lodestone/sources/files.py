@@ -169,6 +169,27 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def on_white(images: DataFrame) -> DataFrame:
+    """Images of read_images() with three channels: grey ones repeated, alpha flattened on white; a row without bytes keeps none."""
+
+    @F.pandas_udf("binary")
+    def flat(data: pd.Series, channels: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(raw, n):
+            if raw is None or n not in (1, 3, 4):
+                return raw
+            x = np.frombuffer(raw, "u1").reshape(-1, n)
+            if n == 4:
+                alpha = x[:, 3:].astype("u2")
+                x = ((x[:, :3] * alpha + 255 * (255 - alpha) + 127) // 255).astype("u1")
+            return (np.repeat(x, 3, axis=1) if n == 1 else x).tobytes()
+
+        return pd.Series([one(r, int(n)) for r, n in zip(data, channels, strict=True)])
+
+    return images.withColumn("data", flat("data", "channels")).withColumn("channels", F.lit(3))
+
+
 class PagedText(DataSource):
     """Python data source "paged_text": one row (filename, page, text) per page of text files, in ranges of pages."""
 
