@@ -62,3 +62,56 @@ def ingest(files: DataFrame, into: str, parse: Callable[[DataFrame], DataFrame],
 def words_of(answer: DataFrame, text: str = "text") -> DataFrame:
     """A finished answer as token events in order."""
     return answer.select(*[c for c in answer.columns if c != text], F.posexplode(F.split(text, " ")).alias("position", "token"))
+
+
+class Sessions(StatefulProcessor):
+    """Sessions that live a fixed time from their creation: a timer ends each, and its state goes with it."""
+
+    def __init__(self, hours: float):
+        self.ttl = int(hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ends = handle.getValueState("ends", "expires_ms long")
+
+    def _out(self, key, status: str, ends: int, at: int) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]], "status": [status], "expires_ms": [ends], "at_ms": [at]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = self.ends.get()[0] if self.ends.exists() else None
+        events = sorted((int(at.value // 1_000_000), str(event)) for b in rows for at, event in zip(b["at"], b["event"], strict=True))
+        for at, event in events:
+            if ends is not None and at > ends:  # the end was reached between two events of one batch
+                yield self._out(key, "expired", ends, ends)
+                ends = self._close(ends)
+            if event == "create" and ends is None:
+                ends = at + self.ttl
+                self.ends.update((ends,))
+                self.handle.registerTimer(ends + 1)
+                yield self._out(key, "active", ends, at)
+            elif event == "delete" and ends is not None:
+                yield self._out(key, "deleted", ends, at)
+                ends = self._close(ends)
+
+    def _close(self, ends: int) -> None:
+        self.handle.deleteTimer(ends + 1)
+        self.ends.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ends.exists():
+            ends = self.ends.get()[0]
+            self.ends.clear()
+            yield self._out(key, "expired", ends, ends)
+
+    def close(self) -> None:
+        pass
+
+
+def session_life(events: DataFrame, hours: float = 3.0, late: str = "0 seconds") -> DataFrame:
+    """Streaming events (session_id, event: create or delete, at) to (session_id, status: active, deleted or expired, expires_ms, at_ms); append mode, RocksDB state store.
+
+    A session ends `hours` after it was created, when the watermark has passed that moment, even if no event of its own
+    comes; creating one that is alive changes nothing, and other events only move the time on.
+    """
+    marked = events.withWatermark("at", late)
+    return marked.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Sessions(hours), outputStructType="session_id string, status string, expires_ms long, at_ms long", outputMode="Append", timeMode="EventTime")

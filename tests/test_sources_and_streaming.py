@@ -217,3 +217,32 @@ def test_rows_that_differ_in_a_map_keep_one_row(spark):
     deep = new.select("id", F.struct("meta").alias("s"))
     with pytest.raises(ValueError, match="can't be ordered by s"):
         store.upsert(deep.limit(0), deep, "id")
+
+
+def test_sessions_expire_in_a_stream(spark, tmp_path):
+    """Sessions by timers, batch by batch: what is alive at the end is what the batch filter calls active."""
+    from lodestone.operators import chat
+
+    src, hour, start = tmp_path / "in", 3600, 1_700_000_000
+    src.mkdir()
+    batches = [
+        [("a", "create", 0), ("b", "create", hour), ("c", "create", hour), ("c", "delete", hour + 60)],
+        [("a", "create", 2 * hour), ("tick", "other", 3 * hour + 10)],  # a is alive, so nothing is made; then its time passes
+        [("b", "delete", 5 * hour), ("a", "create", 6 * hour)],  # b had expired before its delete
+        [("tick", "other", 7 * hour)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "session_id string, event string, t long").select("session_id", "event", F.timestamp_seconds(F.col("t") + start).alias("at")).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        part = next((tmp_path / f"b{k}").glob("part-*.parquet"))
+        os.rename(part, src / f"{k}.parquet")
+        os.utime(src / f"{k}.parquet", (k + 1, k + 1))
+    events = spark.readStream.schema("session_id string, event string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = state.session_life(events).writeStream.format("memory").queryName("lives").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.session_id, r.status, r.at_ms // 1000 - start) for r in spark.table("lives").collect()}
+    assert got == {("a", "active", 0), ("b", "active", hour), ("c", "active", hour), ("c", "deleted", hour + 60), ("a", "expired", 3 * hour), ("b", "expired", 4 * hour), ("a", "active", 6 * hour)}
+    gone = {(r.session_id, r.expires_ms) for r in spark.table("lives").where("status <> 'active'").collect()}
+    alive = {r.session_id for r in spark.table("lives").where("status = 'active'").collect() if (r.session_id, r.expires_ms) not in gone}
+    made = spark.createDataFrame([("a", 3 * hour), ("b", 4 * hour), ("a", 9 * hour)], "session_id string, expires_at long")
+    assert alive == {r.session_id for r in chat.active(made, F.lit(7 * hour)).collect()} == {"a"}
