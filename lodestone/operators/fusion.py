@@ -49,6 +49,13 @@ def citations(chunks: DataFrame, *, query: str, source: str, order: str, score:
     return best.select(query, source, "b.relevance", "b.excerpt", F.row_number().over(Window.partitionBy(query).orderBy("first_seen")).alias("citation_no"))
 
 
+def cited(chunks: DataFrame, *, query: str, grounded: str, order: str, first: int = 3) -> DataFrame:
+    """The chunks of each query that ground its answer; where none does, its first ones in order."""
+    w = Window.partitionBy(query)
+    marked = chunks.withColumns({"_any": F.max(F.col(grounded).cast("int")).over(w), "_n": F.row_number().over(w.orderBy(order))})
+    return marked.where(F.col(grounded) | ((F.coalesce("_any", F.lit(0)) == 0) & (F.col("_n") <= first))).drop("_any", "_n")
+
+
 #: Further hits for a query that drew negative feedback.
 MORE_AFTER_NEGATIVE = 2
 

@@ -98,12 +98,12 @@ def resolve_model(wanted: DataFrame, installed: DataFrame) -> DataFrame:
 
 def catalog_status(catalog: DataFrame, installed: DataFrame, vram: float, ram: float) -> DataFrame:
     """Catalogue with is_installed, compatibility and is_recommended; installed models outside it are appended."""
-    from lodestone.operators.lexical import bounded
-
     base = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(1))
     inst = installed.select(F.col("name").alias("inst"))
-    same = (F.col("name") == F.col("inst")) | (F.col("tag") == F.col("inst")) | (base("name") == base("inst"))
-    hit = catalog.join(bounded(inst), same, "left_semi").select("name").withColumn("is_installed", F.lit(True))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    # equal names have equal bases, so a tag or a base in common is all there is to look for
+    held = inst.select(F.explode(F.array(key("tag", F.col("inst")), key("base", base("inst")))).alias("k")).distinct()
+    hit = catalog.select("name", F.explode(F.array(key("tag", F.col("tag")), key("base", base("name")))).alias("k")).join(held, "k", "left_semi").select("name").distinct().withColumn("is_installed", F.lit(True))
     fits = sc.compatibility(F.lit(vram), F.lit(ram), F.col("required_vram_gb"))
     known = catalog.join(hit, "name", "left").select("name", "tag", "category", "size_gb", "required_vram_gb", F.coalesce("is_installed", F.lit(False)).alias("is_installed"), fits.alias("compatibility"))
     known = known.withColumn("is_recommended", F.col("compatibility").isin("recommended", "compatible") & (F.col("size_gb") <= 3.5))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import claims, guardrails, prompts
-from lodestone.plans.registry import query, table
-from lodestone.plans.retrieval import DENSE_SQL, _candidates, _expanded
+from lodestone.operators import claims, fusion, guardrails, prompts
+from lodestone.plans.registry import query, table, values
+from lodestone.plans.retrieval import DENSE_SQL, FILTER_SQL, HITS_SQL, _candidates, _expanded, _kept, corpus_stats
+from lodestone.sources import store
 
 
 def extractive(context: Column, question: Column) -> Column:
@@ -47,7 +48,7 @@ def gated_answer_events(spark: SparkSession, sf: str) -> DataFrame:
     urls = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(prompts.URL_TAG), F.lit(1)))))
     top = top.select("item_id", F.col("r")[0]["prob"].alias("prob"), F.col("r")[0]["parent_context"].alias("parent_context"), texts.alias("contexts"), urls.alias("figures"))
     best = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")).join(top, "item_id", "left")
-    stats = spark.createDataFrame([(0.42, 0.09)], "mean double, std double")
+    stats = corpus_stats(spark, sf).select("mean", "std")
     gated = guardrails.gate(best, stats, question="question", context="parent_context")
     return answer_events(gated, query="item_id", question="question", context="parent_context", reason="refusal_reason", contexts="contexts", figures="figures")
 
@@ -91,12 +92,16 @@ def region_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return unified_chunks(r).select("id", "type", "content", "image_path")
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(trim(replace(text, '. ', chr(10))), '\\r\\n|\\n|\\r'), lambda s: trim(s)), lambda s: length(s) > 0) AS ls FROM documents),
+k AS (SELECT doc_id, text, CASE WHEN len(ls) = 0 THEN '' ELSE array_to_string(list_reduce(list_transform(ls, lambda s: [s]), lambda acc, x: CASE WHEN lower(acc[-1]) = lower(x[1]) OR len(list_filter(acc[-4:], lambda y: y = x[1])) >= 2 THEN acc ELSE list_append(acc, x[1]) END), chr(10)) END AS t FROM l)
+SELECT doc_id, CASE WHEN text IS NOT NULL AND length(t) > 5 AND NOT (length(t) < 180 AND ({' OR '.join(f"contains(lower(t), {values([w])})" for w in tx.DECLINES)})) THEN t END AS description FROM k""")
 def description_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.clean_description(F.replace("text", F.lit(". "), F.lit("\n"))).alias("description"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || ('chunk_' || doc_id)::BLOB) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || CASE h[17:17] WHEN '0' THEN '8' WHEN '4' THEN '8' WHEN '8' THEN '8' WHEN 'c' THEN '8' WHEN '1' THEN '9' WHEN '5' THEN '9' WHEN '9' THEN '9' WHEN 'd' THEN '9'
+  WHEN '2' THEN 'a' WHEN '6' THEN 'a' WHEN 'a' THEN 'a' WHEN 'e' THEN 'a' ELSE 'b' END || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("chunk_"), "doc_id")).alias("point_id"))
 
@@ -113,3 +118,41 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", n.cast("long").alias("n_regions")).where("n_regions > 0")
 
 
+
+
+_VISUAL = ("diagram", "figure", "chart", "plot", "graph", "architecture", "image", "photo", "show me", "table", "visual", "fig.", "fig ")
+
+
+@query(f"""WITH {DENSE_SQL}, {HITS_SQL},
+t AS (SELECT *, text || ' [Image URL: /img/' || CASE WHEN doc_id % 3 = 0 THEN 'a_page_' ELSE 'f' END || doc_id % 11 || '.png]' || CASE WHEN doc_id % 5 = 0 THEN ' [DIAGRAM]' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN ' [Image URL: /img/f' || doc_id % 7 || '.png ]' ELSE '' END AS body, score + 0.4 AS s FROM c),
+v AS (SELECT *, ({' OR '.join(f"contains(lower(question), {values([w])})" for w in _VISUAL)}) AS visual, max((contains(body, '[DIAGRAM') AND s >= 0.45)::INT) OVER (PARTITION BY item_id) AS high FROM t),
+x AS (SELECT *, unnest(regexp_extract_all(body, '\\[Image URL:\\s*(.*?)\\]', 1)) AS raw, generate_subscripts(regexp_extract_all(body, '\\[Image URL:\\s*(.*?)\\]', 1), 1) AS pos FROM v WHERE visual OR high = 1),
+u AS (SELECT *, trim(raw) AS url FROM x WHERE length(trim(raw)) > 0 AND (visual OR NOT contains(lower(trim(raw)), '_page_'))),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, url ORDER BY rank, pos) AS n FROM u) WHERE n = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank, pos) AS r FROM f)
+SELECT item_id, url, round(s * 100, 1)::DOUBLE AS relevance FROM k WHERE r <= 2""")
+def standalone_image_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Images that the exported server attaches to each question; tags put into the hits' texts stand in for their figures."""
+    k = F.col("doc_id")
+    tag = lambda name: F.concat(F.lit(" [Image URL: /img/"), name, F.lit(".png]"))
+    first = tag(F.concat(F.when(k % 3 == 0, "a_page_").otherwise("f"), (k % 11).cast("string")))
+    second = F.when(k % 4 == 0, F.concat(F.lit(" [Image URL: /img/f"), (k % 7).cast("string"), F.lit(".png ]"))).otherwise("")
+    body = F.concat("text", first, F.when(k % 5 == 0, " [DIAGRAM]").otherwise(""), second)
+    c = _candidates(spark, sf).withColumns({"text": body, "score": F.col("score") + 0.4})
+    return standalone_images(c, query="item_id", question="question", text="text", score="score", order="rank")
+
+
+@query("SELECT doc_id, 0.8::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 4")
+def lead_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The first four chunks of the store, as a summary question gets them."""
+    return store.lead_chunks(table(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", F.col("score").cast("double").alias("score"))
+
+
+@query(f"""WITH {FILTER_SQL(0.35)}, m AS (SELECT *, kept_score >= 0.6 AS grounded, max((kept_score >= 0.6)::INT) OVER (PARTITION BY item_id) AS anyg, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS nth FROM kept),
+r AS (SELECT item_id, source, rank, round(kept_score * 100, 1) AS relevance FROM m WHERE grounded OR (anyg = 0 AND nth <= 3))
+SELECT item_id, source, max(relevance)::DOUBLE AS relevance, row_number() OVER (PARTITION BY item_id ORDER BY min(rank))::INTEGER AS citation_no FROM r GROUP BY item_id, source""")
+def citation_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations of the chunks that ground an answer, or of its first three where none does."""
+    held = _kept(spark, sf).withColumn("grounded", F.col("kept_score") >= 0.6)
+    cited = fusion.cited(held, query="item_id", grounded="grounded", order="rank")
+    return fusion.citations(cited, query="item_id", source="source", order="rank", score="kept_score").select("item_id", "source", "relevance", "citation_no")

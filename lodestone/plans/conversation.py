@@ -11,6 +11,7 @@ from lodestone.operators import chat, chunking, claims, guardrails, prompts
 from lodestone.plans.registry import query, table, values
 from lodestone.plans.retrieval import OVER, TOK, WITHOUT, W
 from lodestone.sources import files, store
+from lodestone.sources.work import work_dir
 from lodestone.streaming import state
 
 any_sql = lambda c, words: "(" + " OR ".join(f"contains({c}, {values([w])})" for w in words) + ")"
@@ -260,6 +261,16 @@ def feedback_export(spark: SparkSession, sf: str) -> DataFrame:
     return _feedback(spark, sf).groupBy("rating").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("query")).alias("query_chars"))
 
 
+@query("SELECT doc_id AS feedback_id, text AS query, CASE WHEN quality = 1 THEN 'thumbs_up' ELSE 'thumbs_down' END AS rating, source AS cited FROM labels JOIN documents USING (doc_id)")
+def feedback_export_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported rows themselves: written as JSON lines and read back as feedback."""
+    path, e = work_dir(spark), _feedback(spark, sf)
+    entries = e.select("query", "answer", "rating", F.lit("none").alias("model"), "citations", F.col("feedback_id").cast("double").alias("timestamp"))
+    store.write_feedback(entries, f"{path}/session", f"{path}/global")
+    back = store.read_feedback(spark, f"{path}/session", f"{path}/global")
+    return back.select(F.col("timestamp").cast("long").alias("feedback_id"), "query", "rating", F.col("citations")[0].alias("cited"))
+
+
 # --- Sessions and progress ----------------------------------------------------------------------------------------
 
 

@@ -174,14 +174,17 @@ def visual_crop_count(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Catalogues ---------------------------------------------------------------------------------------------------
 
-CAT = [("alpha:3b", "alpha", "text", 2.0, 3.0), ("beta-vl:7b", "beta-vl", "vision", 5.0, 6.0), ("gamma:14b", "gamma", "text", 9.0, 12.0), ("delta:70b", "delta", "text", 40.0, 48.0)]
-INST = ["alpha:latest", "moondream:latest", "gamma:14b", "own-vision-model"]
-CAT_SQL = f"cat AS (SELECT * FROM (VALUES {', '.join(str(c) for c in CAT)}) v(name, tag, category, size_gb, required_vram_gb)), inst AS (SELECT * FROM (VALUES {', '.join(f'({i}, {values([n])})' for i, n in enumerate(INST))}) v(position, name))"
+#: Parts of even keys stand in for a catalogue of models, those of keys divisible by three for the installed ones.
+CAT_SQL = """cat AS (SELECT 'm' || p_partkey || ':' || p_size || 'b' AS name, 'm' || p_partkey AS tag, 'text' AS category, p_size / 4.0 AS size_gb, p_size / 5.0 AS required_vram_gb FROM part WHERE p_partkey % 2 = 0),
+inst AS (SELECT p_partkey AS position, 'm' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '-vision' WHEN p_partkey % 5 = 0 THEN ':latest' WHEN p_partkey % 5 = 1 THEN ':' || p_size || 'b' ELSE '' END AS name FROM part WHERE p_partkey % 3 = 0)"""
 
 
-def _catalog(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    cat = spark.createDataFrame(CAT, "name string, tag string, category string, size_gb double, required_vram_gb double")
-    return cat, spark.createDataFrame(list(enumerate(INST)), "position int, name string")
+def _catalog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    tag, sized = F.concat(F.lit("m"), k), F.concat(F.lit(":"), "p_size", F.lit("b"))
+    cat = p.where(k % 2 == 0).select(F.concat(tag, sized).alias("name"), tag.alias("tag"), F.lit("text").alias("category"), (F.col("p_size") / 4.0).alias("size_gb"), (F.col("p_size") / 5.0).alias("required_vram_gb"))
+    end = F.when(k % 7 == 0, "-vision").when(k % 5 == 0, ":latest").when(k % 5 == 1, sized).otherwise("")
+    return cat, p.where(k % 3 == 0).select(k.alias("position"), F.concat(tag, end).alias("name"))
 
 
 _FIT = lambda v: f"CASE WHEN 4.0 >= {v} THEN 'recommended' WHEN 6.0 >= {v} THEN 'compatible' WHEN 16.0 >= {v} * 1.5 THEN 'heavy' ELSE 'unsupported' END"
@@ -191,15 +194,16 @@ _FIT = lambda v: f"CASE WHEN 4.0 >= {v} THEN 'recommended' WHEN 6.0 >= {v} THEN
 o AS (SELECT name, name AS tag, CASE WHEN regexp_matches(lower(name), 'vision|moondream|llava|ocr|vl') THEN 'vision' ELSE 'text' END AS category, 2.0::DOUBLE AS size_gb, 2.5::DOUBLE AS required_vram_gb, true AS is_installed, {_FIT('2.5')} AS compatibility, true AS is_recommended FROM inst WHERE split_part(name, ':', 1) NOT IN (SELECT split_part(name, ':', 1) FROM cat))
 SELECT *, compatibility IN ('recommended', 'compatible') AND size_gb <= 3.5 AS is_recommended FROM k UNION ALL SELECT * FROM o""")
 def model_catalog_status(spark: SparkSession, sf: str) -> DataFrame:
-    cat, inst = _catalog(spark)
+    cat, inst = _catalog(spark, sf)
     return prompts.catalog_status(cat, inst, 4.0, 16.0)
 
 
-@query(f"""WITH {CAT_SQL}, w AS (SELECT * FROM (VALUES ('gamma:14b'), ('alpha'), ('moondream'), ('vision'), ('nothing')) v(name)), j AS (SELECT w.name, i.name AS inst, CASE WHEN i.name = w.name THEN 0 WHEN i.name = w.name || ':latest' THEN 1 ELSE 2 END AS o, position FROM w LEFT JOIN inst i ON contains(lower(i.name), lower(w.name)))
-SELECT name, arg_min(inst, o * 100 + position) AS resolved FROM j GROUP BY name""")
+@query(f"""WITH {CAT_SQL}, w AS (SELECT DISTINCT 'm' || p_partkey % 60 AS name FROM part), j AS (SELECT w.name, i.name AS inst, CASE WHEN i.name = w.name THEN 0 WHEN i.name = w.name || ':latest' THEN 1 ELSE 2 END AS o, position FROM w LEFT JOIN inst i ON contains(lower(i.name), lower(w.name)))
+SELECT name, arg_min(inst, o * 1000000000 + position) AS resolved FROM j GROUP BY name""")
 def vision_model_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = spark.createDataFrame([(n,) for n in ("gamma:14b", "alpha", "moondream", "vision", "nothing")], "name string")
-    return prompts.resolve_model(wanted, _catalog(spark)[1])
+    """Up to sixty names, each held against all installed models."""
+    wanted = table(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey") % 60).alias("name")).distinct()
+    return prompts.resolve_model(wanted, _catalog(spark, sf)[1])
 
 
 @query(f"SELECT p_partkey, CASE WHEN v >= 12 THEN 'ultra' WHEN v >= 6 THEN 'high' WHEN v >= 3.5 THEN 'recommended_4gb' ELSE 'cpu_entry' END AS tier, CASE WHEN v >= n THEN 'recommended' WHEN v + 2.0 >= n THEN 'compatible' WHEN m >= n * 1.5 THEN 'heavy' ELSE 'unsupported' END AS fit, ({' OR '.join(f'contains(lower(p_name), {values([w])})' for w in prompts.VISION_MODELS)}) AS vision, regexp_replace('ollama:' || p_name, '^(local:|cloud:|ollama:)', '') AS model FROM (SELECT *, (p_partkey % 30) / 2.0 AS v, (p_partkey % 64)::DOUBLE AS m, (p_size)::DOUBLE AS n FROM part)")

@@ -166,8 +166,11 @@ def parent_expand(spark: SparkSession, sf: str) -> DataFrame:
     return _expanded(spark, sf).select("item_id", "doc_id", "final_rank", F.md5(F.col("parent_context").cast("binary")).alias("context_md5"))
 
 
-@query(f"""WITH s AS (SELECT {EMB.format('q', 'c')} AS x FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(x) ELSE 0.42 END, 6) AS mean, round(CASE WHEN count(*) >= 10 THEN greatest(0.01, stddev_samp(x)) ELSE 0.09 END, 6) AS std FROM s""")
+STATS_SQL = f"""sims AS (SELECT {EMB.format('q', 'c')} AS x FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+cs AS (SELECT count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(x) ELSE 0.42 END, 6) AS mean, round(CASE WHEN count(*) >= 10 THEN greatest(0.01, stddev_samp(x)) ELSE 0.09 END, 6) AS std FROM sims)"""
+
+
+@query(f"WITH {STATS_SQL} SELECT * FROM cs")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     q = lexical.bounded(_vector_queries(v).withColumnRenamed("vector", "qv"))  # a stated query set
@@ -175,18 +178,18 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return guardrails.similarity_stats(sims, "x")
 
 
-@query(f"""WITH {RERANK_SQL}, {PARENT_SQL},
+@query(f"""WITH {RERANK_SQL}, {PARENT_SQL}, {STATS_SQL},
 top AS (SELECT b.item_id, b.text AS question, rr.prob, coalesce(par.full_content, d.text) AS ctx FROM benchmark b LEFT JOIN rr ON rr.item_id = b.item_id AND final_rank = 1 LEFT JOIN documents d ON d.doc_id = rr.doc_id LEFT JOIN par ON par.source = d.source),
 h AS (SELECT *, list_distinct(list_transform(list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda w: length(w) > 3), lambda w: lower(w))) AS hw FROM top),
 n AS (SELECT *, round(CASE WHEN len(hw) = 0 THEN 0.85 ELSE greatest(0.05, least(1.0, {OVER('hw', "lower(coalesce(ctx, ''))")}::DOUBLE / len(hw) * 1.25)) END, 6) AS nli0 FROM h),
 g AS (SELECT *, CASE WHEN prob IS NULL THEN 'NO_CANDIDATES_RETRIEVED' WHEN prob < 0.5 THEN 'CROSS_ENCODER_CONFIDENCE_LOW' WHEN nli0 < 0.15 THEN 'NLI_CONTRADICTION_OR_NEUTRAL' END AS refusal_reason FROM n)
 SELECT item_id, prob, CASE WHEN coalesce(refusal_reason IN ('NO_CANDIDATES_RETRIEVED', 'CROSS_ENCODER_CONFIDENCE_LOW'), false) THEN 0.0 ELSE nli0 END AS nli,
-  round(CASE WHEN coalesce(refusal_reason IN ('NO_CANDIDATES_RETRIEVED', 'CROSS_ENCODER_CONFIDENCE_LOW'), false) THEN 0.0 ELSE ((ln(prob / (1.0 - prob)) + 15.0) / 30.0 - 0.42) / 0.09 END, 4) AS z,
+  round(CASE WHEN coalesce(refusal_reason IN ('NO_CANDIDATES_RETRIEVED', 'CROSS_ENCODER_CONFIDENCE_LOW'), false) THEN 0.0 ELSE ((ln(prob / (1.0 - prob)) + 15.0) / 30.0 - (SELECT mean FROM cs)) / (SELECT std FROM cs) END, 4) AS z,
   refusal_reason IS NULL AS passed, refusal_reason FROM g""")
 def gate_ladder(spark: SparkSession, sf: str) -> DataFrame:
     top = _expanded(spark, sf).where("final_rank = 1").select("item_id", "prob", "parent_context")
     best = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")).join(top, "item_id", "left")
-    stats = spark.createDataFrame([(0.42, 0.09)], "mean double, std double")
+    stats = corpus_stats(spark, sf).select("mean", "std")  # of the stored vectors
     return guardrails.gate(best, stats, question="question", context="parent_context").select("item_id", "prob", "nli", "z", "passed", "refusal_reason")
 
 
