@@ -17,37 +17,63 @@ SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 TILE = 4096
 
 
+class _Slots(dict):
+    """word -> twice its slot, plus one where it counts as positive."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        import hashlib
+
+        h = int(hashlib.md5(word.encode()).hexdigest(), 16)
+        if len(self) >= 500_000:  # a bound on memory
+            self.clear()
+        self[word] = 2 * (h % self.dim) + (h % 2 == 0)
+        return self[word]
+
+
+def _vector(text: str | None, slots: _Slots):
+    """The hash embedding of one text: each word adds its sign over the root of its place, then the length is taken out."""
+    import numpy as np
+
+    codes = np.array([slots[w] for w in SPACE.split((text or "").lower()) if w], "i8")
+    v = np.bincount(codes >> 1, weights=(2.0 * (codes & 1) - 1.0) / np.sqrt(np.arange(1, len(codes) + 1)), minlength=slots.dim)
+    n = np.sqrt((v * v).sum())
+    if n > 0:
+        return v / n
+    v[0] = 1.0
+    return v
+
+
 def hash_embedding(docs: DataFrame, key: str, text: str = "text", dim: int = 384) -> DataFrame:
     """(key, slot, value) of the non-zero coordinates, normalised; a text without words is the first unit vector. Row by row, without a shuffle."""
-    return docs.select(key, F.posexplode(embedder(dim)(F.col(text))).alias("slot", "value")).where("value <> 0")
+
+    @F.pandas_udf("array<struct<slot: int, value: double>>")
+    def coordinates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        slots = _Slots(dim)
+        for texts in batches:
+            out = []
+            for t in texts:
+                v = _vector(t, slots)
+                at = np.flatnonzero(v)
+                out.append([{"slot": s, "value": x} for s, x in zip(at.tolist(), v[at].tolist(), strict=True)])
+            yield pd.Series(out)
+
+    return docs.select(key, F.explode(coordinates(F.col(text))).alias("c")).select(key, "c.slot", "c.value")
 
 
 def embedder(dim: int = 384):
     """The same embedding as a vectorised function giving array<double>; stands in for a model and may be swapped for one."""
 
     @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        import hashlib
-
-        import numpy as np
-
-        seen: dict[str, tuple[int, float]] = {}
-        out = []
-        for t in texts:
-            v = np.zeros(dim)
-            for i, w in enumerate(w for w in SPACE.split((t or "").lower()) if w):
-                if w not in seen:
-                    h = int(hashlib.md5(w.encode()).hexdigest(), 16)
-                    seen[w] = (h % dim, 1.0 if h % 2 == 0 else -1.0)
-                slot, sign = seen[w]
-                v[slot] += sign / np.sqrt(i + 1)
-            n = np.sqrt((v * v).sum())
-            if n > 0:
-                v /= n
-            else:
-                v[0] = 1.0
-            out.append(v)
-        return pd.Series(out)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        slots = _Slots(dim)
+        for texts in batches:
+            yield pd.Series([_vector(t, slots) for t in texts])
 
     return embed
 

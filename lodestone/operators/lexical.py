@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
+from lodestone.sources.work import written
 
 #: Rows of a query-side table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What Catalyst takes a plan's result to be at most, from its files' sizes; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint where the table has at most `limit` rows. It is kept when counted, so its plan runs once."""
-    kept = df.persist(StorageLevel.DISK_ONLY)
-    if kept.limit(limit + 1).count() <= limit:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    """A table whose broadcast is proven: left to Catalyst where its own estimate is below its threshold, which needs no job.
+
+    Else the table is written in the shared folder, counted there, and hinted where it has at most `limit` rows; a larger
+    one is joined by a shuffle. Either way its plan runs once.
+    """
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if estimated_bytes(df) <= most:
+        return df
+    kept = written(df)
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
 
 
-def containing(texts: DataFrame, terms: DataFrame, *, key: str, low: str, term: str) -> DataFrame:
+def containing(texts: DataFrame, terms: DataFrame, *, key: str, low: str, term: str, tile: int = BROADCAST_ROWS) -> DataFrame:
     """(key, term) for every term that a lower-case text holds anywhere.
 
-    Up to BROADCAST_ROWS terms are one automaton, and every text is read once for all of them; more of them, or none of
-    that library, are compared one by one.
+    Terms come in tiles of `tile`, each one automaton that is broadcast; every text is read once for each tile.
     """
-    few = [r[0] for r in terms.limit(BROADCAST_ROWS + 1).collect()]  # at most BROADCAST_ROWS + 1
-    if len(few) > BROADCAST_ROWS or importlib.util.find_spec("ahocorasick") is None:
-        return texts.join(terms, F.contains(F.col(low), F.col(term))).select(key, term)
-    held = texts.sparkSession.sparkContext.broadcast([t for t in few if t])
+    schema = T.StructType([texts.schema[key], T.StructField(term, T.StringType())])
+    distinct, out, after = terms.where(F.col(term).isNotNull()).select(term).distinct(), None, None
+    while True:
+        some = [r[0] for r in (distinct if after is None else distinct.where(F.col(term) > after)).orderBy(term).limit(tile).collect()]  # at most `tile`
+        if not some:
+            break
+        after = some[-1]
+        found = texts.select(key, low).mapInArrow(_finder([t for t in some if t], key, low, term, texts), schema)
+        if some[0] == "":  # an empty term stands in every text
+            found = found.unionByName(texts.where(F.col(low).isNotNull()).select(key, F.lit("").alias(term)))
+        out = found if out is None else out.unionByName(found)
+        if len(some) < tile:
+            break
+    return out if out is not None else texts.sparkSession.createDataFrame([], schema)
+
+
+def _finder(terms: list[str], key: str, low: str, term: str, texts: DataFrame):
+    held = texts.sparkSession.sparkContext.broadcast(terms)
 
     def found(batches: Iterator) -> Iterator:
         import ahocorasick
@@ -49,11 +70,7 @@ def containing(texts: DataFrame, terms: DataFrame, *, key: str, low: str, term:
             at = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(key).take(at), pa.array([t for h in hits for t in h], pa.string())], [key, term])
 
-    schema = T.StructType([texts.schema[key], T.StructField(term, T.StringType())])
-    out = texts.select(key, low).mapInArrow(found, schema)
-    if "" in few:  # an empty term stands in every text
-        out = out.unionByName(texts.where(F.col(low).isNotNull()).select(key, F.lit("").alias(term)))
-    return out
+    return found
 
 
 def corpus_stats(corpus: DataFrame, text: str = "text") -> DataFrame:

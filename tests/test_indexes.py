@@ -79,3 +79,24 @@ def test_vector_index_of_nothing(spark, tmp_path):
     vector_index.write(d, str(tmp_path), vector_index.fit(d, 4), key="id")
     q = d.where("id >= 400").select(F.col("id").alias("q"), "vector")
     assert vector_index.search(spark, str(tmp_path), q, 5, 2, doc="id", query="q").count() == 0
+
+
+def test_terms_in_tiles(spark):
+    texts = spark.createDataFrame([(1, "abcabd"), (2, ""), (3, None), (4, "xyz ab")], "k int, low string")
+    terms = spark.createDataFrame([(t,) for t in ["ab", "abc", "", "z", None, "q", "ab", "bca"]], "term string")
+    want = {(k, t) for k, x in ((1, "abcabd"), (2, ""), (4, "xyz ab")) for t in ("ab", "abc", "", "z", "q", "bca") if t in x}
+    for tile in (1, 2, 5, 100):
+        got = lexical.containing(texts, terms, key="k", low="low", term="term", tile=tile).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert lexical.containing(texts, terms.limit(0), key="k", low="low", term="term").count() == 0
+
+
+def test_broadcasts_are_proven_without_persisting(spark):
+    small = spark.range(3)
+    assert lexical.bounded(small) is small
+    made = spark.range(1 << 24).where("id < 5").select("id", F.rpad(F.lit("x"), 50, "x").alias("pad"))
+    assert lexical.estimated_bytes(made) > 10 << 20
+    hinted = lexical.bounded(made)
+    assert "ResolvedHint (strategy=broadcast)" in hinted._jdf.queryExecution().analyzed().toString() and hinted.count() == 5
+    assert "ResolvedHint" not in lexical.bounded(made, 3)._jdf.queryExecution().analyzed().toString()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
