@@ -138,13 +138,16 @@ def mean_pool(tokens: DataFrame, group: str, vector: str = "vector") -> DataFram
 def pool_spans(docs: DataFrame, vectors: str, spans: str) -> DataFrame:
     """Adds `pooled`: for each span (start, end) of token vectors their mean, normalised; an empty or late span gives one clamped token."""
 
+    def unit(m):
+        return vec.let(vec.norm(m), lambda n: F.transform(m, lambda x: x / F.when(n > 1e-12, n).otherwise(1.0)))
+
     def pooled(v, s):
         last = F.size(v) - 1
         single = (s["start"] >= s["end"]) | (s["start"] > last)
         part = F.when(single, F.slice(v, F.least(s["start"], last) + 1, F.lit(1))).otherwise(F.slice(v, s["start"] + 1, s["end"] - s["start"]))
-        total = F.aggregate(part, F.transform(F.element_at(v, 1), lambda x: F.lit(0.0)), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
-        m = F.transform(total, lambda x: x / F.size(part))
-        n = vec.norm(m)
-        return F.transform(m, lambda x: x / F.when(n > 1e-12, n).otherwise(1.0))
+        total = lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.element_at(p, 1), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
+        mean = lambda p: vec.let(total(p), lambda t: F.transform(t, lambda x: x / F.size(p)))
+        # each step is named once, so nothing is computed again for every coordinate
+        return vec.let(part, lambda p: vec.let(mean(p), unit))
 
     return docs.withColumn("pooled", F.transform(spans, lambda s: pooled(F.col(vectors), s)))

@@ -39,6 +39,15 @@ def context_blocks(chunks: DataFrame, *, query: str, source: str, text: str, ran
     return b.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def markdown_rows(rows: DataFrame, table: str, order: str, cells: list[str]) -> DataFrame:
+    """(table, markdown): each table's rows in order under a head of the columns' names; line feeds in a cell become spaces, null is an empty cell."""
+    clean = [F.regexp_replace(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"\n", " ") for c in cells]
+    line = F.concat(F.lit("| "), F.array_join(F.array(*clean), " | "), F.lit(" |"))
+    head = f"| {' | '.join(cells)} |\n| {' | '.join('---' for _ in cells)} |\n"
+    g = rows.select(table, F.struct(F.col(order).alias("o"), line.alias("line")).alias("r")).groupBy(table).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("body"))
+    return g.select(table, F.concat(F.lit(head), "body").alias("markdown"))
+
+
 def history_block(turns: Column) -> Column:
     """turns: array of struct(role, content), the last four in order."""
     said = F.transform(turns, lambda t: F.concat(F.when(t["role"] == "user", "User").otherwise("Assistant"), F.lit(": "), F.trim(t["content"])))
@@ -62,18 +71,33 @@ def style_suffix(style: Column) -> Column:
     return out
 
 
-def expand_query(question: Column) -> Column:
-    """Search text: summary and visual questions get fixed expansions; others stay as they are (a model may expand them)."""
+#: What a model's sentence says when it is none, and the bounds on its length.
+BOILERPLATE = ("ready to provide", "please ask")
+LEAST_SENTENCE, MOST_SENTENCE = 5, 150
+
+
+def expand_query(question: Column, sentence: Column | None = None) -> Column:
+    """Search text: summary and visual questions get fixed expansions; others stay as they are, or take a model's sentence.
+
+    sentence: what a model wrote for each question (a hook's output). It is taken for questions of more than four words,
+    its first MOST_SENTENCE characters, unless it is boilerplate or shorter than LEAST_SENTENCE.
+    """
     clean = F.trim(question)
     low = F.regexp_replace(F.lower(clean), r"[?!.]+$", "")
     return (
         F.when(F.length(clean) == 0, question)
         .when(tx.any_of(low, tx.SUMMARY_WORDS), F.concat(clean, F.lit(" document summary overview abstract introduction key findings conclusions main contributions")))
         .when(tx.any_of(low, tx.VISUAL_WORDS), F.concat(clean, F.lit(" figure diagram plot chart architecture workflow illustration scene details")))
-        .otherwise(clean)
+        .otherwise(clean if sentence is None else F.when(_fit_sentence(clean, sentence), F.concat(clean, F.lit(" "), F.substring(F.replace(F.trim(sentence), F.lit("\n"), F.lit(" ")), 1, MOST_SENTENCE))).otherwise(clean))
     )
 
 
+def _fit_sentence(question: Column, sentence: Column) -> Column:
+    said = F.trim(F.coalesce(sentence, F.lit("")))
+    many = F.size(F.filter(F.split(question, r"\s+"), lambda w: F.length(w) > 0)) > 4
+    return many & (F.length(said) >= LEAST_SENTENCE) & ~tx.any_of(F.lower(said), BOILERPLATE)
+
+
 def route_model(question: Column, has_table: Column, image_query: Column, default: str = "default-14b", vision: str = "vision-7b", large: str = "instruct-14b") -> Column:
     n = F.size(F.filter(F.split(F.trim(question), r"\s+"), lambda w: F.length(w) > 0))
     return F.when(image_query | tx.any_of(F.lower(question), DIAGRAM_REQUEST), vision).when(has_table | (n > 15), large).otherwise(default)

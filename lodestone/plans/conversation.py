@@ -89,9 +89,8 @@ def url_tag_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT r.r_regionkey AS region, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation n JOIN region r ON n_regionkey = r_regionkey GROUP BY r.r_regionkey")
 def markdown_table(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.struct("n_nationkey", F.format_string("| %s | %s |", "n_name", "n_nationkey").alias("line")).alias("r"))
-    lines = n.groupBy("region").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("body"))
-    return lines.select("region", F.concat(F.lit("| name | key |\n| --- | --- |\n"), "body").alias("markdown"))
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    return prompts.markdown_rows(n, "region", "key", ["name", "key"])
 
 
 @query("SELECT conv_id, turn, generate_subscripts(w, 1) - 1 AS position, unnest(w) AS token FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant')")

@@ -372,3 +372,40 @@ def answerable(spark: SparkSession, sf: str) -> DataFrame:
     """The first three characters of a page's text stand in for questions, some of which are blank."""
     q = table(spark, sf, "pages").select("page_id", F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 3).alias("q"))
     return guardrails.answerable(q, "q").select("page_id")
+
+
+@query(f"""WITH {FILTER_SQL(0.35)}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY kept_score DESC, rank) AS rn FROM kept),
+e AS (SELECT item_id, string_agg('--- DOCUMENT EXCERPT ' || rn || ' (' || source || ') ---' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY rn) AS ctx FROM r WHERE rn <= 5 GROUP BY item_id),
+h AS (SELECT conv_id AS item_id, 'RECENT CONVERSATION MEMORY (PRIOR DIALOGUE TURNS):' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || trim(text), chr(10) ORDER BY turn) || chr(10) || chr(10) AS history
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 4 GROUP BY conv_id),
+p AS (SELECT b.item_id, 'KNOWLEDGE BASE CONTEXT:' || chr(10) || ctx || chr(10) || chr(10) || 'IMAGE: ' || b.item_id % 3 || chr(10) || coalesce(history, '') || 'GOOD: ' || b.item_id || chr(10) || 'BAD: ' || b.item_id || chr(10)
+   || CASE WHEN NOT regexp_matches(lower(trim(b.text)), {values(["|".join(prompts.OVERVIEW)])}) AND regexp_matches(lower(trim(b.text)), {values(["|".join(prompts.FOCUS)])}) THEN 'TARGETED FOCUS DIRECTIVE: The user is asking specifically about: ''' || b.text || '''. Directly explain and address this specific item.' || chr(10) || chr(10) ELSE '' END
+   || 'USER QUERY: ' || b.text || chr(10) || chr(10) || 'FINISHED GROUNDED ANSWER:' AS prompt FROM e JOIN benchmark b USING (item_id) LEFT JOIN h USING (item_id))
+SELECT item_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p""")
+def prompt_with_all_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts with excerpts, an image's summary, the last four turns of the conversation of their number, exemplars and warnings."""
+    k = lexical.ranked(_kept(spark, sf).withColumnRenamed("rank", "found"), "item_id", "found", 5, "kept_score")
+    ctx = prompts.context_blocks(k, query="item_id", source="source", text="text", rank="rank")
+    last = table(spark, sf, "conversations").withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("back <= 4")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    turns = last.groupBy(F.col("conv_id").alias("item_id")).agg(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+    p = ctx.join(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")), "item_id").join(turns, "item_id", "left")
+    line = lambda head, c: F.concat(F.lit(head), c.cast("string"), F.lit("\n"))
+    i = F.col("item_id")
+    prompt = prompts.user_prompt(F.col("context"), F.col("question"), F.coalesce(prompts.history_block(F.col("turns")), F.lit("")), line("GOOD: ", i), line("BAD: ", i), line("IMAGE: ", i % 3))
+    return p.select("item_id", F.length(prompt).cast("long").alias("n_chars"), F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+@query("""WITH t AS (SELECT vec_id, list_transform(range(0, 8), lambda i: embedding[i * 8 + 1:i * 8 + 8]::DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT vec_id, v, unnest([{'a': 0, 'z': 3}, {'a': 3, 'z': 3}, {'a': 9, 'z': 12}, {'a': 5, 'z': 8}]) AS s, unnest([0, 1, 2, 3]) AS span FROM t),
+p AS (SELECT vec_id, span, CASE WHEN s.a >= s.z OR s.a > 7 THEN v[least(s.a, 7) + 1:least(s.a, 7) + 1] ELSE v[s.a + 1:s.z] END AS part FROM s),
+m AS (SELECT vec_id, span, list_transform(range(1, 9), lambda j: list_sum(list_transform(part, lambda r: r[j])) / len(part)) AS m FROM p)
+SELECT vec_id, span, generate_subscripts(m, 1)::INTEGER - 1 AS slot, round(unnest(m) / CASE WHEN sqrt(list_inner_product(m, m)) > 1e-12 THEN sqrt(list_inner_product(m, m)) ELSE 1.0 END, 6) AS value FROM m""")
+def span_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector of 64 numbers as eight tokens of eight, pooled over four spans: two whole ones, an empty one and a late one."""
+    x = F.transform("embedding", lambda e: e.cast("double"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(x, i * 8 + 1, F.lit(8)))
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(z).alias("end")) for a, z in ((0, 3), (3, 3), (9, 12), (5, 8))))
+    d = dense.pool_spans(table(spark, sf, "embeddings").select("vec_id", tokens.alias("v"), spans.alias("s")), "v", "s")
+    d = d.select("vec_id", F.posexplode("pooled").alias("span", "p")).select("vec_id", "span", F.posexplode("p").alias("slot", "value"))
+    return d.withColumn("value", F.round("value", 6))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -108,6 +109,13 @@ def docx_images(content: bytes) -> list[tuple[str, bytes]]:
         return [(n.rsplit("/", 1)[1], z.read(n)) for n in sorted(names, key=lambda n: (number(n), n))]
 
 
+def image_section(filename: str, number: int, name: str) -> str:
+    """The section that stands for an embedded image."""
+    stem = re.sub(r"[^\w]|_", "_", re.sub(r"\.[^.]*$", "", filename))
+    ending = "." + name.rpartition(".")[2] if "." in name else ""
+    return f"[IMAGE / FIGURE: Embedded Document Graphic {number}]\n[Image URL: /images/{stem}_img{number}{ending}]"
+
+
 def read_docx_images(spark: SparkSession, path: str) -> DataFrame:
     """(filename, image_no, image_name, image, text): embedded images of DOCX files, with the section that stands for each before the paragraphs."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/\\\\]+)$", 1).alias("filename"), "content")
@@ -148,12 +156,13 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def read_docx(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """(filename, sections, total_pages, text_content) of DOCX files, optionally of a page range."""
+    """(filename, sections, total_pages, text_content) of DOCX files, optionally of a page range; sections are embedded images, then paragraphs, then tables."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/\\]+)$", 1).alias("filename"), "content")
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"filename": b.filename, "sections": [docx_sections(c) for c in b.content]})
+            both = [[image_section(f, k, n) for k, (n, _) in enumerate(docx_images(c), 1)] + docx_sections(c) for f, c in zip(b.filename, b.content, strict=True)]
+            yield pd.DataFrame({"filename": b.filename, "sections": both})
 
     d = files.mapInPandas(opened, "filename string, sections array<string>")
     words = F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(F.split(F.trim(s), r"\s+")))

@@ -113,3 +113,20 @@ def test_alpha_on_white(spark):
     rows = [(1, 4, bytearray([10, 20, 30, 255, 10, 20, 30, 0])), (2, 1, bytearray([7, 9])), (3, 3, bytearray([1, 2, 3])), (4, 3, None)]
     got = {r.k: (r.channels, r.data and list(r.data)) for r in files.on_white(spark.createDataFrame(rows, "k int, channels int, data binary")).collect()}
     assert got == {1: (3, [10, 20, 30, 255, 255, 255]), 2: (3, [7, 7, 7, 9, 9, 9]), 3: (3, [1, 2, 3]), 4: (3, None)}
+
+
+def test_model_sentences_expand_long_questions(spark):
+    from lodestone.operators import prompts
+
+    q = "how do the pumps cool down"
+    rows = [(q, "pump\ncooling cycle"), (q, None), (q, "I am ready to provide it"), (q, "x"), ("pumps", "pump cooling"), (q, "y" * 400), ("give me a summary of all this", "other words")]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, q string, s string")
+    got = [r[0] for r in d.orderBy("k").select(prompts.expand_query(F.col("q"), F.col("s"))).collect()]
+    assert got[:6] == [f"{q} pump cooling cycle", q, q, q, "pumps", f"{q} {'y' * 150}"] and got[6].startswith("give me a summary of all this document summary")
+
+
+def test_markdown_of_odd_cells(spark):
+    from lodestone.operators import prompts
+
+    d = spark.createDataFrame([("t", 2, None, "b"), ("t", 1, "x\ny", " a ")], "t string, n int, p string, q string")
+    assert prompts.markdown_rows(d, "t", "n", ["p", "q"]).head().markdown == "| p | q |\n| --- | --- |\n| x y | a |\n|  | b |"
