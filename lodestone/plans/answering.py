@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import claims, fusion, guardrails, prompts
 from lodestone.plans.registry import query, table, values
-from lodestone.plans.retrieval import DENSE_SQL, FILTER_SQL, HITS_SQL, _candidates, _expanded, _kept, corpus_stats
+from lodestone.plans.retrieval import DENSE_SQL, FILTER_SQL, HITS_SQL, IMAGE_SQL, OVER, WITHOUT, W, _candidates, _expanded, _image_context, _kept, corpus_stats
 from lodestone.sources import store
 
 
+REFUSE_SQL = lambda a: f"(regexp_matches(trim(substr(lower({a}), 1, 180)), {values([tx.LEADING_REFUSAL])}) OR regexp_matches(trim(substr(lower({a}), 1, 180)), {values([tx.LEADING_ANY])}) OR (length(trim({a})) < 220 AND regexp_matches(lower({a}), {values([tx.SHORT_REFUSAL])})))"
+
+
 def extractive(context: Column, question: Column) -> Column:
     """Default generator: the first sentences of the best context. A model takes its place as a function of the same columns."""
     return F.array_join(F.slice(tx.sentences(F.trim(context)), 1, 3), " ")
@@ -40,6 +43,50 @@ def answer_events(best: DataFrame, *, query: str, question: str, context: str, r
     return a.select(query, F.posexplode(F.when(F.col(reason).isNotNull(), refused).otherwise(told)).alias("position", "e")).select(query, "position", "e.*")
 
 
+def image_answer_events(contexts: DataFrame, questions: DataFrame, *, query: str, question: str, text: str, score: str, rank: str, source: str, matched: str, generate: Callable[[Column, Column], Column] = extractive) -> DataFrame:
+    """Events of questions with an image: (query, position, type, token, is_grounded, confidence, n_citations): the answer's tokens in order, then done.
+
+    contexts: ranked chunks of each question; questions: query, question and whether the image matched a stored figure. A
+    match, or a good enough chunk, grounds an answer that its words don't. Only done has the last three columns; a grounded
+    answer cites each source of its contexts once. A question without contexts has an empty answer: one empty token.
+    """
+    best = contexts.where(F.col(rank) == 1).select(query, F.col(text).alias("_best"))
+    a = questions.join(best, query, "left").withColumn("_answer", F.coalesce(tx.sanitise(generate(F.col("_best"), F.col(question))), F.lit("")))
+    decided = guardrails.grounding(a.select(query, question, "_answer"), contexts, key=query, question=question, answer="_answer", text=text, score=score, rank=rank).select(query, "is_grounded", "confidence")
+    held = contexts.groupBy(query).agg(F.max(score).alias("_top"), F.countDistinct(source).alias("_sources"))
+    a = a.join(decided, query).join(held, query, "left")
+    a = prompts.image_grounding(a, grounded="is_grounded", confidence="confidence", matched=F.col(matched), has_chunks=F.col("_top").isNotNull(), top_score=F.coalesce("_top", F.lit(0.0)))
+    kind = "struct<type:string,token:string,is_grounded:boolean,confidence:double,n_citations:bigint>"
+    tokens = F.transform(F.split("_answer", " ", -1), lambda w: F.struct(F.lit("token"), w, F.lit(None), F.lit(None), F.lit(None)).cast(kind))
+    done = F.struct(F.lit("done"), F.lit(None), F.col("is_grounded"), F.col("confidence"), F.when(F.col("is_grounded"), F.coalesce("_sources", F.lit(0))).otherwise(0)).cast(kind)
+    return a.select(query, F.posexplode(F.concat(tokens, F.array(done))).alias("position", "e")).select(query, "position", "e.*")
+
+
+def _sanitised(column: str) -> str:
+    for pattern, by in tx.SANITISE:
+        column = f"regexp_replace({column}, {values([pattern])}, {values([by])}, 'g')"
+    return f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH {IMAGE_SQL},
+x AS (SELECT r.item_id, attention_rank AS rank, composite, d.text, d.source FROM r JOIN documents d USING (doc_id) WHERE attention_rank <= 5),
+g AS (SELECT item_id, string_agg(lower(text), ' ' ORDER BY rank) AS ctx, round(avg(composite) FILTER (rank <= 3), 8)::DOUBLE AS top3, max(composite) AS top, count(DISTINCT source) AS sources, arg_min(text, rank) AS best FROM x GROUP BY item_id),
+a AS (SELECT b.item_id, b.text AS question, b.item_id % 2 = 0 AS matched, g.*, coalesce({_sanitised("array_to_string(string_split(regexp_replace(trim(best), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' ')")}, '') AS answer FROM benchmark b LEFT JOIN g USING (item_id)),
+w AS (SELECT *, {WITHOUT(W('question'), tx.STOP_GROUNDING)} AS ws FROM a),
+l AS (SELECT *, CASE WHEN len(ws) = 0 THEN 1 ELSE {OVER('ws', "coalesce(ctx, '')")} END AS lex, top IS NULL OR length(answer) = 0 OR {REFUSE_SQL('answer')} AS none FROM w),
+f AS (SELECT *, CASE WHEN none THEN 0.0 ELSE round(CASE WHEN top3 < 0.38 AND NOT lex > 0 THEN 0.0 WHEN lex > 0 THEN least(1.0, greatest(0.0, least(1.0, (top3 - 0.38) / 0.47)) + 0.15) ELSE greatest(0.0, least(1.0, (top3 - 0.38) / 0.47)) END, 4)::DOUBLE END AS conf FROM l),
+k AS (SELECT *, coalesce(NOT none AND NOT (conf < 0.2 AND lex = 0 AND len(ws) > 0), false) AS grounded FROM f),
+m AS (SELECT *, CASE WHEN NOT grounded AND matched AND top IS NOT NULL THEN 2 WHEN NOT grounded AND NOT matched AND top >= 0.40 THEN 1 ELSE 0 END AS lift FROM k),
+e AS (SELECT item_id, unnest(string_split(answer, ' ')) AS token, generate_subscripts(string_split(answer, ' '), 1) - 1 AS position, 'token' AS type, NULL::BOOLEAN AS is_grounded, NULL::DOUBLE AS confidence, NULL::BIGINT AS n_citations FROM m
+      UNION ALL SELECT item_id, NULL, len(string_split(answer, ' ')), 'done', grounded OR lift > 0, CASE lift WHEN 2 THEN greatest(conf, 0.78) WHEN 1 THEN greatest(conf, 0.65) ELSE conf END, CASE WHEN grounded OR lift > 0 THEN coalesce(sources, 0) ELSE 0 END FROM m)
+SELECT item_id, position::INTEGER AS position, type, token, is_grounded, confidence, n_citations FROM e""")
+def image_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of every benchmark question with an image; those of even numbers matched a stored figure."""
+    ctx = _image_context(spark, sf).select("item_id", F.col("attention_rank").alias("rank"), "composite", "text", "source")
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), (F.col("item_id") % 2 == 0).alias("matched"))
+    return image_answer_events(ctx, q, query="item_id", question="question", text="text", score="composite", rank="rank", source="source", matched="matched")
+
+
 @query()
 def gated_answer_events(spark: SparkSession, sf: str) -> DataFrame:
     ranked = F.sort_array(F.collect_list(F.struct("final_rank", "prob", "parent_context")))

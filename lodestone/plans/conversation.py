@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as tx
 from lodestone.operators import chat, chunking, claims, guardrails, prompts
+from lodestone.plans.answering import REFUSE_SQL
 from lodestone.plans.registry import query, table, values
 from lodestone.plans.retrieval import OVER, TOK, WITHOUT, W
 from lodestone.sources import files, store
@@ -16,7 +17,6 @@ from lodestone.streaming import state
 
 any_sql = lambda c, words: "(" + " OR ".join(f"contains({c}, {values([w])})" for w in words) + ")"
 starts_sql = lambda c, words: "(" + " OR ".join(f"starts_with({c}, {values([w])})" for w in words) + ")"
-REFUSE_SQL = lambda a: f"(regexp_matches(trim(substr(lower({a}), 1, 180)), {values([tx.LEADING_REFUSAL])}) OR regexp_matches(trim(substr(lower({a}), 1, 180)), {values([tx.LEADING_ANY])}) OR (length(trim({a})) < 220 AND regexp_matches(lower({a}), {values([tx.SHORT_REFUSAL])})))"
 
 
 # --- Intents and text ---------------------------------------------------------------------------------------------

@@ -338,20 +338,25 @@ fig1 AS (SELECT * REPLACE (1 - row_number() OVER (PARTITION BY item_id ORDER BY
 c AS (SELECT item_id, doc_id, score, rank, question, text, source FROM hits UNION ALL SELECT item_id, doc_id, score, rank, question, text, source FROM fig1)"""
 
 
-@query(f"""WITH {FILTER_SQL(0.35, IMAGE_HITS_SQL)},
+IMAGE_SQL = f"""{FILTER_SQL(0.35, IMAGE_HITS_SQL)},
 fig2 AS (SELECT item_id, doc_id, score AS kept_score, 1 - row_number() OVER (PARTITION BY item_id ORDER BY rank DESC) AS rank, question, text FROM figu f WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.item_id = f.item_id AND k.text = f.text)),
 al AS (SELECT item_id, doc_id, kept_score, rank, question, text FROM kept UNION ALL SELECT * FROM fig2),
 s AS (SELECT item_id, doc_id, rank, round(kept_score * 0.65 + least({OVER(W('question'), 'lower(text)')} * 0.08, 0.25) + CASE WHEN doc_id % 4 = 0 THEN 0.12 ELSE 0.0 END, 6)::DOUBLE AS composite FROM al),
-r AS (SELECT item_id, doc_id, composite, row_number() OVER (PARTITION BY item_id ORDER BY composite DESC, rank)::INTEGER AS attention_rank FROM s)
-SELECT * FROM r WHERE attention_rank <= 5""")
-def image_query(spark: SparkSession, sf: str) -> DataFrame:
+r AS (SELECT item_id, doc_id, composite, row_number() OVER (PARTITION BY item_id ORDER BY composite DESC, rank)::INTEGER AS attention_rank FROM s)"""
+
+
+def _image_context(spark: SparkSession, sf: str) -> DataFrame:
     """Questions with an image: up to three of the first seven documents stand in for the figure chunks that the image matched."""
     lead = table(spark, sf, "documents").select("doc_id", "text", "source").orderBy("doc_id").limit(7)
     lead = lead.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))  # seven rows
     q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), (F.col("item_id") % 3).alias("third"))
     figs = q.join(F.broadcast(lead.withColumn("third", F.col("rank").cast("long") % 3)), "third").drop("third").withColumn("score", F.lit(0.95))
-    out = guardrails.image_context(_candidates(spark, sf, fusion.image_k(5)), figs, query="item_id", question="question", text="text", score="score", order="rank", k=5, cut=sc.threshold("balanced"), has_figure=F.col("doc_id") % 4 == 0)
-    return out.select("item_id", "doc_id", "composite", "attention_rank")
+    return guardrails.image_context(_candidates(spark, sf, fusion.image_k(5)), figs, query="item_id", question="question", text="text", score="score", order="rank", k=5, cut=sc.threshold("balanced"), has_figure=F.col("doc_id") % 4 == 0)
+
+
+@query(f"WITH {IMAGE_SQL} SELECT * FROM r WHERE attention_rank <= 5")
+def image_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_context(spark, sf).select("item_id", "doc_id", "composite", "attention_rank")
 
 
 @query(f"""WITH {FILTER_SQL(0.42)}, m AS (SELECT item_id, text AS question FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM kept WHERE kept_score >= 0.82))
