@@ -23,11 +23,15 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, text_bytes, tokenizer_path, trim, word_ids
+from lodestone.llm.common import table, text_bytes, tokenizer_path, trim, trim_sometimes, word_ids
 
 WINDOW, SENTENCE, HARD, HARD_STEP = 4096, 8, 64, 256
 #: Ids of a partition that are packed at a time; its last, unfinished window is carried into the next stretch.
-STRETCH = 2_000_000
+STRETCH = 500_000
+#: Rows of an Arrow batch that are taken out of it at a time.
+ROWS = 1000
+#: Words and units that a worker's caches hold here, where windows need memory too.
+CACHED = (20_000, 300_000)
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -140,9 +144,11 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
         from pyspark import TaskContext
 
         words, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        words.most, words.most_known = CACHED
         vocab = words.tokenizer.get_vocab()
         closing = np.zeros(max(vocab.values()) + 2, bool)
         closing[[i for t, i in vocab.items() if re.fullmatch(r"""[.!?]+["')\]]*(</w>)?""", t)]] = True
+        del vocab
         first, made = TaskContext.get().partitionId() << 36, 0
         segments, size = [], 0
 
@@ -162,9 +168,10 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
                     made += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-        for b in batches:
+        trim()  # what an earlier stage left in this worker
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             doc_ids = b.column("doc_id").to_pylist()
-            for lo, hi, all_ids, bounds, word_ends in words.stream(b.column("body").to_pylist()):
+            for lo, hi, all_ids, bounds, word_ends in words.stream(b.column("body").to_pylist(), 250_000):
                 word_ends = word_ends[np.diff(word_ends, prepend=0) > 0]  # a unit may have no ids
                 all_stops = word_ends[closing[np.minimum(all_ids[word_ends - 1], len(closing) - 1)]]
                 cut = np.searchsorted(all_stops, bounds, "right")
@@ -176,6 +183,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, wind
                     at, k = to, stop
                     if size >= STRETCH:
                         yield from rows(False)
+                        trim_sometimes(4)
         if segments:
             yield from rows(True)
         segments = None
