@@ -15,13 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from lodestone.llm.common import bounded, materialise, table
+from lodestone.llm.common import BATCH_ROWS, bounded, materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Few rows between Spark and Python at a time, for this session: stages follow one another in the same workers, and what an earlier one took stays with its process."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
+    _short_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where("tox_predicted = 0").select(*COLUMNS)
 
@@ -49,6 +57,7 @@ def _one_each(keyed: DataFrame, groups: DataFrame, best: Column, own: bool) -> D
 
 def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row: that with the largest doc_id (a null one is the smallest), the first of several."""
+    _short_batches(spark)
     keyed, own = _keyed(docs)
     marks = exact_dedup.exact_dedup(keyed.select(F.col("_row").alias("doc_id"), "text"))
     groups = marks.where("group_size > 1").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("grp"))
@@ -57,6 +66,7 @@ def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents one row: that with the smallest doc_id (a null one is the largest), the first of several."""
+    _short_batches(spark)
     keyed, own = _keyed(docs)
     classes = materialise(jaccard_join.jaccard_classes(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("grp")))
     linked = classes.where("_row <> grp")
@@ -66,11 +76,13 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents: one row for each document and epoch that it is drawn in."""
+    _short_batches(spark)
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed sequences, a row per piece."""
+    _short_batches(spark)
     return packing.digest(packing.pack(docs))
 
 
