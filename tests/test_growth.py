@@ -37,6 +37,15 @@ def test_caption_boxes_of_many_copies(page):
     assert sorted(round(r.b) for r in out) == [300, 400, 500]
 
 
+def test_first_captions_of_many_copies(page):
+    fig, cap = page
+    joined = timed(lambda: figures.caption_join(fig, cap, ["page"]).groupBy("t", "cap_id").count().collect())
+    # the caption of the next place up begins within reach of a box too, and the first block wins
+    assert {(round(r.t, 1), r.cap_id, r["count"]) for r in joined} == {(0.0, 0, MANY // 3), (0.1, 1, MANY // 3), (0.2, 2, MANY // 3)}
+    near = timed(lambda: figures.caption_near(scaled(fig, "ltrb"), scaled(cap, ("cl", "ct", "cr", "cb")), ["page"], within=60.0).groupBy("t", "cap_id").count().collect())
+    assert {(round(r.t), r.cap_id, r["count"]) for r in near} == {(0, 0, MANY // 3), (100, 0, MANY // 3), (200, 1, MANY // 3)}
+
+
 def fingerprints(spark):
     rows = [(i, [((i * 7 + k * k * (i % 13 + 1)) % 29) / 29.0 for k in range(64)]) for i in range(400)]
     rows += [(1000, [0.5] * 64), (1001, rows[3][1]), (1050, rows[3][1][:32]), (1100, None)]  # flat, a copy, another size, none
