@@ -46,6 +46,14 @@ def test_first_captions_of_many_copies(page):
     assert {(round(r.t), r.cap_id, r["count"]) for r in near} == {(0, 0, MANY // 3), (100, 0, MANY // 3), (200, 1, MANY // 3)}
 
 
+def test_outside_covers_of_many_copies(page):
+    fig, _ = page
+    covers = fig.where("t < 0.05").select("page", F.col("l").alias("ol"), F.lit(0.0).alias("ot"), F.lit(0.01).alias("orr"), F.lit(0.2).alias("ob"))
+    apart = fig.select("fig_id", "page", "l", "t", "r", "b")
+    assert timed(lambda: figures.outside_covers(apart, covers, ["page"], share=0.5).count()) == MANY
+    assert timed(lambda: figures.outside_covers(apart, covers.withColumn("orr", F.lit(0.5)), ["page"], share=0.5).count()) == MANY * 2 // 3
+
+
 def fingerprints(spark):
     rows = [(i, [((i * 7 + k * k * (i % 13 + 1)) % 29) / 29.0 for k in range(64)]) for i in range(400)]
     rows += [(1000, [0.5] * 64), (1001, rows[3][1]), (1050, rows[3][1][:32]), (1100, None)]  # flat, a copy, another size, none
