@@ -54,6 +54,20 @@ def test_outside_covers_of_many_copies(page):
     assert timed(lambda: figures.outside_covers(apart, covers.withColumn("orr", F.lit(0.5)), ["page"], share=0.5).count()) == MANY * 2 // 3
 
 
+def test_parents_share_the_lists_of_their_pages(spark):
+    p = spark.createDataFrame([(1, 1, [1, 2]), (1, 2, [2, 1, 1]), (1, 3, [3]), (1, 4, None), (2, 5, [1]), (1, 6, [1]), (1, 6, [2])], "doc long, parent long, pages array<int>")
+    f = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (1, 4, "c")], "doc long, page int, name string")
+    seen = []
+
+    def derived(held):
+        seen.append(held)
+        return {"names": F.array_join(F.transform(held, lambda x: x["name"]), ",")}
+
+    out = figures.figures_of_parents(p, f, doc="doc", parent="parent", pages="pages", page="page", figure=["name"], derived=derived)
+    assert seen and out.columns == ["doc", "parent", "pages", "names"]
+    assert sorted((r.doc, r.parent, r.names) for r in out.collect()) == [(1, 1, "a,b"), (1, 2, "a,b"), (1, 3, ""), (1, 4, ""), (1, 6, "a,b"), (1, 6, "a,b"), (2, 5, "")]
+
+
 def fingerprints(spark):
     rows = [(i, [((i * 7 + k * k * (i % 13 + 1)) % 29) / 29.0 for k in range(64)]) for i in range(400)]
     rows += [(1000, [0.5] * 64), (1001, rows[3][1]), (1050, rows[3][1][:32]), (1100, None)]  # flat, a copy, another size, none
