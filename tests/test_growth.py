@@ -72,3 +72,30 @@ def fingerprints(spark):
     rows = [(i, [((i * 7 + k * k * (i % 13 + 1)) % 29) / 29.0 for k in range(64)]) for i in range(400)]
     rows += [(1000, [0.5] * 64), (1001, rows[3][1]), (1050, rows[3][1][:32]), (1100, None)]  # flat, a copy, another size, none
     return figures.fingerprints(spark.createDataFrame(rows, "id long, grid array<float>"), "grid").select("id", F.struct("dhash", "ahash", "thumb", "hist").alias("fp"))
+
+
+def test_fingerprint_pairs_equal_expressions(spark):
+    fp = fingerprints(spark)
+    q = fp.where("id % 50 = 0")
+    from lodestone.functions import vectors as vec
+
+    a, b = F.col("q.fp"), F.col("f.fp")
+    plain = q.alias("q").join(fp.alias("f"), F.col("q.id") != F.col("f.id")).select(
+        F.col("q.id").alias("query_id"), F.col("f.id").alias("fig_id"), vec.bit_similarity(a["dhash"], b["dhash"]).alias("d"), vec.bit_similarity(a["ahash"], b["ahash"]).alias("a"),
+        vec.cross_correlation(a["thumb"], b["thumb"]).alias("n"), vec.correlation(a["hist"], b["hist"]).alias("h"),
+    )
+    cell = lambda r: (r.query_id, r.fig_id, *(None if x is None else round(x, 9) for x in (r.d, r.a, r.n, r.h)))
+    pairs = figures.fingerprint_pairs(q, fp)
+    assert "NestedLoop" not in figures.fingerprint_pairs(q.where("id < 1000"), fp.where("id < 1000"))._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(cell, pairs.collect()), key=str) == sorted(map(cell, plain.collect()), key=str)
+
+
+def test_visual_matches_in_tiles(spark, monkeypatch):
+    fp = fingerprints(spark)
+    q = fp.where("id % 50 = 0")
+    row = lambda r: (r.query_id, r["rank"], r.fig_id, r.similarity)
+    whole = sorted(map(row, figures.visual_matches(q, fp, top=5).collect()))
+    monkeypatch.setattr(figures, "TILE", 3)
+    monkeypatch.setattr(figures, "STEP", 7)
+    assert sorted(map(row, figures.visual_matches(q, fp, top=5).collect())) == whole
+    assert len({r[0] for r in whole}) >= 9 and (0, 1) in {r[:2] for r in whole}
