@@ -99,3 +99,20 @@ def test_visual_matches_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(figures, "STEP", 7)
     assert sorted(map(row, figures.visual_matches(q, fp, top=5).collect())) == whole
     assert len({r[0] for r in whole}) >= 9 and (0, 1) in {r[:2] for r in whole}
+
+
+def test_pair_stats_equal_all_pairs(spark):
+    from lodestone.functions import vectors as vec
+    from lodestone.operators import guardrails
+
+    rows = [(i, [((i * 31 + k * k * 7) % 17) / 17.0 - 0.4 for k in range(8)]) for i in range(90)]
+    rows += [(30, [0.1] * 8), (91, None), (100, [0.5, None]), (120, [0.5, 0.25]), (121, [1.0, 0.5]), (None, [0.3] * 8)]  # a repeated id, gaps, another length
+    v = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    pairs = v.join(q.withColumnRenamed("vector", "qv"), F.col("query_id") != F.col("vec_id")).select(vec.dot(F.col("qv"), F.col("vector")).alias("x"))
+    out = guardrails.pair_stats(v, q, key="vec_id", query="query_id")
+    assert out.first() == guardrails.similarity_stats(pairs, "x").first()
+    few = guardrails.pair_stats(v.where("vec_id < 2"), q.where("query_id < 2"), key="vec_id", query="query_id").first()
+    assert tuple(few) == (1, 0.42, 0.09)
+    none = guardrails.pair_stats(v.limit(0), q.limit(0), key="vec_id", query="query_id").first()
+    assert tuple(none) == (0, 0.42, 0.09)
