@@ -116,3 +116,55 @@ def test_pair_stats_equal_all_pairs(spark):
     assert tuple(few) == (1, 0.42, 0.09)
     none = guardrails.pair_stats(v.limit(0), q.limit(0), key="vec_id", query="query_id").first()
     assert tuple(none) == (0, 0.42, 0.09)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_makes_no_pairs_to_shuffle(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    from lodestone.operators import lexical
+
+    texts = [" ".join(f"w{(i * k) % 11}" for k in range(1, 4 + i % 9)) for i in range(60)] + ["", None]
+    rows = list(enumerate(texts)) + [(3, "w1 w1 w2"), (3, texts[3]), (7, "w5 w0")]  # repeated ids, of one and of several lengths
+    asked = [(k, f"w{k} w{k + 1} w{k} other") for k in range(7)] + [(9, "nothing"), (10, None)]
+    d, q = spark.createDataFrame(rows, "doc long, text string"), spark.createDataFrame(asked, "q long, text string")
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    mean = sum(len(words(t)) for _, t in rows) / len(rows)
+    held = Counter((i, len(words(t)), w) for i, t in rows for w in words(t))
+    df, want = Counter(w for _, _, w in held), Counter()
+    for k, t in asked:
+        for w, m in Counter(words(t)).items():
+            for (i, dl, x), f in held.items():
+                if x == w:
+                    want[k, i] += m * math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / mean))
+    for tile, pairs in ((4096, 1_000_000), (2, 5)):
+        monkeypatch.setattr(lexical, "TILE", tile)
+        monkeypatch.setattr(lexical, "PAIRS", pairs)
+        got = {(r.q, r.doc): r.score for r in lexical.bm25(d, q, doc="doc", query="q", top=100).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    unique = spark.createDataFrame(rows[:62], "doc long, text string")
+    assert "Aggregate" not in plan(lexical.bm25(unique, q, doc="doc", query="q"))  # scores are made where a document lies
+
+
+def test_best_keeps_ties_and_nan():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators.best import Best
+
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 5, (500, 4)).astype(float)
+    s[77, 1] = np.nan
+    for ids in (rng.permutation(500), np.array([f"d{k:03}" for k in rng.permutation(500)])):
+        best = Best(4, 6)
+        best.limit = 40
+        for lo in range(0, 500, 37):
+            best.add(s[lo : lo + 37], pa.array(ids[lo : lo + 37]), least=0.0)
+        got = [(r["q"], r["d"]) for b in best.batches(pa.array([0, 1, 2, 3]), ["q", "d", "s"]) for r in b.to_pylist()]
+        want = [(q, ids[k]) for q in range(4) for k in sorted(range(500), key=lambda k, q=q: (-np.inf if np.isnan(s[k, q]) else -s[k, q], ids[k]))[:6]]
+        assert sorted(got) == sorted(want)
