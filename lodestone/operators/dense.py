@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as vec
+from lodestone.operators.best import Best, arrow_type, rounded, steps
 
 #: What separates the words that are hashed.
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -28,7 +29,7 @@ class _Slots(dict):
         import hashlib
 
         h = int(hashlib.md5(word.encode()).hexdigest(), 16)
-        if len(self) >= 500_000:  # a bound on memory
+        if len(self) >= 100_000:  # a bound on memory
             self.clear()
         self[word] = 2 * (h % self.dim) + (h % 2 == 0)
         return self[word]
@@ -39,7 +40,7 @@ def _vector(text: str | None, slots: _Slots):
     import numpy as np
 
     codes = np.array([slots[w] for w in SPACE.split((text or "").lower()) if w], "i8")
-    v = np.bincount(codes >> 1, weights=(2.0 * (codes & 1) - 1.0) / np.sqrt(np.arange(1, len(codes) + 1)), minlength=slots.dim)
+    v = np.bincount(codes >> 1, weights=(2.0 * (codes & 1) - 1.0) / np.sqrt(np.arange(1, len(codes) + 1)), minlength=slots.dim).astype(float)  # of no words it is one of integers
     n = np.sqrt((v * v).sum())
     if n > 0:
         return v / n
@@ -50,20 +51,18 @@ def _vector(text: str | None, slots: _Slots):
 def hash_embedding(docs: DataFrame, key: str, text: str = "text", dim: int = 384) -> DataFrame:
     """(key, slot, value) of the non-zero coordinates, normalised; a text without words is the first unit vector. Row by row, without a shuffle."""
 
-    @F.pandas_udf("array<struct<slot: int, value: double>>")
-    def coordinates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def coordinates(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
         slots = _Slots(dim)
-        for texts in batches:
-            out = []
-            for t in texts:
-                v = _vector(t, slots)
-                at = np.flatnonzero(v)
-                out.append([{"slot": s, "value": x} for s, x in zip(at.tolist(), v[at].tolist(), strict=True)])
-            yield pd.Series(out)
+        for b in steps(batches):
+            v = np.stack([_vector(t, slots) for t in b.column(text).to_pylist()])
+            i, at = np.nonzero(v)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(i)), pa.array(at, pa.int32()), pa.array(v[i, at])], [key, "slot", "value"])
 
-    return docs.select(key, F.explode(coordinates(F.col(text))).alias("c")).select(key, "c.slot", "c.value")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).alias(text)).mapInArrow(coordinates, f"`{key}` {kind}, slot int, value double")
 
 
 def embedder(dim: int = 384):
@@ -78,11 +77,42 @@ def embedder(dim: int = 384):
     return embed
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, doc: str, query: str, vector: str = "vector", places: int = 6) -> DataFrame:
+def stored():
+    """Reads a column of vectors: (rows that have one, their matrix)."""
+
+    def read(column):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        at = np.flatnonzero(pc.is_valid(column).to_numpy(zero_copy_only=False))
+        held = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return at, held.reshape(len(at), -1) if len(at) else np.zeros((0, 0))
+
+    return read
+
+
+def hashed(dim: int = 384):
+    """Reads a column of texts as their hash embeddings where they are searched, so that no vector leaves the worker. May be swapped for a model."""
+
+    def make():
+        slots = _Slots(dim)
+
+        def read(column):
+            import numpy as np
+
+            return np.arange(len(column)), np.stack([_vector(t, slots) for t in column.to_pylist()])
+
+        return read
+
+    return make
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, doc: str, query: str, vector: str = "vector", places: int = 6, content: str | None = None, reader: Callable = stored) -> DataFrame:
     """(query, doc, score, rank) by inner product rounded to `places`, ties by doc; exact.
 
-    Queries are taken in tiles of bounded size, broadcast, and multiplied with each batch of the corpus; a partition passes
-    on at most k rows per query, so neither the corpus nor the product is shuffled.
+    Queries are taken in tiles of bounded size, broadcast, and multiplied with STEP rows of the corpus at a time; a partition
+    passes on at most k rows per query, so neither the corpus nor the product is shuffled. content: the corpus's column that
+    the reader makes vectors of, else `vector`; reader: makes the function that a task reads it with.
     """
     parts, after = [], None
     while True:
@@ -91,7 +121,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, doc: str, query: str
         if not tile:
             break
         after = tile[-1][0]
-        parts.append(_tile(corpus.select(doc, vector), tile, k, doc, query, vector, places))
+        parts.append(_tile(corpus.select(doc, content or vector), queries, tile, k, doc, query, content or vector, places, reader))
     if not parts:
         return queries.select(query).limit(0).crossJoin(corpus.select(doc).limit(0)).select(query, doc, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     out = parts[0]
@@ -101,31 +131,22 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, doc: str, query: str
     return best.where(F.col("rank") <= k)
 
 
-def _tile(corpus: DataFrame, tile: list, k: int, doc: str, query: str, vector: str, places: int) -> DataFrame:
+def _tile(corpus: DataFrame, queries: DataFrame, tile: list, k: int, doc: str, query: str, content: str, places: int, reader: Callable) -> DataFrame:
     held = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in tile], [r[1] for r in tile]))
-    kinds = dict(corpus.dtypes)
+    kinds, id_type = dict(corpus.dtypes), arrow_type(queries, query)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
+
+        q, best, read = np.array(held.value[1], float), Best(len(held.value[0]), k), reader()
+        for b in steps(batches):
+            at, rows = read(b.column(content))
+            if len(at):
+                best.add(rounded(rows @ q.T, places), b.column(doc).take(pa.array(at)))
+        yield from best.batches(pa.array(held.value[0], id_type), [query, doc, "score"])
 
-        ids, q = held.value[0], np.array(held.value[1], float)
-        best = pd.DataFrame({"q": [], "d": [], "s": []}).astype({"q": "i8", "d": "i8", "s": "f8"})
-        for b in batches:
-            b = b[b[vector].notna()]
-            for lo in range(0, len(b), 1024):
-                part = b.iloc[lo : lo + 1024]
-                s = np.floor(np.stack(part[vector].to_list()).astype(float) @ q.T * 10**places + 0.5) / 10**places
-                if len(part) > 4 * k:  # rows below a query's kth score here can't be among its k best
-                    kth = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                    i, j = np.nonzero(s >= kth)
-                else:
-                    i, j = np.nonzero(np.ones_like(s, bool))
-                best = pd.concat([best, pd.DataFrame({"q": j, "d": part[doc].to_numpy()[i], "s": s[i, j]})])
-                best = best.sort_values(["q", "s", "d"], ascending=[True, False, True], kind="stable")
-                best = best[best.groupby("q").cumcount() < k]
-        yield pd.DataFrame({query: [ids[j] for j in best.q], doc: best.d.to_numpy(), "score": best.s.to_numpy()})
-
-    return corpus.mapInPandas(scored, f"{query} long, {doc} {kinds[doc]}, score double")
+    return corpus.mapInArrow(scored, f"`{query}` {dict(queries.dtypes)[query]}, `{doc}` {kinds[doc]}, score double")
 
 
 def mean_pool(tokens: DataFrame, group: str, vector: str = "vector") -> DataFrame:

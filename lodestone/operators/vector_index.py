@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.dense import TILE
+from lodestone.operators.best import Best, arrow_type, rounded, steps
+from lodestone.operators.dense import TILE, stored
 
 SAMPLE, ROUNDS = 20_000, 10
 
@@ -47,8 +48,9 @@ def _nearest(held, many: int):
         c = np.array(held.value)
         for vs in batches:
             out: list = [None] * len(vs)
-            fit_ = [k for k, v in enumerate(vs) if v is not None and len(v) == c.shape[1]]
-            if fit_:
+            whole = [k for k, v in enumerate(vs) if v is not None and len(v) == c.shape[1]]
+            for lo in range(0, len(whole), 1024):
+                fit_ = whole[lo : lo + 1024]
                 s = np.array([np.asarray(vs.iloc[k], float) for k in fit_]) @ c.T
                 best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :many]
                 for k, b in zip(fit_, best.tolist(), strict=True):
@@ -86,7 +88,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
             break
         after = tile[-1][0]
         opened = sorted({c for r in tile for c in r["_cells"]})
-        part = _tile(base.where(F.col("cell").isin(opened)).select(doc, vector, "cell"), tile, k, doc, query, vector, places, kind)
+        part = _tile(base.where(F.col("cell").isin(opened)).select(doc, vector, "cell"), tile, k, doc, query, vector, places, kind, queries)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = queries.select(query).limit(0).crossJoin(base.select(doc).limit(0)).select(query, doc, F.lit(0.0).alias("score"))
@@ -94,32 +96,30 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     return best.where(F.col("rank") <= k)
 
 
-def _tile(rows: DataFrame, tile: list, k: int, doc: str, query: str, vector: str, places: int, kind: str) -> DataFrame:
+def _tile(rows: DataFrame, tile: list, k: int, doc: str, query: str, vector: str, places: int, kind: str, queries: DataFrame) -> DataFrame:
+    id_type = arrow_type(queries, query)
     held = rows.sparkSession.sparkContext.broadcast(([r[0] for r in tile], [r[1] for r in tile], [r["_cells"] for r in tile]))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
         ids, vectors, cells = held.value
-        q, by_cell = np.array(vectors, float), {}
+        q, by_cell, best, read = np.array(vectors, float), {}, Best(len(ids), k), stored()
         for n, cs in enumerate(cells):
             for c in cs:
                 by_cell.setdefault(c, []).append(n)
-        best = pd.DataFrame({"q": [], "d": [], "s": []}).astype({"q": "i8", "s": "f8"})
-        for b in batches:
-            fresh = [best]
-            for cell, part in b.groupby("cell", sort=False):
-                mine = np.array(by_cell.get(cell, []), "i8")
-                if not len(mine):
-                    continue
-                s = np.floor(np.stack(part[vector].to_list()).astype(float) @ q[mine].T * 10**places + 0.5) / 10**places
-                i, j = np.nonzero(np.ones_like(s, bool)) if len(part) <= 4 * k else np.nonzero(s >= np.partition(s, len(s) - k, axis=0)[len(s) - k])
-                fresh.append(pd.DataFrame({"q": mine[j], "d": part[doc].to_numpy()[i], "s": s[i, j]}))
-            best = pd.concat(fresh).sort_values(["q", "s", "d"], ascending=[True, False, True], kind="stable")
-            best = best[best.groupby("q").cumcount() < k]
-        yield pd.DataFrame({query: [ids[n] for n in best.q], doc: best.d.to_numpy(), "score": best.s.to_numpy()})
-
-    return rows.mapInPandas(scored, f"{query} long, {doc} {kind}, score double")
+        for b in steps(batches):
+            cell = np.array(b.column("cell"))
+            for c in np.unique(cell).tolist():
+                mine = np.array(by_cell.get(c, []), "i8")
+                if len(mine):
+                    part = b.filter(pa.array(cell == c))
+                    at, x = read(part.column(vector))
+                    best.add(rounded(x @ q[mine].T, places), part.column(doc).take(pa.array(at)), mine)
+        yield from best.batches(pa.array(ids, id_type), [query, doc, "score"])
+
+    return rows.mapInArrow(scored, f"`{query}` {dict(queries.dtypes)[query]}, `{doc}` {kind}, score double")
 
 
 def recall(found: DataFrame, exact: DataFrame, *, query: str, doc: str) -> DataFrame:

@@ -168,3 +168,13 @@ def test_best_keeps_ties_and_nan():
         got = [(r["q"], r["d"]) for b in best.batches(pa.array([0, 1, 2, 3]), ["q", "d", "s"]) for r in b.to_pylist()]
         want = [(q, ids[k]) for q in range(4) for k in sorted(range(500), key=lambda k, q=q: (-np.inf if np.isnan(s[k, q]) else -s[k, q], ids[k]))[:6]]
         assert sorted(got) == sorted(want)
+
+
+def test_texts_are_embedded_where_they_are_searched(spark):
+    from lodestone.operators import dense
+
+    d = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5}") for i in range(700)] + [(700, None)], "doc long, text string")
+    q = d.where("doc < 9").select(F.col("doc").alias("q"), dense.embedder(32)("text").alias("vector"))
+    fused = dense.top_k(d, q, 4, doc="doc", query="q", content="text", reader=dense.hashed(32))
+    plain = dense.top_k(d.select("doc", dense.embedder(32)("text").alias("vector")), q, 4, doc="doc", query="q")
+    assert fused.collect() == plain.collect() and "ArrowEvalPython" not in plan(fused)
