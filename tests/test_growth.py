@@ -178,3 +178,17 @@ def test_texts_are_embedded_where_they_are_searched(spark):
     fused = dense.top_k(d, q, 4, doc="doc", query="q", content="text", reader=dense.hashed(32))
     plain = dense.top_k(d.select("doc", dense.embedder(32)("text").alias("vector")), q, 4, doc="doc", query="q")
     assert fused.collect() == plain.collect() and "ArrowEvalPython" not in plan(fused)
+
+
+def test_many_page_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    from lodestone.sources import paged
+
+    for k in range(40):
+        (tmp_path / f"f{k:02}.txt").write_text("".join(f"{k}.{n}\n" for n in range(1 + k % 7)))
+    reader = paged.PageRanges(str(tmp_path), paged.TextPages(1), per_task=2)
+    alone = [row for p in reader.partitions() for row in reader.read(p)]
+    monkeypatch.setattr(paged, "TASKS", 6)
+    together = reader.partitions()
+    assert len(alone) == sum(1 + k % 7 for k in range(40)) and len(together) <= 6
+    assert [row for p in together for row in reader.read(p)] == alone
+    assert max(sum(r.last - r.first + 1 for r in p.ranges) for p in together) <= len(alone) // 6 + 3
