@@ -106,6 +106,10 @@ def bind_figures(nodes: DataFrame, figures: DataFrame, doc: list[str], page: str
     return out.drop("_cap_section", "_section")
 
 
+#: Pages of at most so many boxes have all of them compared.
+FEW = 48
+
+
 def touching(boxes, gap: float):
     """Component of each box (l, t, r, b rows of an array): the number of its first box. Boxes touch where both their distances are at most gap.
 
@@ -114,6 +118,21 @@ def touching(boxes, gap: float):
     import numpy as np
 
     root = list(range(len(boxes)))
+    if len(boxes) <= FEW:  # plain comparisons are quicker than arrays
+        rows = boxes.tolist()
+        for k, (left, top, right, bottom) in enumerate(rows):
+            for j in range(k):
+                l, t, r, b = rows[j]  # noqa: E741
+                if l - gap <= right and left - gap <= r and t - gap <= bottom and top - gap <= b:
+                    x, y = k, j
+                    while root[x] != x:
+                        x = root[x]
+                    while root[y] != y:
+                        y = root[y]
+                    root[max(x, y)] = min(x, y)
+        for k in range(len(rows)):
+            root[k] = root[root[k]]
+        return root
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -143,16 +162,19 @@ def regions(boxes: DataFrame, page: list[str], *, box: str = "box_id", kind: str
     as text), text its members' texts downwards. Boxes with a null corner, or turned inside out, are left out.
     """
     whole = boxes.where("l is not null and t is not null and r is not null and b is not null and r >= l and b >= t")
-    named = T.StructType([*(whole.schema[p] for p in page), whole.schema[box], T.StructField("_first", T.LongType())])
     keys = [*page, box]
 
-    def merged(group):
-        group = group.sort_values(box, kind="stable").reset_index(drop=True)
-        first = touching(group[["l", "t", "r", "b"]].to_numpy(float), gap)
-        return group[keys].assign(_first=[int(k) for k in first])
+    @F.udf(T.ArrayType(T.LongType()), useArrow=True)
+    def merged(corners):
+        import numpy as np
+
+        return [int(k) for k in touching(np.array([[c["l"], c["t"], c["r"], c["b"]] for c in corners], float), gap)]
 
-    # ids first, so that texts don't go through Python
-    found = whole.select(*keys, "l", "t", "r", "b").groupBy(*page).applyInPandas(merged, named)
+    # ids first, so that texts don't go through Python; a page is a row, and many go together
+    corners = [F.col(c).cast("double").alias(c) for c in "ltrb"]
+    pages = whole.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct(box, *corners))).alias("_b"))
+    pages = pages.withColumn("_root", merged(F.transform("_b", lambda x: F.struct(*(x[c].alias(c) for c in "ltrb")))))
+    found = pages.select(*page, F.explode(F.arrays_zip("_b", "_root")).alias("_x")).select(*page, F.col(f"_x._b.{box}").alias(box), F.col("_x._root").alias("_first"))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col(kind)), F.lit(0))
     level = F.when(rank == 0, len(KINDS)).otherwise(rank)
     rows = whole.join(found, keys).withColumn("_kind", level)

@@ -192,3 +192,24 @@ def test_many_page_ranges_share_tasks(spark, tmp_path, monkeypatch):
     assert len(alone) == sum(1 + k % 7 for k in range(40)) and len(together) <= 6
     assert [row for p in together for row in reader.read(p)] == alone
     assert max(sum(r.last - r.first + 1 for r in p.ranges) for p in together) <= len(alone) // 6 + 3
+
+
+def test_regions_of_many_small_pages(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from lodestone.operators import layout
+
+    rng = random.Random(5)
+    for _ in range(60):
+        boxes = np.array([(x, y, x + rng.random() * 3, y + rng.random() * 3) for x, y in ((rng.random() * 20, rng.random() * 20) for _ in range(rng.randrange(1, 40)))])
+        few = layout.touching(boxes, 0.2)
+        monkeypatch.setattr(layout, "FEW", -1)
+        swept = layout.touching(boxes, 0.2)
+        monkeypatch.undo()
+        assert few == swept
+    rows = spark.range(4000).select((F.col("id") % 2000).alias("page"), (F.col("id") >= 2000).cast("int").alias("box_id"), F.lit("text").alias("kind"), F.lit("a").alias("text"), F.lit(0).alias("l"), F.lit(0).alias("t"), F.lit(1).alias("r"), F.lit(1).alias("b"))
+    out = layout.regions(rows, ["page"])
+    assert "FlatMapGroupsInPandas" not in plan(out)  # a pandas frame for each page
+    assert {(r.region, r.n_boxes, r.text) for r in out.collect()} == {(0, 2, "a\na")} and out.count() == 2000
