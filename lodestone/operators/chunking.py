@@ -9,10 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestone.operators.best import steps
+
+#: Documents whose chunks are held at a time.
+DOCS = 64
 #: Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ", "")
 CHUNKS = "doc_id long, chunk_id string, page_number int, chunk_index int, total_chunks int, text string, image_url string, has_image boolean"
@@ -51,6 +56,13 @@ def split(text: str, size: int, overlap: int, level: int = 0) -> list[str]:
     return out + pack(run, size, overlap)
 
 
+def _batch(rows: list[tuple], schema):
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 def recursive_chunks(docs: DataFrame, size: int = 400, overlap: int = 60, *, name: str = "filename", pages: str | None = None) -> DataFrame:
     """Chunks of documents (doc_id, name, text[, pages array]).
 
@@ -59,12 +71,13 @@ def recursive_chunks(docs: DataFrame, size: int = 400, overlap: int = 60, *, nam
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
+    made = to_arrow_schema(T.StructType.fromDDL(CHUNKS))
     page_list = F.col(pages) if pages else F.lit(None).cast("array<string>")
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def chunked(batches: Iterator) -> Iterator:
+        for b in steps(batches, DOCS):
             rows = []
-            for doc, name_, text, parts in b.itertuples(index=False):
+            for doc, name_, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 default = m[1].strip() if (m := _URL.search(text or "")) else ""
                 if parts is not None and len(parts):
                     n = 0
@@ -79,10 +92,9 @@ def recursive_chunks(docs: DataFrame, size: int = 400, overlap: int = 60, *, nam
                 else:
                     found = split(text or "", size, overlap)
                     rows += [(doc, f"{name_}_chunk_{i}", None, i, len(found), t.strip(), default, bool(default)) for i, t in enumerate(found) if t.strip()]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-            yield out.astype({"page_number": "Int32", "chunk_index": "Int32", "total_chunks": "Int32"})
+            yield _batch(rows, made)
 
-    return docs.select("doc_id", F.col(name).alias("name"), "text", page_list.alias("pages")).mapInPandas(chunked, CHUNKS)
+    return docs.select("doc_id", F.col(name).alias("name"), "text", page_list.alias("pages")).mapInArrow(chunked, CHUNKS)
 
 
 def approximate_tokens(text: str) -> int:
@@ -137,18 +149,20 @@ def children_of(nodes: list[tuple[str, str, int]], target: int = 192, keep_last:
 def parent_child_chunks(nodes: DataFrame, child_target: int = 192, parent_target: int = 1536, overlap: int = 32) -> DataFrame:
     """Sections of documents (doc_id, title, nodes array<struct<type, content, page>> in order): a row per child, with its parent."""
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    made = to_arrow_schema(T.StructType.fromDDL(SECTIONS))
+
+    def packed(batches: Iterator) -> Iterator:
+        for b in steps(batches, DOCS):
             rows = []
-            for doc, title, items in b.itertuples(index=False):
+            for doc, title, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p, (section, held) in enumerate(parents_of([(i["type"], i["content"] or "", i["page"]) for i in items], title, child_target, parent_target)):
                     parent = f"p_{doc}_{p:04d}"
                     full = "\n\n".join(f"\n[Table Layout]:\n{c}\n" if kind == "table" else c for kind, c, _ in held)
                     pages = sorted({page for _, _, page in held})
                     rows += [(doc, parent, f"c_{parent}_{k:03d}", section, full, c, n, pages) for k, (c, n) in enumerate(children_of(held, child_target, overlap > 0))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")])
+            yield _batch(rows, made)
 
-    return nodes.select("doc_id", "title", "nodes").mapInPandas(packed, SECTIONS)
+    return nodes.select("doc_id", "title", "nodes").mapInArrow(packed, SECTIONS)
 
 
 def section_titles(nodes: DataFrame, doc: str, order: str, kind: str, content: str, default: str) -> DataFrame:

@@ -194,6 +194,20 @@ def test_many_page_ranges_share_tasks(spark, tmp_path, monkeypatch):
     assert max(sum(r.last - r.first + 1 for r in p.ranges) for p in together) <= len(alone) // 6 + 3
 
 
+def test_chunks_come_in_short_batches(spark):
+    from lodestone.operators import chunking
+
+    text = "one two three. " * 40
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("f").alias("filename"), F.lit(text).alias("text"))
+    node = lambda kind, content, page: F.struct(F.lit(kind).alias("type"), content.alias("content"), F.lit(page).alias("page"))
+    nodes = d.select("doc_id", F.lit(None).cast("string").alias("title"), F.array(node("header", F.lit("H"), 1), node("text", F.col("text"), 2)).alias("nodes"))
+    for df in (chunking.recursive_chunks(d, 100, 10), chunking.parent_child_chunks(nodes, 20, 60)):
+        assert "MapInPandas" not in plan(df)  # whole batches as pandas rows
+        counts = {r["count"] for r in df.groupBy("doc_id").count().collect()}
+        assert len(counts) == 1 and df.select("doc_id").distinct().count() == 500
+    assert chunking.parent_child_chunks(nodes.limit(0)).collect() == [] == chunking.recursive_chunks(d.where("doc_id < 0")).collect()
+
+
 def test_regions_of_many_small_pages(spark, monkeypatch):
     import random
 
