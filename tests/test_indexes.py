@@ -51,6 +51,49 @@ def test_index_of_nothing(spark, tmp_path):
     assert tuple(index.totals(ix).head()) == (2, 0.0)
 
 
+def test_stored_index_makes_no_pairs_to_shuffle(spark, tmp_path, monkeypatch):
+    d = corpus(spark)
+    q = spark.createDataFrame([(k, f"w{k} w{k + 1} rare w{k}") for k in range(9)], "q int, text string")
+    for k in range(2):
+        index.add(d.where(f"doc % 2 = {k}"), str(tmp_path), str(k), key="doc", block=16)
+    ix = index.open_index(spark, str(tmp_path))
+    found = index.search(ix, q, doc="doc", query="q", top=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # no row for each question and document: they are scored where they lie
+    want = sorted(lexical.bm25(d, q, doc="doc", query="q", top=7).collect())
+    assert sorted(found.collect()) == want and len(want) == 63
+    monkeypatch.setattr(lexical, "TILE", 2)
+    monkeypatch.setattr(lexical, "PAIRS", 50)
+    assert sorted(index.search(ix, q, doc="doc", query="q", top=7).collect()) == want
+
+
+def test_stored_maxima(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RUN", 5)  # steps end within blocks
+    index.add(corpus(spark), str(tmp_path), "a", key="doc", block=16)
+    ix = index.open_index(spark, str(tmp_path))
+    each = ix.documents.select("block", "dl", F.explode(F.arrays_zip("term", "tf")).alias("x")).select("block", "x.term", "x.tf", "dl")
+    each = each.unionByName(ix.documents.select("block", F.lit("").alias("term"), F.lit(1).alias("tf"), "dl"))
+    want = each.groupBy("block", "term").agg(F.count(F.lit(1)), F.max("tf"), F.min("dl"), F.sum("dl")).collect()
+    assert sorted(map(tuple, want)) == sorted(map(tuple, ix.blocks.drop("batch").collect()))
+    sizes = [r["count"] for r in ix.documents.groupBy("block").count().collect()]
+    assert sum(sizes) == 700 and max(sizes) == 16 and len(sizes) == 44
+    held = {r.key: dict(zip(r.term, r.tf)) for r in ix.documents.collect()}
+    assert held[3] == {} and held[100]["rare"] == 2
+
+
+def test_stored_index_merges_repeated_ids(spark, tmp_path):
+    rows = [(k, f"w{k % 5} w{k % 3} w{k % 7} w9") for k in range(90)]
+    rows += [(3, "w3 w0 w3 w1"), (4, "w9"), (4, "w4 w4 w4 w4 w4 w4"), (None, "w1 w2"), (None, "w1 w1")]  # of one length and of several, far from the first
+    d = spark.createDataFrame(rows, "doc long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "w3 w0"), (2, "w4"), (3, "w1 w9")], "q int, text string")
+    index.add(d.where("doc is null or doc % 2 = 1"), str(tmp_path), "a", key="doc", block=8)
+    index.add(d.where("doc % 2 = 0"), str(tmp_path), "b", key="doc", block=8)
+    ix = index.open_index(spark, str(tmp_path))
+    key = lambda rows: sorted((r.q, r["rank"], r.doc or -1, r.score) for r in rows)
+    for top in (1, 4, 200):
+        assert key(index.search(ix, q, doc="doc", query="q", top=top, seed=1).collect()) == key(lexical.bm25(d, q, doc="doc", query="q", top=top).collect())
+
+
 def clustered(spark, n=400):
     r = random.Random(2)
     centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(10)]
