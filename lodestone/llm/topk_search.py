@@ -157,7 +157,7 @@ def _select(rows: list, base: DataFrame, k: int, norms: int, path: str) -> None:
                 best = [trimmed()]
                 size = len(best[0])
         if best:
-            yield trimmed()
+            yield trimmed().astype({"beyond": object})  # pandas' own strings may come in no chunk or several, which Spark doesn't take
 
     base.mapInPandas(kept, OUT).write.mode("append").parquet(path)
     held.destroy()
